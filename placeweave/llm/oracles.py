@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP2 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -13,7 +13,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, n, line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d), unnest(ls) WITH ORDINALITY AS u(line, n)),
 judged AS (
-  SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '')) AS nw,
+  SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw,
     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS sy,
     regexp_matches(line, '[.!?:;,…。！？]["''”’»)\]]*[\x20\x09-\x0D]*$') AS ended
   FROM lines),
@@ -42,7 +42,7 @@ OP5 = """
 WITH d AS (
   SELECT doc_id, 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS INT), 0) % 4) AS domain,
     coalesce(lang, 'null') AS lang, coalesce(source, 'null') AS source,
-    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> ''))::BIGINT AS n
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n
   FROM documents),
 wt(path, w) AS (VALUES ('d0', 4), ('d1', 3), ('d2', 2), ('d0/en', 3), ('d1/en', 3), ('d2/en', 2), ('d3/en', 2), ('d0/en/src0', 2)),
 leaf AS (
