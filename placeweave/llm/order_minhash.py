@@ -123,7 +123,7 @@ def id_ranges(docs: DataFrame, key: Column) -> Column:
     seen = docs.select(key.alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("k", at, 10_000).alias("q")).first()
     cuts = sorted(set(seen["q"] or [0]))
     each = min(STRETCHES, max(1, -(-seen["n"] // (QUANTILES * RANGE_ROWS))))
-    widths = [max(1, -(-(b - a) // each)) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)]
+    widths = [min(max(1, -(-(b - a) // each)), (1 << 63) - 1) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)]
     array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     part = F.greatest(F.size(F.filter(array(cuts), lambda c: c <= key)) - 1, F.lit(0))
     stretch = lambda s: F.floor((key.cast("double") - F.get(array(cuts), s)) / F.get(array(widths), s))
