@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import mixing, order_minhash, quality, sentence_pieces, sharding, url_filter, wavelet
+from placeweave.llm import mixing, ngram_join, order_minhash, personal_data, quality, repeats, sentence_pieces, sharding, url_filter, wavelet
 from placeweave.llm.shared import new_path
 
 
@@ -22,15 +22,21 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    base = F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts, base, personal_data.spans_text(F.col("spans")).alias("spans"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode, decode = sentence_pieces.piece_functions(spark, tokenizer_path("piece_bpe_32k.model"))
-    coded = _table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
-    read = coded.withColumn("decoded", decode(F.col("ids")))
+    *_, round_trip = sentence_pieces.piece_functions(spark, tokenizer_path("piece_bpe_32k.model"))
+    read = _table(spark, sf_dir, "documents").select("doc_id", round_trip(F.col("text")).alias("r")).select("doc_id", "r.*")
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -67,6 +73,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 #: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -82,12 +92,20 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_shards(spark, path)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_quality": op2_quality,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_order_minhash": op6_order_minhash,
+    "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
     "op9_wavelet": op9_wavelet,
+    "op10_repeats": op10_repeats,
 }

@@ -193,20 +193,42 @@ def _model_bytes(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def piece_functions(spark: SparkSession, model_path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """encode: text -> array<int>, and decode: array<int> -> text, as functions on columns."""
+def _id_lists(ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.empty(0, np.int64)]))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32()))
+
+
+def piece_functions(spark: SparkSession, model_path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]]:
+    """Functions on columns: encode (text -> array<int>), decode (array<int> -> text), and both at once.
+
+    The third gives struct<ids, decoded>, where decoded comes from ids: chained functions would encode twice.
+    """
     model = _model_bytes(spark, model_path)
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
         _, lexicon = _loaded(model.value)
-        ids, counts = encode_texts(text.fill_null("").to_pylist(), split_words, lexicon)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+        made = list(encode_texts(text.fill_null("").to_pylist(), split_words, lexicon))
+        return _id_lists([m[0] for m in made], [m[1] for m in made])
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         pieces, _ = _loaded(model.value)
-        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array(pieces.decode(ids.flatten().to_numpy(zero_copy_only=False), lengths), pa.string())
-
-    return encode, decode
+        out: list[str] = []
+        for at in range(0, len(ids), 200):
+            some = ids.slice(at, 200)
+            lengths = some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out += pieces.decode(some.flatten().to_numpy(zero_copy_only=False), lengths)
+        return pa.array(out, pa.string())
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def round_trip(text: pa.Array) -> pa.Array:
+        pieces, lexicon = _loaded(model.value)
+        ids, counts, decoded = [], [], []
+        for some, n in encode_texts(text.fill_null("").to_pylist(), split_words, lexicon):
+            ids.append(some)
+            counts.append(n)
+            decoded += pieces.decode(some, n)
+        return pa.StructArray.from_arrays([_id_lists(ids, counts), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return encode, decode, round_trip
