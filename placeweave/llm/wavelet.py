@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm.lexicon import Lexicon, encode_texts
+from placeweave.llm.lexicon import MOST_WORDS, Lexicon, encode_texts
 from placeweave.llm.shared import materialize, running_offsets
 
 MAGIC, HEAD = b"PWM1", struct.Struct("<4s5q")
 RANK_STEP = 512
 NULL_ID = -(1 << 63)
-#: A shard closes once it holds this many tokens, so its size is bounded by this and its last document.
-SHARD_TOKENS = 1 << 20
+#: A shard closes once it holds this many tokens, so its size is bounded by this and the texts encoded in one go.
+SHARD_TOKENS = 1 << 18
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)  # set bits of a byte
 
 
@@ -42,14 +42,14 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, doc_ends: np.ndarray, bits: int)
     step_bytes, width = RANK_STEP // 8, -(-n // 8)
     planes, zeros, ranks = [], [], []
     for level in range(bits - 1, -1, -1):
-        ones = (row >> level) & 1 == 1
+        ones = row & row.dtype.type(1 << level) != 0
         packed = np.packbits(ones)
         planes.append(packed.tobytes())
         per_step = np.add.reduceat(_ONES[packed], np.arange(0, width, step_bytes)) if width else np.empty(0, np.int64)
         ranks.append((np.cumsum(per_step) - per_step).astype("<i4").tobytes())
-        zero_part = row[~ones]
-        zeros.append(len(zero_part))
-        row = np.concatenate([zero_part, row[ones]])
+        low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
+        zeros.append(len(low))
+        row = np.concatenate([row.take(low), row.take(high)])
     head = HEAD.pack(MAGIC, n, bits, len(doc_ids), RANK_STEP, width)
     numbers = [np.asarray(x, "<i8").tobytes() for x in (zeros, doc_ids, doc_ends)]
     return b"".join([head, *numbers, *planes, *ranks])
@@ -138,8 +138,8 @@ class Shard:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).astype(bool)
             up = np.empty_like(row)
-            up[~ones] = row[: self.zeros[level]]
-            up[ones] = row[self.zeros[level] :] | row.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~ones)] = row[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = row[self.zeros[level] :] | row.dtype.type(1 << (self.bits - 1 - level))
             row = up
         return row
 
@@ -153,14 +153,34 @@ def _lexicon(tokenizer: str) -> Lexicon:
 
     held = Tokenizer.from_str(tokenizer)
 
+    parts: dict[str, bytes] = {}
+
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in held.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+        split = [_halves(w) for w in words]
+        if new := list({p for s in split for p in s} - parts.keys()):
+            if len(parts) > MOST_WORDS:
+                parts.clear()
+                new = list({p for s in split for p in s})
+            for p, e in zip(new, held.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                parts[p] = np.array(e.ids, np.int32).tobytes()
+        ids = [parts[a] + parts[b] for a, b in split]
+        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
     return Lexicon(encode_words)
 
 
+def _halves(word: str) -> tuple[str, str]:
+    """A word as two parts that encode on their own: its letters, lower-cased, and one closing mark.
+
+    The tokenizer lower-cases and keeps runs of letters apart from runs of marks; so words that differ in case or in
+    their closing mark alone share their parts. Beyond the Latin blocks words stay as they are.
+    """
+    if max(word) > "\u024f":
+        return word, ""
+    word = word.lower()
+    return (word[:-1], word[-1]) if word[-1] in ".,;:!?" and word[-2:-1].isalpha() else (word, "")
+
+
 def split_words(text: str) -> list[str]:
     """The white-space separated parts of a text. This vocabulary drops white space, so each part encodes on its own.
 
@@ -192,16 +212,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             doc_ids, ties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             texts = batch.column(2).to_pylist()
             at = 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and chars < 2 * SHARD_TOKENS:
-                    chars += len(texts[upto]) + 1
-                    upto += 1
-                ids, counts = encode_texts(texts[at:upto], split_words, lexicon)
-                ends = np.cumsum(counts)
-                with_end = np.insert(ids, ends, end_id)
-                held.append((with_end, doc_ids[at:upto], counts + 1, ties[at]))
-                size += len(with_end)
+            for ids, counts in encode_texts(texts, split_words, lexicon):
+                upto = at + len(counts)
+                held.append((np.insert(ids, np.cumsum(counts), end_id), doc_ids[at:upto], counts + 1, ties[at]))
+                size += len(held[-1][0])
                 at = upto
                 if size >= SHARD_TOKENS:
                     yield flush()
