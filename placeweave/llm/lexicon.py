@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 #: Words kept in one worker; beyond it the memory starts anew, which changes cost but no result.
-MOST_WORDS = 600_000
+MOST_WORDS = 800_000
 #: Characters of text handled at once.
 CHUNK_CHARS = 1_000_000
 

@@ -15,17 +15,19 @@ empty table writes no shard and reads back as an empty table; other columns are
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm.lexicon import MOST_WORDS, Lexicon, encode_texts
+from placeweave.llm.lexicon import Lexicon, encode_texts
 from placeweave.llm.shared import materialize, running_offsets
 
 MAGIC, HEAD = b"PWM1", struct.Struct("<4s5q")
@@ -153,32 +155,39 @@ def _lexicon(tokenizer: str) -> Lexicon:
 
     held = Tokenizer.from_str(tokenizer)
 
-    parts: dict[str, bytes] = {}
+    marks = {m: held.encode(m, add_special_tokens=False).ids for m in _MARKS} | {"": []}
+    tokenize = held.model.tokenize
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [_halves(w) for w in words]
-        if new := list({p for s in split for p in s} - parts.keys()):
-            if len(parts) > MOST_WORDS:
-                parts.clear()
-                new = list({p for s in split for p in s})
-            for p, e in zip(new, held.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                parts[p] = np.array(e.ids, np.int32).tobytes()
-        ids = [parts[a] + parts[b] for a, b in split]
-        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ids: list[list[int]] = [[]] * len(words)
+        rest: list[int] = []
+        for i, word in enumerate(words):
+            core = word.lower()
+            mark = core[-1] if core[-1] in _MARKS else ""
+            if mark:
+                core = core[:-1]
+            if _LETTERS(core):
+                ids[i] = [t.id for t in tokenize(core if core.isascii() else _as_bytes(core))] + marks[mark]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, held.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
     return Lexicon(encode_words)
 
 
-def _halves(word: str) -> tuple[str, str]:
-    """A word as two parts that encode on their own: its letters, lower-cased, and one closing mark.
+_MARKS = frozenset(".,;:!?")
+#: Words that the normalizer leaves alone once they are in lower case, and that are one run of letters.
+_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write a byte as itself where that is a visible character, the others from 256 on.
+_BYTES = {b: chr(b) for b in _KEPT} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _KEPT)}
 
-    The tokenizer lower-cases and keeps runs of letters apart from runs of marks; so words that differ in case or in
-    their closing mark alone share their parts. Beyond the Latin blocks words stay as they are.
-    """
-    if max(word) > "\u024f":
-        return word, ""
-    word = word.lower()
-    return (word[:-1], word[-1]) if word[-1] in ".,;:!?" and word[-2:-1].isalpha() else (word, "")
+
+def _as_bytes(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTES)
 
 
 def split_words(text: str) -> list[str]:
@@ -187,8 +196,6 @@ def split_words(text: str) -> list[str]:
     Four control characters are white space to Python but not to the tokenizer.
     """
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        import re
-
         return [w for w in re.split(r"[ \t\n\r\x0b\x0c]+", text) if w]
     return text.split()
 
