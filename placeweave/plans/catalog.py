@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from placeweave.plans import collecting, dates, metrics, places, publishing, resolving, reviewing  # noqa: F401  (they register)
+from placeweave.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+FLAGSHIP: Query = QUERIES["D01_haversine"]
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    raise NotImplementedError
+    return dict(SQL)
