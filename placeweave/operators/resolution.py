@@ -70,6 +70,7 @@ def prepare_mentions(mentions: DataFrame, contexts: DataFrame | None, config: Re
     contexts: source_key, city, state (a small table); both must be known for the city to be trusted.
     """
     stops = list(config.stop_words)
+    mentions = mentions.select("activity_id", "product_key", "source_key", "raw_text", "raw_address_text", "hint")
     if contexts is None:
         out = mentions.withColumn("trusted_city", F.lit(None).cast("string"))
     else:
@@ -82,7 +83,7 @@ def prepare_mentions(mentions: DataFrame, contexts: DataFrame | None, config: Re
 
 def prepare_candidates(venues: DataFrame, config: ResolutionConfig) -> DataFrame:
     stops = list(config.stop_words)
-    out = venues.withColumns({"c_norm": normalize(F.col("name"), stops), "ca_norm": normalize(F.col("address"), stops), "c_centre": city_centre(F.col("city"))})
+    out = venues.select("venue_id", "product_key", "name", "address", "city", "lat", "lng").withColumns({"c_norm": normalize(F.col("name"), stops), "ca_norm": normalize(F.col("address"), stops), "c_centre": city_centre(F.col("city"))})
     return out.withColumns({"c_grams": trigrams(F.col("c_norm")), "c_tokens": tokens(F.col("c_norm")), "ca_grams": trigrams(F.col("ca_norm")), "ca_tokens": tokens(F.col("ca_norm"))})
 
 
