@@ -27,7 +27,8 @@ class Lexicon:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of words and how many each word has."""
-        if new := list(set(words) - self.number.keys()):
+        known = self.number
+        if new := [w for w in set(words) if w not in known]:  # a set difference would walk through all known words
             if len(self.number) + len(new) > MOST_WORDS:
                 self.clear()
                 new = list(set(words))

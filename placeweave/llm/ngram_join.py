@@ -58,8 +58,9 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
     if len(_words) > 400_000:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _words:  # a set difference would walk through all known words
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
