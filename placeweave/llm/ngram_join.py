@@ -5,11 +5,12 @@ their sets have a Jaccard similarity of 0.75 or more:
 
 - small against small sets: every set lists its subsets of each size that an overlap may have to reach. All sets that
   share such a subset are linked to the smallest of them, which is as good as linking them to each other.
-- otherwise inverted lists are scanned, over the prefix of each set (a quarter of it) in a fixed order. Lists of up
-  to LIGHT classes give their pairs, which must also share enough of the prefix. Classes met in longer lists form a
-  problem of their own in which shingles are ordered by how few sets hold them, so common passages come last. Where
-  a list is still long, its members are first compared with one of them, round by round, and only pairs that are
-  not yet connected are compared in the end.
+- otherwise inverted lists are scanned, over the prefix of each set (the first third of it) in a fixed order. A set may
+  lack a quarter of its shingles in a partner, so similar sets share at least a twelfth of the smaller one within
+  their prefixes; sets and pairs that share less are dropped. Lists of up to LIGHT classes give their pairs. Classes
+  met in longer lists form a problem of their own in which shingles are ordered by how few sets hold them, so common
+  passages come last. Where a list is still long, its members are first compared with one of them, round by round,
+  and only pairs that are not yet connected are compared in the end.
 - the boundary between small and large is the size up to which the subsets cost less than the lists.
 
 Every pair of candidates is compared on the whole sets before it becomes a link, unless a shared subset proves it.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -41,7 +43,9 @@ LIGHT = 24
 SMALL_MOST = 10
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_words: dict[bytes, int] = {}
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Bytes of text hashed at once.
+CHUNK = 1 << 20
 
 
 def needed(a: Column, b: Column) -> Column:
@@ -49,33 +53,62 @@ def needed(a: Column, b: Column) -> Column:
     return F.floor((3 * (a + b) + 6) / 7).cast("int")
 
 
-def prefix_size(n: Column) -> Column:
-    return (F.floor(n / 4) + 1).cast("int")
+def least_common(n: Column) -> Column:
+    """How many shingles similar sets, the smaller of n elements, share at least within their prefixes.
 
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    if len(_words) > 400_000:
-        _words.clear()
-    for w in set(words):
-        if w not in _words:  # a set difference would walk through all known words
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text."""
-    words = text.translate(_LOWER).split()
-    if not words:
+    The m-th shared shingle is at most number m + n / 4 of either set, and the prefix holds n / 3 + 1.
+    """
+    return (F.floor(n / 12) + 1).cast("int")
+
+
+@lru_cache(maxsize=1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte value, and the first n powers of an odd number and of its inverse."""
+    power = np.full(n, _STEP)
+    power[0] = 1
+    inverse = np.full(n, np.uint64(pow(int(_STEP), -1, 1 << 64)))
+    inverse[0] = 1
+    return np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64), np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word of data: differences of running sums of a polynomial, made equal in place."""
+    byte, power, inverse = _tables(1 << max(20, (len(data) + 1).bit_length()))
+    word = ~_BLANK[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
+    start, end = edge[::2], edge[1::2]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(byte[data] * power[: len(data)], dtype=np.uint64)])
+    h = (sums[end] - sums[start]) * inverse[start]
+    h ^= h >> np.uint64(32)
+    return start, h * _MIX
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each UTF-8 text."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < CHUNK):
+            size += len(texts[upto])
+            upto += 1
+        start, hashes = _word_hashes(np.frombuffer(b"\n".join(texts[at:upto]).translate(_LOWER), np.uint8))
+        first = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[at:upto]])]))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield _shingles(hashes[a:b])
+        at = upto
+
+
+def _shingles(w: np.ndarray) -> np.ndarray:
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = _word_hashes(words)
     k = min(K, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
         h = (h ^ (h >> np.uint64(29))) * _MIX + w[j : j + len(h)] * _STEP
     h ^= h >> np.uint64(32)
-    return np.unique(h * _MIX)
+    h *= _MIX
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -87,27 +120,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate([*arrays, np.empty(0, np.uint64)])), pa.int64()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], parts: bool) -> Iterator[pa.RecordBatch]:
-    """id, n, digest and, with parts, the prefix and the whole set where that is small."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n, digest of the set, and the whole set where it is small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            sets = [shingle_set(t) for t in some.column(1).cast(pa.binary()).to_pylist()]
-            digest = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-            out = [some.column(0), pa.array([len(s) for s in sets], pa.int32()), digest]
-            names = ["id", "n", "digest"]
-            if parts:
-                out += [_lists([s[: len(s) // 4 + 1] for s in sets]), _lists([s if len(s) <= SMALL_MOST else s[:0] for s in sets])]
-                names += ["prefix", "whole"]
-            yield pa.RecordBatch.from_arrays(out, names)
+        sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+        digest = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+        whole = _lists([s if len(s) <= SMALL_MOST else s[:0] for s in sets])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), digest, whole], ["id", "n", "digest", "whole"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, digest and the first third of each set."""
+    for batch in batches:
+        sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+        digest = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), digest, _lists([s[: len(s) // 3 + 1] for s in sets])], ["id", "digest", "prefix"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            sets = [shingle_set(t) for t in some.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], ["id", "n", "tokens"])
+        sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], ["id", "n", "tokens"])
 
 
 def _boundary(classes: DataFrame, lists: DataFrame) -> int:
@@ -117,7 +150,7 @@ def _boundary(classes: DataFrame, lists: DataFrame) -> int:
     best = 0
     for x in range(1, SMALL_MOST + 1):
         subsets = sum(c * sum(comb(n, k) for k in _overlaps(n, x)) for n, c in by_size.items())
-        scans = sum(c * (n // 4 + 1) * mean for n, c in by_size.items() if n <= x)
+        scans = sum(c * (n // 3 + 1) * mean for n, c in by_size.items() if n <= x)
         if subsets <= max(scans, 8.0 * sum(by_size.values())):
             best = x
     return best
@@ -169,20 +202,27 @@ def _sizes_fit(x: Column, y: Column) -> Column:
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
 
-def _light_pairs(lists: DataFrame, classes: DataFrame, boundary: int) -> DataFrame:
+def _plausible_lists(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """token, doc, n, c (length of the list) of the sets that share enough of their prefix to be linked at all."""
+    by_token = Window.partitionBy("token")
+    shared = materialize(rows.withColumn("c", F.count("*").over(by_token)).where("c > 1").select("token", "doc"), "prefix-postings")
+    for _ in range(2):  # each round shortens the lists for the next
+        enough = shared.groupBy("doc").agg(F.count("*").alias("held")).join(sizes, "doc")
+        enough = enough.where(F.col("held") >= least_common(F.ceil(F.col("n") * 3 / 4)))
+        shared = shared.drop("n", "c").join(enough.select("doc", "n"), "doc").withColumn("c", F.count("*").over(by_token)).where("c > 1")
+    return materialize(shared, "prefix-lists")
+
+
+def _light_pairs(lists: DataFrame, boundary: int) -> DataFrame:
     """Candidate pairs a, b, common from the short lists, less those that share too little of their prefixes."""
     short = lists.where(F.col("c") <= LIGHT)
     x, y = short.select("token", F.col("doc").alias("a"), F.col("n").alias("na")), short.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"))
     met = x.join(y, "token").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")) & (F.greatest("na", "nb") > boundary))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     long = lists.where(F.col("c") > LIGHT).groupBy("doc").agg(F.count("*").alias("long"))
-    facts = classes.select("doc", "last").join(long, "doc", "left").withColumn("long", F.coalesce("long", F.lit(0)))
-    pairs = pairs.join(facts.select(F.col("doc").alias("a"), F.col("last").alias("la"), F.col("long").alias("ha")), "a")
-    pairs = pairs.join(facts.select(F.col("doc").alias("b"), F.col("last").alias("lb"), F.col("long").alias("hb")), "b")
-    # All of the prefix that ends first is known on both sides; what is not shared of it is missing from the overlap.
-    n = F.when(F.col("la") <= F.col("lb"), F.col("na")).otherwise(F.col("nb"))
-    missing = prefix_size(n) - F.col("common") - F.least("ha", "hb")
-    return pairs.where(missing <= n - needed(F.col("na"), F.col("nb"))).select("a", "b", "common")
+    pairs = pairs.join(long.toDF("a", "ha"), "a", "left").join(long.toDF("b", "hb"), "b", "left")
+    most = F.col("common") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))  # long lists may hold more
+    return pairs.where(most >= least_common(F.least("na", "nb"))).select("a", "b", "common")
 
 
 def _rare_lists(sets: DataFrame) -> DataFrame:
@@ -191,7 +231,7 @@ def _rare_lists(sets: DataFrame) -> DataFrame:
     held = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
     per = Window.partitionBy("doc")
     ranked = held.withColumns({"r": F.row_number().over(per.orderBy("c", "token")), "shared": F.count("*").over(per)})
-    kept = ranked.where(F.col("r") + F.col("n") - F.col("shared") <= prefix_size(F.col("n"))).select("token", "doc", "n")
+    kept = ranked.where(F.col("r") + F.col("n") - F.col("shared") <= F.floor(F.col("n") / 4) + 1).select("token", "doc", "n")
     return materialize(kept.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "rare-lists")
 
 
@@ -220,17 +260,16 @@ def _rest(lists: DataFrame, roots: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of docs."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    keyed = materialize(slim.mapInArrow(lambda it: _sets(it, False), "id long, n int, digest binary"), "set-digests")
-    full = slim.where("id is not null").mapInArrow(lambda it: _sets(it, True), "id long, n int, digest binary, prefix array<long>, whole array<long>")
-    classes = full.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").alias("doc"), "n", "prefix", "whole")).alias("r")).select("r.*")
-    classes = materialize(classes, "set-classes")
-    rows = classes.select("doc", F.explode("prefix").alias("token"))
-    seen = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-    facts = classes.select("doc", "n", F.element_at("prefix", -1).alias("last"))
-    lists = materialize(seen.join(facts.select("doc", "n"), "doc"), "prefix-lists")
+    keyed = materialize(slim.mapInArrow(_keys, "id long, n int, digest binary, whole array<long>"), "set-keys")
+    named = keyed.where("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").alias("doc"), "n", "whole")).alias("r"))
+    classes = named.select("r.*")
+    prefixes = slim.where("id is not null").mapInArrow(_prefixes, "id long, digest binary, prefix array<long>")
+    first = prefixes.groupBy("digest").agg(F.min(F.struct("id", "prefix")).alias("r"))  # equal sets, equal prefixes
+    rows = first.select(F.col("r.id").alias("doc"), F.explode("r.prefix").alias("token"))
+    lists = _plausible_lists(rows, classes.groupBy("doc").agg(F.max("n").alias("n")))
     boundary = _boundary(classes, lists)
     links = materialize(_small_links(classes, boundary), "small-links")
-    light = materialize(_light_pairs(lists, facts, boundary), "light-pairs")
+    light = materialize(_light_pairs(lists, boundary), "light-pairs")
     in_long = lists.where(F.col("c") > LIGHT).select("doc").distinct()
     wanted = in_long.unionByName(light.select(F.col("a").alias("doc"))).unionByName(light.select(F.col("b").alias("doc"))).distinct()
     texts = slim.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi")
@@ -247,6 +286,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not last.isEmpty():
         roots = connected(links.unionByName(last))
     # Back to rows: a class has the id of its smallest row, and a component the smallest id of its classes.
-    class_of = keyed.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("doc"))
-    named = class_of.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"))
+    named = named.select("digest", "r.doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"))
     return keyed.join(named, "digest", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
