@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placeweave.functions.text import SPACE
+from placeweave.functions.text import SPACE, let
 
 # Names of months and weekdays.
 MONTHS = {"janeiro": 1, "fevereiro": 2, "março": 3, "marco": 3, "abril": 4, "maio": 5, "junho": 6, "julho": 7, "agosto": 8, "setembro": 9, "outubro": 10, "novembro": 11, "dezembro": 12}
@@ -25,9 +25,13 @@ def lookup(values: dict[str, int], key: Column) -> Column:
 def parse_time(text: Column) -> Column:
     """HH:MM of the first time like 7h or 19h30; null if it is no time of day."""
     pattern = r"(?iu)(\d{1,2})h(\d{2})?"
-    hour, minute = first_group(text, pattern), F.coalesce(first_group(text, pattern, 2), F.lit("00"))
-    fits = (hour.cast("int") <= 23) & (minute.cast("int") <= 59)
-    return F.when(fits, F.concat_ws(":", F.lpad(hour, 2, "0"), minute))
+
+    def read(found: Column) -> Column:
+        hour, minute = F.regexp_extract(found, pattern, 1), F.coalesce(F.nullif(F.regexp_extract(found, pattern, 2), F.lit("")), F.lit("00"))
+        fits = (hour.cast("int") <= 23) & (minute.cast("int") <= 59)
+        return F.when(fits, F.concat_ws(":", F.lpad(hour, 2, "0"), minute))
+
+    return let(F.regexp_substr(text, F.lit(pattern)), lambda found: F.when(found.isNotNull(), read(found)))
 
 
 def parse_time_range(text: Column, loose: bool = True) -> Column:
@@ -39,8 +43,15 @@ def parse_time_range(text: Column, loose: bool = True) -> Column:
     blank = f"{SPACE}*" if loose else f"{SPACE}+"
     single = rf"(?iu)(?:a partir d[ae]s?{SPACE}+|às{blank}|as{SPACE}+)(\d{{1,2}}h\d{{0,2}})"
     bare = r"(?iu)\A(\d{1,2}h\d{0,2})\z"
-    start = F.when(text.rlike(ranged), parse_time(first_group(text, ranged))).when(text.rlike(single), parse_time(first_group(text, single))).when(text.rlike(bare), parse_time(first_group(text, bare)))
-    return F.struct(start.alias("time"), F.when(text.rlike(ranged), parse_time(first_group(text, ranged, 2))).alias("end_time"))
+
+    def read(t: Column) -> Column:
+        spans = F.filter(F.array(*[F.regexp_substr(t, F.lit(p)) for p in (ranged, single, bare)]), lambda x: x.isNotNull())
+        is_range = t.rlike(ranged)
+        start = let(F.get(spans, F.lit(0)), parse_time)
+        end = parse_time(F.regexp_extract(t, ranged, 2))
+        return F.struct(start.alias("time"), F.when(is_range, end).alias("end_time"))
+
+    return let(text, read)
 
 
 def explicit_date(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ STOP_WORDS_EN = ["a", "an", "the", "of", "in", "on", "at", "to", "for", "by", "w
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&#8211;", "–"), ("&#8216;", "‘"), ("&#8217;", "’"), ("&#8220;", "“"), ("&#8221;", "”")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value written and computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
