@@ -41,6 +41,8 @@ K = 5
 LIGHT = 24
 #: Sets that may be small.
 SMALL_MOST = 10
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -138,9 +140,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n, the whole set, and the parities of its shingles over SKETCH classes of hashes, as bits."""
     for batch in batches:
         sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], ["id", "n", "tokens"])
+        odd = np.array([np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for s in sets], np.uint8).reshape(-1, SKETCH)
+        bits = np.packbits(odd, axis=1).view(np.int64)
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (SKETCH // 64), pa.int32()), pa.array(bits.ravel(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), sketch], ["id", "n", "tokens", "sketch"])
 
 
 def _boundary(classes: DataFrame, lists: DataFrame) -> int:
@@ -226,34 +232,47 @@ def _light_pairs(lists: DataFrame, boundary: int) -> DataFrame:
 
 
 def _rare_lists(sets: DataFrame) -> DataFrame:
-    """token, doc, n of the prefixes in the order of rarity among these sets; only shingles that two sets hold."""
+    """token, doc, n, own, room of the prefixes in the order of rarity among these sets; only shingles that two sets hold.
+
+    own: shingles that no other set has. A partner can share the others at most, so it has room elements at most.
+    """
     rows = sets.select("doc", "n", F.explode("tokens").alias("token"))
     held = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
     per = Window.partitionBy("doc")
     ranked = held.withColumns({"r": F.row_number().over(per.orderBy("c", "token")), "shared": F.count("*").over(per)})
-    kept = ranked.where(F.col("r") + F.col("n") - F.col("shared") <= F.floor(F.col("n") / 4) + 1).select("token", "doc", "n")
+    ranked = ranked.withColumns({"own": F.col("n") - F.col("shared"), "room": F.floor((7 * F.col("shared") - 3 * F.col("n")) / 3)})
+    kept = ranked.where((F.col("r") + F.col("own") <= F.floor(F.col("n") / 4) + 1) & (4 * F.col("room") >= 3 * F.col("n"))).select("token", "doc", "n", "own", "room")
     return materialize(kept.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "rare-lists")
 
 
+def _may_link(n: Column, room: Column, other_n: Column, other_room: Column) -> Column:
+    return _sizes_fit(n, other_n) & (n <= other_room) & (other_n <= room)
+
+
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every member of a list with one of them."""
-    pick = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n")).alias("p"))
-    met = lists.join(pick, "token").where((F.col("doc") != F.col("p.doc")) & _sizes_fit(F.col("n"), F.col("p.n")))
+    """Pairs of every member of a list with one of them, one with few shingles of its own: it lies near all others."""
+    near = F.floor(F.col("own") * (1024 if turn == 1 else 16) / F.col("n"))
+    pick = lists.groupBy("token").agg(F.min(F.struct(near.alias("near"), F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "room")).alias("p"))
+    met = lists.join(pick, "token").where((F.col("doc") != F.col("p.doc")) & _may_link(F.col("n"), F.col("room"), F.col("p.n"), F.col("p.room")))
     return met.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
 
 
-def _rest(lists: DataFrame, roots: DataFrame) -> DataFrame:
+def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of list members that no component joins yet. Lists within one component drop out first.
 
-    In every other list its largest component is met by the rest, and the rest by itself.
+    In every other list its largest component is met by the rest, and the rest by itself. Sets of a and b elements
+    with similarity 3/4 differ in (a + b) / 7 shingles at most, and in no fewer than their parity sketches do; that
+    is part of the join's condition, so other pairs are not even made.
     """
-    marked = lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    marked = lists.drop("c", "own").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     groups = marked.groupBy("token", "root").agg(F.count("*").alias("g"))
     main = groups.groupBy("token").agg(F.max(F.struct("g", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    open_ = marked.join(main, "token")
-    x = open_.where("root <> main").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = x.join(y, "token").where((F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb")))
+    open_ = marked.join(main, "token").join(sets.select("doc", "sketch"), "doc")
+    x = open_.where("root <> main").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ma"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    y = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("room").alias("mb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    differ = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    near = 7 * differ <= F.col("na") + F.col("nb")
+    met = x.join(y, "token").where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -273,7 +292,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in_long = lists.where(F.col("c") > LIGHT).select("doc").distinct()
     wanted = in_long.unionByName(light.select(F.col("a").alias("doc"))).unionByName(light.select(F.col("b").alias("doc"))).distinct()
     texts = slim.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_whole_sets, "id long, n int, tokens array<long>").withColumnRenamed("id", "doc"), "whole-sets")
+    sets = materialize(texts.mapInArrow(_whole_sets, "id long, n int, tokens array<long>, sketch array<long>").withColumnRenamed("id", "doc"), "whole-sets")
     rare = _rare_lists(sets.join(in_long, "doc", "left_semi"))
     best = light.groupBy("a").agg(F.max(F.struct("common", F.col("b")))["b"].alias("b"))
     first = best.unionByName(_pivots(rare, 1))
@@ -282,7 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _apart(light.select("a", "b").unionByName(_pivots(rare, 2)), roots)
     links = materialize(links.unionByName(_similar(more, sets)), "links-2")
     roots = connected(links)
-    last = materialize(_similar(_rest(rare, roots), sets), "links-3")
+    last = materialize(_similar(_rest(rare, roots, sets), sets), "links-3")
     if not last.isEmpty():
         roots = connected(links.unionByName(last))
     # Back to rows: a class has the id of its smallest row, and a component the smallest id of its classes.
