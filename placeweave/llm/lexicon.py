@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept in one worker; beyond it the memory starts anew, which changes cost but no result.
 MOST_WORDS = 800_000
@@ -32,7 +36,11 @@ class Lexicon:
             if len(self.number) + len(new) > MOST_WORDS:
                 self.clear()
                 new = list(set(words))
-            ids, lengths = self.encode_words(new)
+            gc.disable()  # lists by the hundred thousand, none of them in a cycle
+            try:
+                ids, lengths = self.encode_words(new)
+            finally:
+                gc.enable()
             base, n = len(self.flat), len(self.number)
             self.number.update(zip(new, range(n, n + len(new)), strict=True))
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
@@ -70,3 +78,27 @@ def encode_texts(texts: Sequence[str], split: Callable[[str], list[str]], lexico
         ends = np.concatenate([[0], np.cumsum(lengths)])
         upto = np.concatenate([[0], np.cumsum([len(ws) for ws in split_texts])]).astype(np.int64)
         yield ids, np.diff(ends[upto])
+
+
+#: Bytes of text split at once.
+SPLIT_BYTES = 4_000_000
+
+
+def encode_split(texts: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Flat ids of texts split at ASCII white space, and how many each text has, some texts at a time.
+
+    Arrow splits and numbers the words, so Python sees each distinct word of a stretch of texts once.
+    """
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // SPLIT_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)] if len(texts) else []
+    for a, b in pairwise(edges):
+        lists = pc.ascii_split_whitespace(texts.slice(a, b - a))
+        coded = lists.flatten().dictionary_encode()
+        ids, lengths = lexicon.encode(coded.dictionary.to_pylist())
+        start = np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        of_word = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(of_word)])
+        upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        yield ids[spread(start[at], of_word)], np.diff(ends[upto])
