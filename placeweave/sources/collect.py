@@ -39,7 +39,8 @@ def enrich(places: DataFrame, details: DataFrame, key: str = "place_id") -> Data
 def first_seen(found: DataFrame, key: str, order: str, hint: str) -> DataFrame:
     """One row per key, the first in order; the hints of the later ones follow in alternates, in order."""
     fields = F.struct(order, *[c for c in found.columns if c not in (key, order)])
-    alternates = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(hint).alias("h")))), 2, 2**31 - 1), lambda x: x["h"])
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(hint).alias("h"))))
+    alternates = F.transform(F.filter(in_order, lambda x, i: i > 0), lambda x: x["h"])
     return found.groupBy(key).agg(F.min(fields).alias("r"), alternates.alias("alternates")).select(key, "r.*", "alternates")
 
 
