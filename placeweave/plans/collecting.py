@@ -34,7 +34,7 @@ def a04(spark, sf_dir):
     return c.enrich(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), details, "p_partkey")
 
 
-@query("A05_first_seen", "SELECT l_partkey, min_by(l_returnflag, o) AS l_returnflag, array_to_string((list(l_linestatus ORDER BY o))[2:], ',') AS alternates FROM (SELECT *, l_orderkey * 10 + l_linenumber AS o FROM lineitem) GROUP BY l_partkey")
+@query("A05_first_seen", "SELECT l_partkey, min_by(l_returnflag, (o, l_returnflag)) AS l_returnflag, array_to_string((list(l_linestatus ORDER BY o, l_linestatus))[2:], ',') AS alternates FROM (SELECT *, l_orderkey * 10 + l_linenumber AS o FROM lineitem) GROUP BY l_partkey")
 def a05(spark, sf_dir):
     found = _t(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), "l_returnflag", "l_linestatus")
     return c.first_seen(found, "l_partkey", "o", "l_linestatus").select("l_partkey", "l_returnflag", F.array_join("alternates", ",").alias("alternates"))
