@@ -8,6 +8,11 @@ refinement: suffixes are interleaved by their first 8 bytes, and each round doub
 up the block that lies as many bytes further on; suffixes alone in their block drop out, so later rounds touch only
 common prefixes. The blocks at depth 200 with more than one suffix are the repeated intervals.
 
+A minimizer with more than BATCH_BYTES of distinct stretches is not compared in one task. Equal windows hold the
+minimizer's first gram at the same place, so windows are named by Spark in two rounds: first by the block that all
+windows with that place in one stretch of STEPS[0] share, then one by one. A name that occurs once is dropped with the
+windows it stands for; names are 128-bit hashes, counted by an aggregate, and meet in no single task.
+
 Defined results: a null text is empty; texts of fewer than 200 bytes lose nothing; equal texts of 200 bytes or more
 lose everything, repeated rows included; the strings are judged on the input; other columns are left to the caller.
 """
@@ -30,6 +35,10 @@ GRAMS = LENGTH - GRAM + 1
 MOST_WINDOWS = 256
 #: Bytes of stretches compared in one go; a minimizer's stretches stay together.
 BATCH_BYTES = 1 << 20
+#: Places of the minimizer that one name covers, by round. The last must be 1.
+STEPS = (16, 1)
+#: Stretches of one minimizer from which its counts are broadcast rather than dealt: so many at most as rows / HOT_ROWS.
+HOT_ROWS = 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -170,6 +179,58 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(len(keys))
 
 
+def _names(step: int):
+    """key, digest, weight, part, single (pairs of windows known to occur once) -> a row per block of the other windows.
+
+    A row stands for windows lo to hi of its stretch, whose place of the minimizer, over step, is the same.
+    """
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": pa.int64(), "digest": pa.int64(), "weight": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "h1": pa.int64(), "h2": pa.int64()}
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, digest, weight, part, single in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                g = gram_hashes(np.frombuffer(part, np.uint8))
+                at = np.flatnonzero(g == np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+                window = np.arange(len(part) - LENGTH + 1)
+                place = at[np.searchsorted(at, window)]  # of the first minimizer in each window
+                last = place - (place - window) // step * step  # the last window of its block, if the stretch reaches so far
+                open_ = np.ones(len(window), bool)
+                for s in single or ():
+                    open_[s["lo"] : s["hi"] + 1] = False
+                edge = np.flatnonzero(np.append(True, (last[1:] != last[:-1]) | (place[1:] != place[:-1])))
+                for lo, hi in zip(edge.tolist(), [*(edge[1:] - 1).tolist(), len(window) - 1], strict=True):
+                    if open_[lo]:
+                        block = int(last[lo])
+                        h = xxhash.xxh3_128_digest(part[block : block + LENGTH + 1 - step])
+                        rows.append((key, digest, weight, lo, hi, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    return run
+
+
+def _compare_dealt(parts: DataFrame) -> DataFrame:
+    """key, digest, from, to of the repeated windows of distinct stretches, whatever their number by key."""
+    left = parts.withColumn("single", F.expr("cast(array() as array<struct<lo: int, hi: int>>)"))
+    for step in STEPS:
+        named = left.select("key", "digest", "weight", "part", "single").mapInArrow(_names(step), "key long, digest long, weight long, lo int, hi int, h1 long, h2 long")
+        # Of a name that occurs once, the smallest of each column are those of its only row. The key is part of the bytes.
+        once = named.groupBy("h1", "h2").agg(F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in ("key", "digest", "lo", "hi"))).where("weight = 1")
+        single = once.groupBy("key", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("new"))  # windows of one stretch at most
+        left = left.join(single, ["key", "digest"], "left").withColumn("single", F.when(F.col("new").isNull(), F.col("single")).otherwise(F.concat("single", "new"))).drop("new")
+    ends = F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi")))
+    bars = F.sort_array(F.concat(ends, F.col("single"), F.transform(F.array((F.length("part") - (LENGTH - 1)).cast("int")), lambda n: F.struct(n.alias("lo"), n.alias("hi")))))
+    gaps = left.select("key", "digest", bars.alias("bars")).select(
+        "key", "digest", F.inline(F.zip_with(F.slice("bars", F.lit(1), F.size("bars") - 1), F.slice("bars", F.lit(2), F.size("bars") - 1), lambda a, b: F.struct((a["hi"] + 1).alias("from"), b["lo"].alias("to"))))
+    )
+    return gaps.where(F.col("from") < F.col("to"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, array of (key, digest, weight, first, windows) -> one row per stretch with its bytes."""
     for batch in batches:
@@ -203,18 +264,25 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(slim: DataFrame) -> DataFrame:
     """id, tie, from, to: byte spans covered by repeated strings; spans of one text may overlap. slim: id, tie, text."""
-    found = slim.mapInArrow(_find, "id long, tie long, first int, windows int, key long, digest long, twice boolean")
-    by_key = W.partitionBy("key")
-    counted = found.withColumns({"n": F.count("*").over(by_key), "one": F.min("digest").over(by_key) == F.max("digest").over(by_key), "self": F.max("twice").over(by_key)})
-    met = materialize(counted.where("n > 1 or self").drop("n", "twice"), "repeat-stretches")
+    found = materialize(slim.mapInArrow(_find, "id long, tie long, first int, windows int, key long, digest long, twice boolean"), "repeat-found")
+    counts = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("one"), F.max("twice").alias("self"))
+    counts = materialize(counts.where("n > 1 or self"), "repeat-keys")
+    many = counts.where(F.col("n") >= HOT_ROWS).select("key", F.struct("one", "self").alias("k"))
+    tagged = found.drop("twice").join(F.broadcast(many), "key", "left")
+    columns = ["id", "tie", "first", "windows", "key", "digest", "one", "self"]
+    few = tagged.where("k is null").join(counts.where(F.col("n") < HOT_ROWS).select("key", "one", "self"), "key").select(*columns)
+    met = materialize(few.unionByName(tagged.where("k is not null").select(*columns[:6], "k.one", "k.self")), "repeat-stretches")
     same = met.where("one and not self")  # the stretch occurs twice or more, and nothing else has its minimizer
     mixed = met.where("not one or self")
     chosen = mixed.groupBy("key", "digest").agg(F.min(F.struct("id", "tie", "first", "windows")).alias("c"), F.count("*").alias("weight"))
     wanted = chosen.groupBy("c.id", "c.tie").agg(F.collect_list(F.struct("key", "digest", "weight", F.col("c.first").alias("first"), F.col("c.windows").alias("windows"))).alias("wanted"))
     parts = slim.join(wanted, ["id", "tie"]).select("text", "wanted").mapInArrow(_cut, "key long, digest long, weight long, part binary")
-    dealt = parts.groupBy("key", "digest").agg(F.first("weight").alias("weight"), F.first("part").alias("part"))
-    runs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "key long, digest long, `from` int, `to` int")
-    runs = materialize(runs, "repeat-runs")
+    dealt = materialize(parts.groupBy("key", "digest").agg(F.first("weight").alias("weight"), F.first("part").alias("part")), "repeat-parts")
+    large = dealt.groupBy("key").agg(F.sum(F.length("part")).alias("size")).where(F.col("size") > BATCH_BYTES).select("key")
+    large = F.broadcast(materialize(large, "repeat-large"))  # one key a BATCH_BYTES of stretches at most
+    own = dealt.join(large, "key", "left_anti")
+    runs = own.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "key long, digest long, `from` int, `to` int")
+    runs = materialize(runs.unionByName(_compare_dealt(dealt.join(large, "key", "left_semi"))), "repeat-runs")
     hit = mixed.join(runs, ["key", "digest"]).select("id", "tie", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + (LENGTH - 1)).alias("to"))
     return hit.unionByName(same.select("id", "tie", F.col("first").alias("from"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("to")))
 

@@ -1,7 +1,9 @@
 """Operators against plain versions, libraries and SQL, on small fixtures with all kinds of odd rows."""
 
 import hashlib
+import os
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -275,6 +277,43 @@ def test_repeats_in_noise(spark, seed):
     assert got == dict(enumerate(brute.repeats(texts)))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_a_common_minimizer_meet_in_no_single_task(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    common = passage(7, 70)
+    pool = [passage(20 + i, 50) for i in range(6)] + ["a" * 700, "abc" * 200, "\u00e9x" * 150]
+    texts = [f"{r.choice(pool)} {r.random()} {common} {r.random()} {r.choice(pool)}" + "Q" * r.randint(0, 3) + r.choice(["", common[:230], common[40:90]]) for _ in range(60)]
+    # Stretches of up to 2000 bytes a minimizer are compared in one task; no task may be given more of one than that.
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(repeats, "HOT_ROWS", 10)
+    compared, seen = repeats._compare, new_path(spark, "largest")
+    os.makedirs(seen)
+
+    def watched(batches):
+        for batch in batches:
+            sizes = Counter()
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                sizes[key] += len(part)
+            with open(f"{seen}/{uuid.uuid4()}", "w") as f:
+                f.write(str(max(sizes.values(), default=0)))
+            yield from compared(iter([batch]))
+
+    monkeypatch.setattr(repeats, "_compare", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in repeats.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute.repeats(texts)))
+    assert max((int(open(f"{seen}/{n}").read()) for n in os.listdir(seen)), default=0) <= 2000
+
+
+@pytest.mark.parametrize("large", [0, 1 << 20])
+def test_repeats_compared_apart_or_together(spark, large, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", large)
+    texts = [*ODD, *(passage(1, 40 + i) + f" {i} " + passage(2, 30 + i) for i in range(12))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in repeats.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute.repeats(texts)))
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, passage(1)), (5, passage(1)), (5, passage(1)), (5, passage(9)), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
