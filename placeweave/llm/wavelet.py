@@ -6,7 +6,8 @@ rank step, size of a packed plane), the zeros of each plane (b x int64), documen
 (int32). Plane 0 holds the top bit of every id in text order; each plane is a stable partition of the one before.
 
 Images are written by Spark as the binary column ``image`` of a Parquet table, one row per shard, so any store that
-Spark reaches will do, and a lost task writes its shards again.
+Spark reaches will do, and a lost task writes its shards again. Rows carry a shard number, which rises in the order of
+ids: the partition in its upper half, and the count of shards before in that partition in its lower half.
 
 Defined results: a null text encodes like an empty one, to the end id alone; rows with equal ids lie next to one
 another in the order of a hash of their text; a null id is written as the smallest 64-bit number and comes first; an
@@ -24,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,33 +199,33 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(tokenizer.value)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []  # ids, document ids, token counts, first tie
-        size = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, document ids, token counts
+        size, shard = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             ids, doc_ids, counts = (np.concatenate([h[k] for h in held]) for k in range(3))
             image = build(ids, doc_ids, np.cumsum(counts), bits)
-            return pa.RecordBatch.from_pydict({"first_id": [int(doc_ids[0])], "first_tie": [held[0][3]], "n_tokens": [len(ids)], "image": [image]})
+            return pa.RecordBatch.from_pydict({"shard": [shard], "first_id": [int(doc_ids[0])], "n_tokens": [len(ids)], "image": [image]})
 
         for batch in batches:
-            doc_ids, ties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = 0
-            for ids, counts in encode_split(batch.column(2), lexicon):  # this vocabulary drops white space
+            for ids, counts in encode_split(batch.column(1), lexicon):  # this vocabulary drops white space
                 upto = at + len(counts)
-                held.append((np.insert(ids, np.cumsum(counts), end_id), doc_ids[at:upto], counts + 1, ties[at]))
+                held.append((np.insert(ids, np.cumsum(counts), end_id), doc_ids[at:upto], counts + 1))
                 size += len(held[-1][0])
                 at = upto
                 if size >= SHARD_TOKENS:
                     yield flush()
-                    held, size = [], 0
+                    held, size, shard = [], 0, shard + 1
         if held:
             yield flush()
 
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(text_col, F.lit("")).alias("text")
     )
-    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
-    images = ordered.mapInArrow(pack, "first_id long, first_tie long, n_tokens long, image binary")
+    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    images = ordered.mapInArrow(pack, "shard long, first_id long, n_tokens long, image binary")
     images.write.option("compression", "zstd").parquet(path)
 
 
@@ -232,28 +234,28 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first_id, first_tie, image in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for number, image in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 shard = Shard(image)
                 data = shard.tokens().astype("<u4").tobytes()
                 ends = shard.doc_ends
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
-                yield pa.RecordBatch.from_pydict({"first_id": pa.array([first_id] * n, pa.int64()), "first_tie": pa.array([first_tie] * n, pa.int64()), "doc_id": shard.doc_ids, "local": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([number] * n, pa.int64()), "doc_id": shard.doc_ids, "local": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
 
-    shards = spark.read.schema("first_id long, first_tie long, n_tokens long, image binary").parquet(path)
-    docs = shards.select("first_id", "first_tie", "image").mapInArrow(unpack, "first_id long, first_tie long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    shards = spark.read.schema("shard long, n_tokens long, image binary").parquet(path)
+    docs = shards.select("shard", "image").mapInArrow(unpack, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
     # Tokens before a shard: sums by file (one file per range of ids), then by shard within its file.
-    sizes = materialize(shards.select(F.input_file_name().alias("file"), "first_id", "first_tie", "n_tokens"), "shard-sizes")
-    files = sizes.groupBy("file").agg(F.min(F.struct("first_id", "first_tie")).alias("at"), F.sum("n_tokens").alias("n"))
+    sizes = materialize(shards.select(F.input_file_name().alias("file"), "shard", "n_tokens"), "shard-sizes")
+    files = sizes.groupBy("file").agg(F.min("shard").alias("at"), F.sum("n_tokens").alias("n"))
     files = running_offsets(files, [], ["at"], "n").select("file", F.col("before").alias("file_before"))
-    within = running_offsets(sizes, ["file"], ["first_id", "first_tie"], "n_tokens").join(files, "file")
-    offsets = within.select("first_id", "first_tie", (F.col("before") + F.col("file_before")).alias("before"))
-    out = docs.join(offsets, ["first_id", "first_tie"])
+    within = running_offsets(sizes, ["file"], ["shard"], "n_tokens").join(files, "file")
+    offsets = within.select("shard", (F.col("before") + F.col("file_before")).alias("before"))
+    out = docs.join(offsets, "shard")
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_shard(spark: SparkSession, path: str, doc_id: int) -> Shard:
     """The shard that holds doc_id: the last that begins at or before it. One image, of bounded size, comes here."""
     shards = spark.read.parquet(path).where(F.col("first_id") <= doc_id)
-    return Shard(bytes(shards.orderBy(F.desc("first_id"), F.desc("first_tie")).first()["image"]))
+    return Shard(bytes(shards.orderBy(F.desc("first_id"), F.desc("shard")).first()["image"]))

@@ -262,6 +262,24 @@ def test_wavelet_files(spark, odd, monkeypatch):
     assert [shard.access(i) for i in range(0, len(own), 17)] == own[::17]
 
 
+def test_wavelet_rows_equal_in_id_and_text_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a shard for every two rows
+    try:
+        df = spark.createDataFrame([(None, None)] * 7 + [(5, passage(1))] * 9 + [(6, "one two")], "doc_id long, text string")
+        path = new_path(spark, "wavelet")
+        wavelet.write_token_shards(df, path, queries.tokenizer_path("word_bpe_49k.json"))
+        got = sorted(wavelet.read_token_shards(spark, path).collect(), key=lambda r: r["start"])
+        assert spark.read.parquet(path).count() >= 8
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["doc_id"] for r in got] == [None] * 7 + [5] * 9 + [6]
+    start = 0
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+
+
 def test_repeats(odd):
     got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in repeats.remove_repeats(odd).collect()}
     assert got == dict(enumerate(brute.repeats(ODD)))
