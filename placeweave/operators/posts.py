@@ -78,7 +78,7 @@ def schedule(values: Column, scans: Column) -> Column:
     all_dates = F.array_distinct(F.flatten(F.transform(scans, dates)))
     ok = (F.size(scans) > 0) & F.forall(scans, clear) & (F.size(all_dates) == 1)
     end = F.element_at(F.get(scans, F.lit(0))["mentions"], -1)["end"]
-    rest = F.when(F.size(values) == 1, trim(F.regexp_replace(F.substring(F.get(values, F.lit(0)), end + 1, F.lit(100000)), rf"^(?:{SPACE}|[,;–-])+", "")))
+    rest = F.when(F.size(values) == 1, trim(F.regexp_replace(F.substring(F.get(values, F.lit(0)), end + 1, F.length(F.get(values, F.lit(0)))), rf"^(?:{SPACE}|[,;–-])+", "")))
     first = F.get(all_dates, F.lit(0))
     return F.struct(F.when(ok, first["date"]).alias("date"), F.when(ok, first["end_date"]).alias("end_date"), F.when(ok & (rest != ""), rest).alias("rest"))
 
@@ -95,21 +95,21 @@ def structured_items(posts: DataFrame) -> DataFrame:
     text = strip_html(F.col("block"))
     strong = strong.withColumns({"raw_text": text, "lines": _lines(text)})
     title = trim(strip_html(F.regexp_extract("block", STRONG, 1)))
-    strong = strong.withColumns({"title": title, "tail": F.slice("lines", 2, 100000), "event": F.lit(False)}).drop("block")
+    strong = strong.withColumns({"title": title, "tail": F.slice("lines", F.lit(2), F.size("lines")), "event": F.lit(False)}).drop("block")
     # Without any block, lines labelled "Evento:" begin the segments.
     lines = F.filter(F.transform(F.split(strip_html(F.col("after")), "\n"), trim), lambda x: x != "")
     plain = found.where(F.size("blocks") == 0).withColumn("all", lines)
     starts = F.filter(F.transform(F.col("all"), lambda x, i: F.when(x.rlike(EVENT_LABEL), i)), lambda i: i.isNotNull())
     plain = plain.withColumn("starts", starts).select("post_id", "at", "all", "starts", F.posexplode("starts").alias("idx", "start"))
     segment = F.slice("all", F.col("start") + 1, F.coalesce(F.get("starts", F.col("idx") + 1), F.size("all")) - F.col("start"))
-    plain = plain.withColumn("lines", segment).withColumns({"raw_text": F.array_join("lines", "\n"), "title": trim(F.regexp_replace(F.get("lines", F.lit(0)), EVENT_LABEL, "")), "tail": F.slice("lines", 2, 100000), "event": F.lit(True)})
+    plain = plain.withColumn("lines", segment).withColumns({"raw_text": F.array_join("lines", "\n"), "title": trim(F.regexp_replace(F.get("lines", F.lit(0)), EVENT_LABEL, "")), "tail": F.slice("lines", F.lit(2), F.size("lines")), "event": F.lit(True)})
     rows = strong.unionByName(plain.drop("all", "starts", "start")).withColumn("values", label_values(F.col("tail")))
     scanned = rows.withColumn("s", schedule(F.col("values"), scan_labels_column()(F.col("values"), F.col("at"))))
     head = F.transform(F.split(F.coalesce(F.get("lines", F.lit(0)), F.lit("")), rf"{SPACE}[–-]{SPACE}"), trim)
     time_of = lambda x: parse_time_range(x)["time"]
     second = F.get(F.col("head"), F.lit(1))
     labelled, dated = parse_time_range(trim(_first(F.col("lines"), TIME_LABEL))), parse_time_range(F.col("s.rest"))
-    in_head = F.get(F.filter(F.transform(F.slice(F.col("head"), 2, 1000), lambda x: parse_time_range(x)), lambda t: t["time"].isNotNull()), F.lit(0))
+    in_head = F.get(F.filter(F.transform(F.slice(F.col("head"), F.lit(2), F.size("head")), lambda x: parse_time_range(x)), lambda t: t["time"].isNotNull()), F.lit(0))
     best = F.when(labelled["time"].isNotNull(), labelled).when(dated["time"].isNotNull(), dated).when(~F.col("event"), in_head)
     place = F.coalesce(F.nullif(trim(_first(F.col("lines"), PLACE_LABEL)), F.lit("")), F.when(~F.col("event") & time_of(second).isNull(), F.nullif(second, F.lit(""))))
     out = scanned.withColumn("head", head).withColumns({"t": best, "venue_name": place}).select("post_id", "idx", "at", "title", "s.date", "s.end_date", "t.time", "t.end_time", "venue_name", "raw_text")

@@ -122,6 +122,23 @@ def test_posts_end_to_end(spark):
     assert sorted((r["post_id"], r["reason"]) for r in skipped.collect()) == [(3, "no_extractable_schedule_found"), (4, "narrative_ambiguous")]
 
 
+def test_labels_far_down_in_long_posts_are_found(spark):
+    many = "<br>".join(["x"] * 100_002)
+    parts = " – ".join(["x"] * 1002 + ["8h às 9h"])
+    html = {
+        1: f"SERVIÇO<p><strong>Yoga</strong><br>{many}<br>Dia: 12 de março de 2026</p>",
+        2: f"SERVIÇO<p>Evento: Feira<br>{many}<br>Dia: 12 de março de 2026</p>",
+        3: f"SERVIÇO<p><strong>Yoga</strong> – {parts}<br>Dia: 12 de março de 2026</p>",
+    }
+    rows = [(k, v, "SERVIÇO", datetime(2026, 3, 1)) for k, v in html.items()]
+    got = {r["post_id"]: r for r in posts.structured_items(spark.createDataFrame(rows, "post_id long, html string, marker string, at timestamp")).collect()}
+    assert {k: r["date"] for k, r in got.items()} == dict.fromkeys(html, "2026-03-12")
+    assert got[3]["time"] == "08:00"
+    values = F.array(F.lit("12 de março de 2026" + "y" * 100_001))
+    scans = F.expr("array(named_struct('mentions', array(named_struct('date', '2026-03-12', 'end_date', cast(null as string), 'until', false, 'end', 19)), 'issues', cast(array() as array<string>)))")
+    assert spark.range(1).select(F.length(posts.schedule(values, scans)["rest"]).alias("n")).first()["n"] == 100_001
+
+
 def test_sanitized_manifests(spark, tmp_path):
     df = spark.createDataFrame([(1, "2026-01-01", "failed with apikey=abc at https://u:p@h.org/x"), (1, "2026-01-02", "ok"), (2, "2026-01-03", "other version")], "version int, started_at string, reason string")
     collect.write_manifests(df, str(tmp_path / "m"))
