@@ -1,13 +1,16 @@
 """Order MinHash fingerprints, with built-in functions only.
 
-Each k-mer of words is numbered by its occurrence, so repeats count. All numbered k-mers are hashed once; the low bits
-deal them to bins, and each bin keeps its ``per_bin`` smallest hashes. Those stay in the order of the text, and a bin's
-ordered tuple is hashed to one component: moving text around changes components even where the k-mers stay the same.
-The likeness of two fingerprints is the share of equal components among the bins that either of them fills.
+Each k-mer of words is numbered by its occurrence, so repeats count. All numbered k-mers are hashed once onto a ring;
+component b of the fingerprint has a hash function of its own, the distance on the ring from the b-th of evenly spaced
+points. It keeps the ``per_bin`` k-mers that are smallest under that function, in the order of the text, and hashes
+their tuple: moving text around changes components even where the k-mers stay the same. Every component is filled,
+however short the text. The likeness of two fingerprints is the share of equal components.
 
 Defined results: a null or blank text has no k-mer, an all-empty fingerprint, and likeness 1 to another such text and
-0 to any other; fewer than k words are one k-mer; rows are independent, so repeated rows give repeated results; other
-columns pass through.
+0 to any other; fewer than k words are one k-mer, and a text with fewer k-mers than ``per_bin`` keeps all of them in
+every component; texts of any length cost in proportion to their words, times the logarithm of them for sorting; rows
+are independent, so repeated rows give repeated results, and of equal ids the order is that of a hash of the row; an
+empty table gives an empty table. Columns other than id and text are left to the caller.
 """
 
 from __future__ import annotations
@@ -53,61 +56,40 @@ def numbered_hashes(w: Column, k: int = K) -> Column:
     return let(plain, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(number(h)))
 
 
-def signature(text: Column, k: int = K, bins: int = BINS, per_bin: int = PER_BIN) -> Column:
-    """array<int> of length bins; null where a bin is empty. bins: a power of two."""
-    shift = 64 - (bins - 1).bit_length()
-
-    def components(h: Column) -> Column:
-        # Unsigned order is signed order after flipping the top bit; a bin is then a contiguous stretch of the sorted array.
-        flipped = F.transform(h, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
-        bin_of = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), shift)
-
-        def limits(s: Column) -> Column:
-            """The largest hash that each non-empty bin keeps, by bin."""
-            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (bin_of(F.get(s, j)) != bin_of(F.get(s, F.greatest(j - 1, F.lit(0))))))
-
-            def limit(st: Column) -> Column:
-                reach = lambda j, r: F.least(j + (per_bin - 1), F.coalesce(F.get(st, r + 1), F.size(s)) - 1)
-                return F.map_from_entries(F.transform(st, lambda j, r: F.struct(bin_of(F.get(s, j)), F.get(s, reach(j, r)))))
+#: Low bits of a ring place that hold the place in the text; the others are the hash. All ones mark a component's point.
+PLACE = (1 << 30) - 1
 
-            return let(first, limit)
 
-        def hashed(e: Column) -> Column:
-            """One component per bin from its elements, which stand together, in text order."""
-            first = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda j: (j == 0) | (F.get(e, j)["b"] != F.get(e, F.greatest(j - 1, F.lit(0)))["b"]))
-
-            def component(st: Column) -> Column:
-                length = lambda j, r: F.coalesce(F.get(st, r + 1), F.size(e)) - j
-                each = F.transform(st, lambda j, r: F.struct(F.get(e, j)["b"], F.shiftright(F.xxhash64(F.transform(F.slice(e, j + 1, length(j, r)), lambda y: y["x"])), 32).cast("int")))
-                return let(F.map_from_entries(each), lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.element_at(m, b.cast("bigint"))))
-
-            return let(first, component)
-
-        def by_bin(sorted_and_text: Column) -> Column:
-            def pick(m: Column) -> Column:
-                top = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.element_at(m, b.cast("bigint")))
+def signature(text: Column, k: int = K, bins: int = BINS, per_bin: int = PER_BIN) -> Column:
+    """array<int> of length bins; nulls where the text has no k-mer. bins: a power of two."""
+    points = F.array(*[F.lit(((b << 64) // bins - (1 << 63)) | PLACE) for b in range(bins)])
 
-                def tuples(t: Column) -> Column:
-                    kept = F.filter(sorted_and_text["text"], lambda x: x <= F.get(t, bin_of(x).cast("int")))
-                    return let(F.sort_array(F.transform(kept, lambda x, i: F.struct(bin_of(x).alias("b"), i.alias("i"), x.alias("x")))), hashed)
+    def components(h: Column) -> Column:
+        n = F.size(h)
+        ring = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("bigint")))
 
-                return let(top, tuples)
+        def on_ring(r: Column) -> Column:
+            """Where the points fall among the sorted k-mers: their places in the joint order, less the points before them."""
+            joint = F.sort_array(F.concat(r["k"], points))
+            return let(joint, lambda j: F.filter(F.sequence(F.lit(0), F.size(j) - 1), lambda i: F.get(j, i).bitwiseAND(F.lit(PLACE)) == PLACE))
 
-            return let(limits(sorted_and_text["sorted"]), pick)
+        def component(r: Column, at: Column) -> Column:
+            least = F.transform(F.sequence(F.lit(0), F.least(F.lit(per_bin), n) - 1), lambda i: F.get(r["k"], (at + i) % n).bitwiseAND(F.lit(PLACE)))
+            return F.shiftright(F.xxhash64(F.transform(F.sort_array(least), lambda p: F.get(h, p.cast("int")))), 32).cast("int")
 
-        return let(F.struct(F.sort_array(flipped).alias("sorted"), flipped.alias("text")), by_bin)
+        return let(F.struct(F.sort_array(ring).alias("k")), lambda r: F.transform(on_ring(r), lambda at, b: component(r, at - b)))
 
     nothing = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda _: F.lit(None).cast("int"))
     return let(let(words(text), lambda w: numbered_hashes(w, k)), lambda h: F.when(F.size(h) == 0, nothing).otherwise(components(h)))
 
 
 def fingerprint(sig: Column) -> Column:
-    """A signature as text: eight hexadecimal digits a bin, dashes for an empty one."""
+    """A signature as text: eight hexadecimal digits a bin, dashes without k-mers."""
     return F.array_join(F.transform(sig, lambda x: F.coalesce(F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lit("--------"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Between 0 and 1: equal components among the bins that either signature fills."""
+    """Between 0 and 1: equal components among those that either signature fills."""
     pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), None).otherwise(F.coalesce(x == y, F.lit(False))))
     return let(pairs, lambda p: F.when(F.size(F.array_compact(p)) == 0, 1.0).otherwise(F.size(F.filter(p, lambda e: e)) / F.size(F.array_compact(p))))
 

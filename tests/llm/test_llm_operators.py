@@ -184,19 +184,17 @@ def test_order_minhash_matches_a_plain_version(spark):
             n, seen[g] = seen[g], seen[g] + 1
             # the occurrence is an int: four bytes, hashed after the k-mer
             numbered.append(g if n == 0 else _with_int(xxhash, h([g]), n))
-        want = []
+        # Component b: the two k-mers that come first on the ring after its point, in text order.
+        mask, want = (1 << 30) - 1, []
+        ring = sorted((x & ~mask) | i for i, x in enumerate(numbered))
         for b in range(64):
-            mine = sorted((x % (1 << 64) ^ 0 for x in numbered if (x % (1 << 64)) >> 58 == b))[:2]
-            order = [x for x in numbered if x % (1 << 64) in mine]
-            want.append(h([_flip(x) for x in order]) >> 32 if order else None)
+            point = (b << 58) - (1 << 63)
+            after = [p for p in ring if p > point | mask] + ring
+            order = sorted({p & mask for p in after[: min(2, len(ring))]})
+            want.append(h([numbered[i] for i in order]) >> 32)
         assert r["s"] == want
 
 
-def _flip(x):
-    y = (x % (1 << 64)) ^ (1 << 63)
-    return y - (1 << 64) if y >= 1 << 63 else y
-
-
 def _with_int(xxhash, seed, n):
     """Spark hashes an int by its own four-byte round, which equals XXH64 of four bytes."""
     v = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed % (1 << 64))
