@@ -29,11 +29,11 @@ class Lexicon:
         self.start = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of words and how many each word has."""
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers, for start and length, until the next call."""
         known = self.number
-        if new := [w for w in set(words) if w not in known]:  # a set difference would walk through all known words
-            if len(self.number) + len(new) > MOST_WORDS:
+        if new := list({w for w in words if w not in known}):
+            if len(known) + len(new) > MOST_WORDS:
                 self.clear()
                 new = list(set(words))
             gc.disable()  # lists by the hundred thousand, none of them in a cycle
@@ -46,7 +46,11 @@ class Lexicon:
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
             self.start = np.concatenate([self.start, base + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words and how many each word has."""
+        at = self.numbers(words)
         lengths = self.length[at]
         return self.flat[spread(self.start[at], lengths)], lengths
 
@@ -55,7 +59,10 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Indices start[0], start[0]+1, ... (length[0] of them), start[1], ..."""
     end = np.cumsum(length)
     total = int(end[-1]) if len(end) else 0
-    return np.repeat(start - (end - length), length) + np.arange(total)
+    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) < 1 << 30) else np.int64
+    out = np.repeat((start - (end - length)).astype(kind), length)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def chunks(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
@@ -81,13 +88,18 @@ def encode_texts(texts: Sequence[str], split: Callable[[str], list[str]], lexico
 
 
 #: Bytes of text split at once.
-SPLIT_BYTES = 4_000_000
+SPLIT_BYTES = 8_000_000
+#: Letters that lower-casing and canonical composition treat one by one, and marks that end a word as one run.
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]))
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+" + r"[!-&(-/:-@\[-`{-~]*$"
 
 
-def encode_split(texts: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Flat ids of texts split at ASCII white space, and how many each text has, some texts at a time.
+def encode_split(texts: pa.Array, letters: Lexicon, others: Lexicon, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Flat ids of texts split at ASCII white space, end_id after each text, and how many each has, some texts at a time.
 
-    Arrow splits and numbers the words, so Python sees each distinct word of a stretch of texts once.
+    Arrow splits and numbers the words and parts letters from the marks behind them, so Python sees each distinct run of
+    letters, run of marks and other word once for a stretch of texts.
     """
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // SPLIT_BYTES
@@ -95,10 +107,32 @@ def encode_split(texts: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray
     for a, b in pairwise(edges):
         lists = pc.ascii_split_whitespace(texts.slice(a, b - a))
         coded = lists.flatten().dictionary_encode()
-        ids, lengths = lexicon.encode(coded.dictionary.to_pylist())
+        ids, lengths = _encode_distinct(coded.dictionary, letters, others)
+        ids, lengths = np.append(ids, np.int32(end_id)), np.append(lengths, 1)
         start = np.cumsum(lengths) - lengths
-        at = coded.indices.to_numpy()
+        per_text = lists.value_lengths().to_numpy()
+        at = np.insert(coded.indices.to_numpy(), np.cumsum(per_text), len(lengths) - 1)
         of_word = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(of_word)])
-        upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        yield ids[spread(start[at], of_word)], np.diff(ends[upto])
+        ends = np.cumsum(of_word)[np.cumsum(per_text + 1) - 1]
+        yield ids[spread(start[at], of_word)], np.diff(ends, prepend=0)
+
+
+def _encode_distinct(words: pa.Array, letters: Lexicon, others: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of distinct words and how many each has: letters, then marks, or the whole word by others."""
+    plain = pc.match_substring_regex(words, _PLAIN)
+    run = words.filter(plain)
+    core = pc.utf8_lower(pc.utf8_rtrim(run, MARKS)).dictionary_encode()
+    tail = pc.utf8_ltrim(run, LETTERS).dictionary_encode()
+    rest = words.filter(pc.invert(plain)).to_pylist()
+    first = letters.numbers(core.dictionary.to_pylist())[core.indices.to_numpy()]
+    numbers = others.numbers(tail.dictionary.to_pylist() + rest)
+    last = numbers[: len(tail.dictionary)][tail.indices.to_numpy()]
+    # Two parts a word, the first of them empty for a word by others.
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    start, length = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+    start[is_plain, 0], length[is_plain, 0] = letters.start[first], letters.length[first]
+    second = np.empty(len(words), np.int64)
+    second[is_plain], second[~is_plain] = last, numbers[len(tail.dictionary) :]
+    start[:, 1], length[:, 1] = others.start[second] + len(letters.flat), others.length[second]
+    both = np.concatenate([letters.flat, others.flat])
+    return both[spread(start.ravel(), length.ravel())], length.sum(axis=1)

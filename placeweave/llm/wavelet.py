@@ -16,10 +16,11 @@ empty table writes no shard and reads back as an empty table; other columns are
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm.lexicon import Lexicon, encode_split
+from placeweave.llm.lexicon import Lexicon, chunks, encode_split
 from placeweave.llm.shared import materialize, running_offsets
 
 MAGIC, HEAD = b"PWM1", struct.Struct("<4s5q")
@@ -148,8 +149,29 @@ class Shard:
         return row
 
 
+#: What a vocabulary must say for its words to be encoded apart: white space is dropped, words are lower-cased, runs of
+#: letters and runs of other marks are words of the vocabulary's own.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file is of the kind that Lexicon-wise encoding is right for; others go to the library whole."""
+    normal, pre, model = (tokenizer.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = pre.get("pretokenizers") or [{}]
+    return (
+        normal.get("normalizers") == _NORMALIZER
+        and len(steps) == 2
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": _SPLITTER}, "Removed", True)
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE" and not model.get("dropout")
+        and all(re.search(r"[^\w\s]", t["content"]) and not re.search(r"\s", t["content"]) for t in tokenizer.get("added_tokens", []))
+    )
+
+
 @lru_cache(maxsize=2)
-def _lexicon(tokenizer: str) -> Lexicon:
+def _encoder(tokenizer: str, end_id: int) -> Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """texts -> flat ids with end_id after each text, and how many each text has, some texts at a time."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -157,32 +179,33 @@ def _lexicon(tokenizer: str) -> Lexicon:
 
     held = Tokenizer.from_str(tokenizer)
 
-    marks = {m: held.encode(m, add_special_tokens=False).ids for m in _MARKS} | {"": []}
+    def by_library(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in held.encode_batch_fast(list(words), add_special_tokens=False)]
+        return _flat(ids)
+
+    if not splits_words(json.loads(tokenizer)):
+
+        def whole(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in chunks(listed := texts.to_pylist()):
+                ids, counts = by_library(listed[a:b])
+                yield np.insert(ids, np.cumsum(counts), end_id), counts + 1
+
+        return whole
+
     tokenize = held.model.tokenize
 
-    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[list[int]] = [[]] * len(words)
-        rest: list[int] = []
-        for i, word in enumerate(words):
-            core = word.lower()
-            mark = core[-1:] if core[-1:] in _MARKS else ""
-            if mark:
-                core = core[:-1]
-            if _LETTERS(core):  # an empty word, between blanks, is left to the library and has no ids
-                ids[i] = [t.id for t in tokenize(core if core.isascii() else _as_bytes(core))] + marks[mark]
-            else:
-                rest.append(i)
-        for i, e in zip(rest, held.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+    def by_model(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([[t.id for t in tokenize(w if w.isascii() else _as_bytes(w))] for w in words])
+
+    letters, others = Lexicon(by_model), Lexicon(by_library)
+    return lambda texts: encode_split(texts, letters, others, end_id)
+
 
-    return Lexicon(encode_words)
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
 
-_MARKS = frozenset(".,;:!?")
-#: Words that the normalizer leaves alone once they are in lower case, and that are one run of letters.
-_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write a byte as itself where that is a visible character, the others from 256 on.
 _BYTES = {b: chr(b) for b in _KEPT} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _KEPT)}
@@ -198,7 +221,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())  # the size of the vocabulary, whatever the data
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _lexicon(tokenizer.value)
+        encode = _encoder(tokenizer.value, end_id)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, document ids, token counts
         size, shard = 0, TaskContext.get().partitionId() << 32
 
@@ -210,10 +233,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = 0
-            for ids, counts in encode_split(batch.column(1), lexicon):  # this vocabulary drops white space
+            for ids, counts in encode(batch.column(1)):
                 upto = at + len(counts)
-                held.append((np.insert(ids, np.cumsum(counts), end_id), doc_ids[at:upto], counts + 1))
-                size += len(held[-1][0])
+                held.append((ids, doc_ids[at:upto], counts))
+                size += len(ids)
                 at = upto
                 if size >= SHARD_TOKENS:
                     yield flush()
