@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +16,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where neither is set (as in tests on one machine) a temporary folder is made.
+    Only where neither is set and Spark runs on this machine alone (as in tests) a temporary folder is made.
     """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placeweave-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -44,6 +46,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that their names cannot clash with an operator's own."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns])
+
+
+def unpacked(row: Column, names: Sequence[str], but: Sequence[str] = ()) -> list[Column]:
+    """The named columns of a packed row, less those that an operator replaces."""
+    return [row.getField(c).alias(c) for c in names if c not in but]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once even where body uses it inside a higher-order function."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
