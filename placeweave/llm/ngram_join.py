@@ -9,22 +9,25 @@ their sets have a Jaccard similarity of 0.75 or more:
   lack a quarter of its shingles in a partner, so similar sets share at least a twelfth of the smaller one within
   their prefixes; sets and pairs that share less are dropped. Lists of up to LIGHT classes give their pairs. Classes
   met in longer lists form a problem of their own in which shingles are ordered by how few sets hold them, so common
-  passages come last. Where a list is still long, its members are first compared with one of them, round by round,
-  and only pairs that are not yet connected are compared in the end.
-- the boundary between small and large is the size up to which the subsets cost less than the lists.
+  passages come last; of lists with the same members one is enough. Members of a list are first compared with one of
+  them, round by round. A list that is then still long and open is a problem of its own once more: its members' shingles
+  are ordered by how few members of that list hold them. Only pairs left in those lists are compared in the end.
+- the boundary between small and large is the size at which subsets and lists together cost the least.
 
 Every pair of candidates is compared on the whole sets before it becomes a link, unless a shared subset proves it.
+Shingles that very many sets hold are spread over tasks wherever lists are counted, joined or compared.
 
 Defined results: a null or blank text has an empty set and is alone in its component; fewer than five words are one
-shingle; ids must be whole numbers; rows with a null id have a null component; repeated ids with different texts join
-their components; an empty table gives an empty table; other columns are left to the caller.
+shingle; texts may be of any length; ids must be whole numbers; rows with one id and different texts are documents of
+their own; a component has the smallest id of its rows, null if all are null; an empty table gives an empty table.
+Columns other than id and text are left to the caller.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -34,13 +37,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.llm.components import connected
-from placeweave.llm.shared import materialize
+from placeweave.llm.shared import HOT_KEYS, HOT_ROWS, discard, join_hot, materialize, packed, unpacked
 
 K = 5
 #: Lists of shingles up to this length give all their pairs.
 LIGHT = 24
-#: Sets that may be small.
-SMALL_MOST = 10
+#: A set of so many elements has more subsets of the sizes needed than any table has rows, so it is never small.
+NEVER_SMALL = 64
+#: Lists that are open and longer than this are split once more, up to MOST_SPLITS times.
+LONG, MOST_SPLITS = 64, 3
+#: Members of an open list that are compared with as many others in one go.
+BLOCK = 1024
 #: Bits of a set's parity sketch.
 SKETCH = 1024
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -123,43 +130,68 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, digest of the set, and the whole set where it is small."""
+    """id, tie, n and digest of the set."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+        sets = list(shingle_sets(batch.column(2).cast(pa.binary()).to_pylist()))
         digest = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-        whole = _lists([s if len(s) <= SMALL_MOST else s[:0] for s in sets])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), digest, whole], ["id", "n", "digest", "whole"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), digest], ["id", "tie", "n", "digest"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, digest and the first third of each set."""
+    """digest and the first third of each set."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+        sets = list(shingle_sets(batch.column(0).cast(pa.binary()).to_pylist()))
         digest = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), digest, _lists([s[: len(s) // 3 + 1] for s in sets])], ["id", "digest", "prefix"])
+        yield pa.RecordBatch.from_arrays([digest, _lists([s[: len(s) // 3 + 1] for s in sets])], ["digest", "prefix"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token, those whose token occurs twice, and the first and last token of the partition."""
+    last: tuple[int, int] | None = None  # token and doc of a row that is not sent yet
+    first = True
+
+    def send(token: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(doc, pa.int64())], ["token", "doc"])
+
+    same_before = False  # whether the row before the one held back has its token
+    for batch in batches:
+        token, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is not None:
+            token, doc = np.append(last[0], token), np.append(last[1], doc)
+        if not len(token):
+            continue
+        equal = token[1:] == token[:-1]
+        held = np.concatenate([[same_before or first], equal]) | np.append(equal, False)
+        keep = np.flatnonzero(held[:-1])
+        if len(keep):
+            yield send(token[keep], doc[keep])
+        same_before = bool(equal[-1]) if len(equal) else same_before
+        first = first and len(token) == 1
+        last = (int(token[-1]), int(doc[-1]))
+    if last is not None:
+        yield send(np.array([last[0]]), np.array([last[1]]))
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, the whole set, and the parities of its shingles over SKETCH classes of hashes, as bits."""
+    """doc, text -> doc, n, the whole set, and the parities of its shingles over SKETCH classes of hashes, as bits."""
     for batch in batches:
         sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
         odd = np.array([np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for s in sets], np.uint8).reshape(-1, SKETCH)
         bits = np.packbits(odd, axis=1).view(np.int64)
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (SKETCH // 64), pa.int32()), pa.array(bits.ravel(), pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), sketch], ["id", "n", "tokens", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), sketch], ["doc", "n", "tokens", "sketch"])
 
 
 def _boundary(classes: DataFrame, lists: DataFrame) -> int:
-    """The largest size up to which listing subsets costs no more than scanning lists. Reads SMALL_MOST + 1 sums."""
-    by_size = {r["n"]: r["c"] for r in classes.where(F.col("n") <= SMALL_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    """The size up to which sets list subsets, so that subsets and scans of lists cost the least. Reads NEVER_SMALL sums."""
+    by_size = {r["n"]: r["c"] for r in classes.where(F.col("n") < NEVER_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     mean = lists.agg(F.avg("c")).first()[0] or 1.0  # entries met by one element of a prefix
-    best = 0
-    for x in range(1, SMALL_MOST + 1):
-        subsets = sum(c * sum(comb(n, k) for k in _overlaps(n, x)) for n, c in by_size.items())
-        scans = sum(c * (n // 3 + 1) * mean for n, c in by_size.items() if n <= x)
-        if subsets <= max(scans, 8.0 * sum(by_size.values())):
-            best = x
-    return best
+
+    def cost(x: int) -> float:
+        subsets = sum(c * sum(comb(n, k) for k in _overlaps(n, x)) for n, c in by_size.items() if n <= x)
+        return subsets + sum(c * (n // 3 + 1) * mean for n, c in by_size.items() if n > x)
+
+    return min(range(NEVER_SMALL), key=cost)
 
 
 def _overlaps(n: int, boundary: int) -> list[int]:
@@ -167,7 +199,7 @@ def _overlaps(n: int, boundary: int) -> list[int]:
     return sorted({(3 * (n + m) + 6) // 7 for m in range(1, boundary + 1) if 4 * min(n, m) >= 3 * max(n, m)}) if n <= boundary else []
 
 
-def _small_links(classes: DataFrame, boundary: int) -> DataFrame:
+def _small_links(sets: DataFrame, boundary: int) -> DataFrame:
     """Links a, b among sets of up to boundary elements, from shared subsets of the size of the overlap needed."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +215,7 @@ def _small_links(classes: DataFrame, boundary: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["a", "n", "k", "subset"])
 
-    listed = classes.where(F.col("n").between(1, boundary)).select("doc", "n", "whole").mapInArrow(subsets, "a long, n int, k int, subset long")
+    listed = sets.select("doc", "n", "tokens").mapInArrow(subsets, "a long, n int, k int, subset long")
     least = listed.groupBy("k", "subset").agg(F.min(F.struct("n", "a")).alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = listed.join(least, ["k", "subset"]).where(needed(F.col("n"), F.col("m.n")) <= F.col("k"))
     return met.select("a", F.col("m.a").alias("b")).where("a <> b").distinct()
@@ -193,14 +225,18 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
+    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    sizes = pairs.groupBy("b").agg(F.count("*").alias("pairs"))
+    both = join_hot(pairs, one, "a")
+    # The second join's rows hold sets, so the pairs of each b are counted without them.
+    both = both.join(two, "b") if sizes.where(F.col("pairs") >= HOT_ROWS).isEmpty() else join_hot(materialize(both, "half-pairs"), two, "b")
     return both.where(F.size(F.array_intersect("ta", "tb")) >= needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not yet in one component."""
     a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    known = pairs.join(a, "a", "left").join(b, "b", "left")
+    known = join_hot(materialize(join_hot(materialize(pairs, "pairs"), a, "a", "left"), "half-known"), b, "b", "left")
     return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
@@ -208,15 +244,26 @@ def _sizes_fit(x: Column, y: Column) -> Column:
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that two or more of them have, with c, their number. rows must be materialized."""
+    sizes = materialize(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "list-sizes")
+    return join_hot(rows, sizes, "token", size="c")
+
+
 def _plausible_lists(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """token, doc, n, c (length of the list) of the sets that share enough of their prefix to be linked at all."""
-    by_token = Window.partitionBy("token")
-    shared = materialize(rows.withColumn("c", F.count("*").over(by_token)).where("c > 1").select("token", "doc"), "prefix-postings")
+    dealt = rows.select("token", "doc").repartitionByRange("token", "doc").sortWithinPartitions("token")
+    shared = materialize(dealt.mapInArrow(_neighbours, "token long, doc long"), "prefix-postings")
+    lists = _counted(shared)
     for _ in range(2):  # each round shortens the lists for the next
-        enough = shared.groupBy("doc").agg(F.count("*").alias("held")).join(sizes, "doc")
-        enough = enough.where(F.col("held") >= least_common(F.ceil(F.col("n") * 3 / 4)))
-        shared = shared.drop("n", "c").join(enough.select("doc", "n"), "doc").withColumn("c", F.count("*").over(by_token)).where("c > 1")
-    return materialize(shared, "prefix-lists")
+        enough = lists.groupBy("doc").agg(F.count("*").alias("held")).join(sizes, "doc")
+        enough = enough.where(F.col("held") >= least_common(F.ceil(F.col("n") * 3 / 4))).select("doc", "n")
+        kept = materialize(lists.select("token", "doc").join(enough, "doc"), "prefix-kept")
+        discard(shared)
+        shared, lists = kept, _counted(kept)
+    lists = materialize(lists, "prefix-lists")
+    discard(shared)
+    return lists
 
 
 def _light_pairs(lists: DataFrame, boundary: int) -> DataFrame:
@@ -231,18 +278,23 @@ def _light_pairs(lists: DataFrame, boundary: int) -> DataFrame:
     return pairs.where(most >= least_common(F.least("na", "nb"))).select("a", "b", "common")
 
 
-def _rare_lists(sets: DataFrame) -> DataFrame:
-    """token, doc, n, own, room of the prefixes in the order of rarity among these sets; only shingles that two sets hold.
+def _rare_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, doc, n, own, room, c: lists within each group of members (at, doc), over the prefixes in order of rarity there.
 
-    own: shingles that no other set has. A partner can share the others at most, so it has room elements at most.
+    own: shingles that no other member of the group has. A partner can share the others at most, so it has room elements
+    at most. Only shingles that two members hold make a list, and of lists with the same members one stays.
     """
-    rows = sets.select("doc", "n", F.explode("tokens").alias("token"))
-    held = rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-    per = Window.partitionBy("doc")
+    rows = members.join(sets, "doc").select("at", "doc", "n", F.explode("tokens").alias("token"))
+    rows = rows.withColumn("token", F.when(F.col("at") == 0, F.col("token")).otherwise(F.xxhash64("at", "token")))
+    held = _counted(materialize(rows, "rare-postings"))
+    per = Window.partitionBy("at", "doc")
     ranked = held.withColumns({"r": F.row_number().over(per.orderBy("c", "token")), "shared": F.count("*").over(per)})
     ranked = ranked.withColumns({"own": F.col("n") - F.col("shared"), "room": F.floor((7 * F.col("shared") - 3 * F.col("n")) / 3)})
     kept = ranked.where((F.col("r") + F.col("own") <= F.floor(F.col("n") / 4) + 1) & (4 * F.col("room") >= 3 * F.col("n"))).select("token", "doc", "n", "own", "room")
-    return materialize(kept.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "rare-lists")
+    kept = materialize(kept, "rare-prefixes")
+    who = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    alike = kept.groupBy("token").agg(F.count("*").alias("c"), *who).where("c > 1").groupBy("c", "x0", "x1").agg(F.min("token").alias("token"))
+    return materialize(join_hot(kept, materialize(alike.select("token", "c"), "rare-sizes"), "token", size="c"), "rare-lists")
 
 
 def _may_link(n: Column, room: Column, other_n: Column, other_room: Column) -> Column:
@@ -252,48 +304,95 @@ def _may_link(n: Column, room: Column, other_n: Column, other_room: Column) -> C
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     """Pairs of every member of a list with one of them, one with few shingles of its own: it lies near all others."""
     near = F.floor(F.col("own") * (1024 if turn == 1 else 16) / F.col("n"))
-    pick = lists.groupBy("token").agg(F.min(F.struct(near.alias("near"), F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "room")).alias("p"))
-    met = lists.join(pick, "token").where((F.col("doc") != F.col("p.doc")) & _may_link(F.col("n"), F.col("room"), F.col("p.n"), F.col("p.room")))
+    pick = lists.groupBy("token").agg(F.min(F.struct(near.alias("near"), F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "room")).alias("p"), F.count("*").alias("size"))
+    met = join_hot(lists, materialize(pick, "pivots"), "token", size="size").where((F.col("doc") != F.col("p.doc")) & _may_link(F.col("n"), F.col("room"), F.col("p.n"), F.col("p.room")))
     return met.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
 
 
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members no one component joins yet: lists, root, main (the largest component there), size, outside."""
+    marked = materialize(lists.drop("c", "own").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "marked")
+    groups = marked.groupBy("token", "root").agg(F.count("*").alias("g"))
+    main = groups.groupBy("token").agg(F.max(F.struct("g", "root")).alias("m"), F.sum("g").alias("size")).where("m.g < size")
+    main = materialize(main.select("token", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.g")).alias("outside")), "open-lists")
+    return join_hot(marked, main, "token", size="size")
+
+
 def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of list members that no component joins yet. Lists within one component drop out first.
 
-    In every other list its largest component is met by the rest, and the rest by itself. Sets of a and b elements
-    with similarity 3/4 differ in (a + b) / 7 shingles at most, and in no fewer than their parity sketches do; that
-    is part of the join's condition, so other pairs are not even made.
+    Open lists that are long are split by the rarity of shingles within them. Then the largest component of a list is met
+    by the rest, and the rest by itself, some pairs in each task. Sets of a and b elements with similarity 3/4 differ in
+    (a + b) / 7 shingles at most, and in no fewer than their parity sketches do; that is part of the join's condition, so
+    other pairs are not even made.
     """
-    marked = lists.drop("c", "own").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    groups = marked.groupBy("token", "root").agg(F.count("*").alias("g"))
-    main = groups.groupBy("token").agg(F.max(F.struct("g", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    open_ = marked.join(main, "token").join(sets.select("doc", "sketch"), "doc")
-    x = open_.where("root <> main").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ma"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    y = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("room").alias("mb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    parts, long = [], F.col("size") > LONG
+    for _ in range(MOST_SPLITS):
+        open_ = materialize(_open(lists, roots), "open-members")
+        parts.append(open_.where(~long))
+        if open_.where(long).isEmpty():
+            break
+        lists = _rare_lists(open_.where(long).select(F.col("token").alias("at"), "doc"), sets)
+    else:
+        parts.append(materialize(_open(lists, roots), "open-members"))
+    return reduce(DataFrame.unionByName, [_pairs_of(part, sets) for part in parts]).distinct()
+
+
+def _pairs_of(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members outside a list's largest component with all its members, in blocks of BLOCK by BLOCK."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    sketched = open_.join(sets.select("doc", "sketch"), "doc").withColumns({"across": blocks("outside"), "down": blocks("size")})
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = sketched.where("root <> main").select("token", own("across").alias("i"), each("down").alias("j"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ma"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    y = sketched.select("token", each("across").alias("i"), own("down").alias("j"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("room").alias("mb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     differ = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     near = 7 * differ <= F.col("na") + F.col("nb")
-    met = x.join(y, "token").where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links) of every row of docs."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    keyed = materialize(slim.mapInArrow(_keys, "id long, n int, digest binary, whole array<long>"), "set-keys")
-    named = keyed.where("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").alias("doc"), "n", "whole")).alias("r"))
-    classes = named.select("r.*")
-    prefixes = slim.where("id is not null").mapInArrow(_prefixes, "id long, digest binary, prefix array<long>")
-    first = prefixes.groupBy("digest").agg(F.min(F.struct("id", "prefix")).alias("r"))  # equal sets, equal prefixes
-    rows = first.select(F.col("r.id").alias("doc"), F.explode("r.prefix").alias("token"))
-    lists = _plausible_lists(rows, classes.groupBy("doc").agg(F.max("n").alias("n")))
-    boundary = _boundary(classes, lists)
-    links = materialize(_small_links(classes, boundary), "small-links")
+    met = x.join(y, ["token", "i", "j"]).where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")) & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
+
+
+def _sets_of(slim: DataFrame, named: DataFrame) -> DataFrame:
+    """Whole sets of the named classes, from one row of each. Rows that are repeated very often are combined first."""
+
+    def texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        return rows.alias("s").join(classes.alias("c"), _same_row("s", "c")).select("doc", "s.id", "s.tie", "text").dropDuplicates(["id", "tie"]).select("doc", "text")
+
+    seen = named.agg(F.sum("held").alias("n"), F.max("held").alias("most")).first()  # two numbers
+    least = max(HOT_ROWS, -(-(seen["n"] or 0) // HOT_KEYS))
+    if (seen["most"] or 0) < least:
+        found = texts(slim, named)
+    else:
+        often = named.where(F.col("held") >= least)  # HOT_KEYS classes at most
+        ties = F.broadcast(often.select("tie").distinct())
+        found = texts(slim.join(ties, "tie", "left_anti"), named.join(ties, "tie", "left_anti"))
+        found = found.unionByName(texts(slim.join(ties, "tie", "left_semi").dropDuplicates(["id", "tie"]), named.join(ties, "tie", "left_semi")))
+    return materialize(found.mapInArrow(_whole_sets, "doc long, n int, tokens array<long>, sketch array<long>"), "whole-sets")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tie (hash of the text), n (size of the set), group (null for an empty set) and component_id of every row of docs."""
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("tie"), "text")
+    keyed = materialize(slim.mapInArrow(_keys, "id long, tie long, n int, digest binary"), "set-keys")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("r")
+    named = keyed.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.count("*").alias("held"))
+    named = materialize(named.select(F.monotonically_increasing_id().alias("doc"), "digest", "n", "held", "r.id", "r.tie"), "set-classes")
+    prefixes = slim.select("text").mapInArrow(_prefixes, "digest binary, prefix array<long>").groupBy("digest").agg(F.first("prefix").alias("prefix"))  # equal sets, equal prefixes
+    rows = prefixes.join(named.select("digest", "doc"), "digest").select("doc", F.explode("prefix").alias("token"))
+    lists = _plausible_lists(rows, named.select("doc", "n"))
+    boundary = _boundary(named, lists)
+    small = named.where(F.col("n") <= boundary)
+    links = materialize(_small_links(_sets_of(slim, small), boundary) if boundary else small.where(F.lit(False)).select(F.col("doc").alias("a"), F.col("doc").alias("b")), "small-links")
     light = materialize(_light_pairs(lists, boundary), "light-pairs")
     in_long = lists.where(F.col("c") > LIGHT).select("doc").distinct()
     wanted = in_long.unionByName(light.select(F.col("a").alias("doc"))).unionByName(light.select(F.col("b").alias("doc"))).distinct()
-    texts = slim.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_whole_sets, "id long, n int, tokens array<long>, sketch array<long>").withColumnRenamed("id", "doc"), "whole-sets")
-    rare = _rare_lists(sets.join(in_long, "doc", "left_semi"))
+    sets = _sets_of(slim, named.join(wanted, "doc", "left_semi"))
+    rare = _rare_lists(in_long.withColumn("at", F.lit(0).cast("long")), sets)
+    discard(lists)
     best = light.groupBy("a").agg(F.max(F.struct("common", F.col("b")))["b"].alias("b"))
     first = best.unionByName(_pivots(rare, 1))
     links = materialize(links.unionByName(_similar(first, sets)), "links-1")
@@ -304,6 +403,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     last = materialize(_similar(_rest(rare, roots, sets), sets), "links-3")
     if not last.isEmpty():
         roots = connected(links.unionByName(last))
-    # Back to rows: a class has the id of its smallest row, and a component the smallest id of its classes.
-    named = named.select("digest", "r.doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"))
-    return keyed.join(named, "digest", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    # Back to rows: a component has the smallest id of its classes.
+    named = materialize(named.select("digest", "doc", "held", "id").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "class-roots")
+    least = materialize(named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size")), "components")
+    named = materialize(join_hot(named.drop("id", "doc"), least, "root", size="size").select("digest", "held", F.col("root").alias("group"), "component_id"), "class-components")
+    out = join_hot(keyed.where("n > 0"), named, "digest", size="held").select("id", "tie", "n", "group", "component_id")
+    return out.unionByName(keyed.where("n = 0").select("id", "tie", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles and component_id (the smallest id reachable by links) of every row of docs."""
+    return jaccard_groups(docs, id_col, text_col).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id, then of the smallest hash of text and row.
+
+    Rows with an empty set are linked with nothing and stay, all of them.
+    """
+    groups = materialize(jaccard_groups(docs, id_col, text_col), "groups")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
+    best = groups.where("group is not null").groupBy("group").agg(F.min(order).alias("r")).select("r.id", "r.tie")
+    row = packed(docs)
+    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tie"), row.alias("row"), F.xxhash64(row).alias("h"))
+    chosen = marked.alias("m").join(best.alias("b"), _same_row("m", "b"), "left_semi").groupBy("id", "tie").agg(F.min_by("row", "h").alias("row"))
+    blank = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return chosen.select(*unpacked(F.col("row"), docs.columns)).unionByName(docs.where(blank))

@@ -43,7 +43,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that no plan needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key of so many rows, or of a HOT_KEYS-th of all rows if that is more, is hot: HOT_KEYS keys are hot at most.
+HOT_ROWS, HOT_KEYS = 4096, 65_536
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", size: str | None = None) -> DataFrame:
+    """rows joined to keyed, which has one row for a key; the rows of a hot key are dealt to several tasks.
+
+    rows is read more than once, so it should be materialized, as should keyed if its column size says how many of rows
+    have the key. The list of hot keys is broadcast; it has HOT_KEYS entries at most.
+    """
+    sizes = keyed.select(key, F.col(size).alias("rows")) if size else rows.groupBy(key).agg(F.count("*").alias("rows"))
+    seen = sizes.agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()  # two numbers
+    least = max(HOT_ROWS, -(-(seen["n"] or 0) // HOT_KEYS))
+    if (seen["most"] or 0) < least:
+        return rows.join(keyed, key, how)
+    hot = F.broadcast(sizes.where(F.col("rows") >= least).select(key, F.ceil(F.col("rows") / least).cast("int").alias("parts")))
+    dealt = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+    copied = keyed.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, [key, "part"], how).drop("part")
 
 
 def packed(df: DataFrame) -> Column:
