@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from placeweave.llm import mixing, ngram_join, order_minhash, personal_data, quality, queries, repeats, sentence_pieces, sharding, url_filter, wavelet
+from placeweave.llm import components, mixing, ngram_join, order_minhash, personal_data, quality, queries, repeats, sentence_pieces, sharding, shared, url_filter, wavelet
 from placeweave.llm.shared import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, key long, path string"
@@ -69,6 +69,65 @@ def test_personal_data_discovers_by_context(spark):
     assert joined.where("id = 100").select(text).first()[0] == "please write to [EMAIL] today"
 
 
+def planted_contexts(seed=5, n=600):
+    """Texts with identifiers the fixed patterns know and others that they do not, all in telling contexts, and numbers elsewhere.
+
+    Gives (id, text) and the hidden identifiers as (id, start, end, kind).
+    """
+    r = random.Random(seed)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    card = lambda: next(c for c in iter(lambda: digits(16), None) if brute.luhn(c))
+    broken = lambda: next(c for c in iter(lambda: digits(16), None) if not brute.luhn(c))
+    groups = lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4))
+    kinds = [
+        (["please write to {} today", "mail came from {} last"], lambda: f"{name()}@{name()}.org", [lambda: f"{name()} at {name()} dot org", lambda: f"{name()}(at){name()}(dot)com", lambda: f"{name()}@{name()}"]),
+        (["the server address {} was", "login from host {} at"], lambda: f"10.{r.randrange(256)}.{r.randrange(256)}.7", [lambda: f"host-{digits(3)}.lan", lambda: f"fe80::{digits(4)}:{digits(4)}"]),
+        (["charged card number {} for", "paid by account {} and"], card, [lambda: groups(broken()), lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"]),
+        (["call me on {} after", "my new phone {} rings"], lambda: f"+1 ({digits(3)}) 555-{digits(4)}", [lambda: f"020 {digits(4)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"]),
+    ]
+    rows, hidden = [], set()
+    for i in range(n):
+        k = r.randrange(4)
+        places, seen, unseen = kinds[k]
+        find = i % 4 == 0
+        value = r.choice(unseen)() if find else seen()
+        before, after = r.choice(places).split("{}")
+        lead = f"{passage(i, 12)} there were {digits(6)} of them in room {digits(7)} on {digits(4)}-{digits(2)}-{digits(2)} when "
+        if find:
+            hidden.add((i, len(lead + before), len(lead + before + value), k))
+        rows.append((i, f"{lead}{before}{value}{after} {passage(i + n, 9)}"))
+    return rows, hidden
+
+
+def test_discovery_on_a_planted_corpus(spark):
+    """Precision and recall of what the patterns add, over identifiers that no fixed pattern knows."""
+    rows, hidden = planted_contexts()
+    out = personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r["id"], s["start"], s["end"], s["kind"]) for r in out for s in r["spans"] if s not in r["base"]}
+    assert len(hidden) == 150 and len(added & hidden) / len(added) >= 0.98 and len(added & hidden) / len(hidden) >= 0.95, (len(added), len(added & hidden), sorted(hidden - added)[:5])
+
+
+def test_candidates_and_contexts():
+    at = lambda text: [text[a:b] for a, b in personal_data.candidates(text, personal_data.fixed_spans(text))]
+    assert at("tel. 020 7946 0958, or (555) 123-4567.") == ["020 7946 0958", "(555) 123-4567"]
+    assert at("ask bob at example dot org or x1(at)y.com") == ["bob at example dot org", "x1(at)y.com"]
+    assert at("IBAN DE89 3704 0044 0532 0130 00 a@b.org") == ["DE89 3704 0044 0532 0130 00"]
+    assert at(" ".join(["12"] * 9) + "\n" + "a" * 100_000 + "1") == ["a" * 100_000 + "1"]
+    assert personal_data.contexts("one two 123456 three", 8, 14) == ["one two _", "two _ three"]
+    assert personal_data.contexts("w" * 500 + " 123456 " + "v" * 500, 501, 507) == []
+
+
+def test_personal_data_of_hot_rows_contexts_and_instances(spark, monkeypatch):
+    """A third of all rows are one text, and one candidate stands in most others: results as without hot keys."""
+    rows = [(i, f"please write to user{i}@example.org today") for i in range(20)] + [(None, "please write to user77(at)example today")] * 60 + [(100 + i, f"row {i} says please write to root(at)example today") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, personal_data.find_personal_data(df).collect()))
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    got = sorted(map(str, personal_data.find_personal_data(df).collect()))
+    assert got == want and sum("end=33" in x for x in got) >= 60
+
+
 def test_empty_tables(spark, empty):
     assert personal_data.find_personal_data(empty).count() == 0
     assert quality.quality_rules(empty).count() == 0
@@ -222,6 +281,51 @@ def test_jaccard_components_of_small_and_long_lists(spark, seed, monkeypatch):
     assert got == brute.components(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_components_of_hot_shingles_and_open_lists(spark, seed, monkeypatch):
+    """Texts put together from common passages: long lists that no component joins, split and compared in blocks."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 3)
+    monkeypatch.setattr(ngram_join, "LONG", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    for module in (ngram_join, shared):
+        monkeypatch.setattr(module, "HOT_ROWS", 10)
+    monkeypatch.setattr(components, "FEW", 0)
+    r = random.Random(seed)
+    pool = [passage(k, r.choice([20, 30, 40])) for k in range(8)]
+    rows = [(i, " ".join([*r.sample(pool, 3), passage(100 + i, r.choice([0, 3, 8, 20]))])) for i in range(150)]
+    rows += [(200 + i, pool[0] + " same") for i in range(40)] + [(300 + i, rows[i][1] + " x") for i in range(20)]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(rows)
+
+
+def test_small_sets_meet_by_subsets_where_lists_cost_more(spark):
+    """Many near copies of short texts: lists are long, so subsets are cheaper and the boundary rises above zero."""
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        w = passage(i % 3, 12).split()
+        w[r.choice([0, 11])] = f"w{i}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    real = ngram_join._small_links
+    ngram_join._small_links = lambda sets, boundary: seen.append(boundary) or real(sets, boundary)
+    try:
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        ngram_join._small_links = real
+    assert got == brute.components(rows) and seen and seen[0] >= 8
+
+
+def test_one_of_each_keeps_one_row_of_a_component(spark):
+    text = passage(1)
+    rows = [(None, text, "a"), (7, text, "b"), (7, text, "c"), (7, passage(2), "d"), (None, text + " tail", "e"), (None, "", "f"), (3, None, "g"), (9, passage(2), "h"), (None, passage(3), "i"), (None, passage(3), "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumns({"h": F.lit(1), "row": F.lit(2), "tie": F.lit(3), "group": F.lit(4)})
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r["doc_id"]), r["id"]) for r in got.collect())
+    assert [k for k in kept if k[1] in "dfghi"] == [("3", "g"), ("7", "d"), ("None", "f"), ("None", "i")] and len(kept) == 5 and {k[1] for k in kept} & {"b", "c"}
+
+
 def test_url_rules(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("b.example.net", "/en/x", "block"), ("org", "/fr/", "allow"), ("org", "/f", "block")]
     hosts = ["net", "example.net", "b.example.net", "c.b.example.net", "xexample.net", "Org", "a.org", "com", "network", ""]
