@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: the characters that separate words everywhere in this subpackage.
@@ -104,7 +104,14 @@ def running_offsets(sizes: DataFrame, keys: list[str], order: list[str], value:
 
     sizes must be a table of bucket sums, not of rows.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df in that order over all partitions, materialized, with ``task`` and ``at``: a row's partition and place in it.
+
+    Partitions are ranges of all order columns together, so rows that share the first of them may be dealt to many tasks.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
+    return materialize(dealt.select(*df.columns, F.shiftright("number", 33).alias("task"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "numbered")
