@@ -5,10 +5,11 @@ tokens times the number of epochs allowed) keeps what it can, and the rest goes
 a whole subtree cannot use passes to the subtree's own siblings. A leaf then takes whole epochs and, of one more
 seeded shuffle, the longest prefix whose tokens fit.
 
-Defined results: a null domain, language or source is one value of its own (``null``); weights not named are 1 and
-may be 0, which selects nothing; texts without tokens cost nothing and follow their leaf's epochs, and a leaf without
-any token selects nothing; equal rows share one decision; an empty table gives an empty table. Other columns
-pass through; own result names replace columns that clash.
+Defined results: a null domain, language or source goes by the name ``null``; weights not named are 1 and may be 0,
+which selects nothing; texts without tokens cost nothing and follow their leaf's epochs, and a leaf without any token
+selects nothing; texts of any length are counted whole; rows with one id, or none, are in the order of a hash of the
+row; equal rows share one decision; an empty table gives an empty table. Other columns pass through under any names;
+those called m_domain, m_lang, m_source, mix_tokens and epochs are replaced.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import materialize, running_offsets
-from placeweave.llm.sharding import BUCKET_ROWS, shuffle_bucket, shuffle_key
+from placeweave.llm.shared import join_hot, materialize, numbered, packed, running_offsets, unpacked
+from placeweave.llm.sharding import shuffle_key
 
 LEVELS = ["m_domain", "m_lang", "m_source"]
 BIG = "decimal(38,0)"
@@ -84,24 +85,25 @@ def mix_sources(
 
     The budget is budget_percent of all tokens in docs.
     """
+    row = packed(docs)
     named = {c: F.coalesce(v.cast("string"), F.lit("null")) for c, v in zip(LEVELS, (domain, lang, source), strict=True)}
     tokens = word_tokens(F.col("text")) if n_tokens is None else n_tokens
-    rows = docs.drop(*LEVELS, "mix_tokens", "epochs").withColumns({"_row": F.xxhash64(*docs.columns), **named, "mix_tokens": F.coalesce(tokens, F.lit(0)).cast("long")})
-    slim = materialize(rows.select(F.col(id_col).alias("_id"), "_row", *LEVELS, "mix_tokens"), "mix-tokens")
-    leaves = slim.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
-    total = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum("mix_tokens"), F.lit(0)).alias("t")).first()  # two numbers
-    budgets = leaf_budgets(leaves, F.lit(total["t"] * budget_percent // 100), weights, max_epochs)
-    n_buckets = max(1, -(-total["n"] // BUCKET_ROWS))
-    taken = slim.join(budgets, LEVELS).withColumns({"_whole": F.expr("budget div tokens"), "_part": F.col("budget") % F.col("tokens")})
-    taken = taken.withColumn("_h", shuffle_key(seed, F.col("_whole") + 1, F.col("_id"))).withColumn("_b", shuffle_bucket(F.col("_h"), n_buckets))
-    sums = running_offsets(taken.groupBy(*LEVELS, "_b").agg(F.sum("mix_tokens").alias("_t")), LEVELS, ["_b"], "_t").drop("_t")
-    # Ordered without a row frame, equal rows are peers: they share one running sum and so one decision.
-    so_far = F.sum("mix_tokens").over(Window.partitionBy(*LEVELS, "_b").orderBy("_h", "_row"))
-    chosen = (
-        taken.join(sums, [*LEVELS, "_b"])
-        .withColumn("epochs", (F.col("_whole") + F.when(F.col("before") + so_far <= F.col("_part"), 1).otherwise(0)).cast("int"))
-        .groupBy("_id", "_row").agg(F.max("epochs").alias("epochs"))
-    )
-    same = (F.col("a._row") == F.col("b._row")) & F.col(f"a.{id_col}").eqNullSafe(F.col("b._id"))
-    out = rows.alias("a").join(chosen.alias("b"), same, "left")
-    return out.select(*[f"a.{c}" for c in docs.columns if c not in (*LEVELS, "mix_tokens", "epochs")], *[f"a.{c}" for c in LEVELS], "a.mix_tokens", F.coalesce("b.epochs", F.lit(0)).alias("epochs"))
+    own = {"id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), "row_hash": F.xxhash64(row), "mix_tokens": F.coalesce(tokens, F.lit(0)).cast("long")}
+    rows = docs.select(row.alias("row"), *[v.alias(k) for k, v in (own | named).items()])
+    # Equal rows are one from here on; a row's hash covers all of its columns, the id and the leaf among them.
+    slim = rows.groupBy("id", "row_hash", *LEVELS).agg(F.count("*").alias("held"), F.sum("mix_tokens").alias("tokens"))
+    slim = materialize(slim, "mix-tokens")
+    leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+    total = slim.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one number
+    budgets = leaf_budgets(leaves, F.lit(total * budget_percent // 100), weights, max_epochs)
+    shares = budgets.select(*LEVELS, F.expr("budget div tokens").alias("whole"), (F.col("budget") % F.col("tokens")).alias("part"))
+    taken = slim.join(shares, LEVELS).withColumn("h", shuffle_key(seed, F.col("whole") + 1, F.col("id")))
+    # A leaf's rows in the order of the shuffle lie in one task after another: sums within tasks, then of tasks.
+    ranked = numbered(taken, *LEVELS, "h", "row_hash")
+    sums = materialize(ranked.groupBy(*LEVELS, "task").agg(F.sum("tokens").alias("task_tokens")), "mix-tasks")
+    sums = running_offsets(sums, LEVELS, ["task"], "task_tokens").drop("task_tokens")
+    so_far = F.sum("tokens").over(Window.partitionBy(*LEVELS, "task").orderBy("at"))
+    epochs = F.col("whole") + F.when(F.col("before") + so_far <= F.col("part"), 1).otherwise(0)
+    chosen = ranked.join(sums, [*LEVELS, "task"]).select("id", "row_hash", "held", epochs.cast("int").alias("epochs"))
+    out = join_hot(rows, materialize(chosen, "mix-chosen"), ["id", "row_hash"], "left", "held")
+    return out.select(*unpacked(F.col("row"), docs.columns, (*LEVELS, "mix_tokens", "epochs")), *LEVELS, "mix_tokens", F.coalesce("epochs", F.lit(0)).alias("epochs"))
