@@ -99,45 +99,53 @@ QUANTILES, STRETCHES, RANGE_ROWS = 256, 256, 2000
 LOWEST = -(1 << 63)
 
 
-def id_ranges(docs: DataFrame, key: Column) -> Column:
-    """A number rising with key that deals the rows into ranges of about RANGE_ROWS rows, QUANTILES * STRETCHES at most."""
+def id_ranges(docs: DataFrame, key: Column, tie: Column) -> Column:
+    """A number rising with (key, tie) that deals the rows into ranges of about RANGE_ROWS rows, QUANTILES * STRETCHES at most.
+
+    A key that is several quantiles at once has so many rows that they are dealt by their tie.
+    """
     at = [i / QUANTILES for i in range(QUANTILES + 1)]
     seen = docs.select(key.alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("k", at, 10_000).alias("q")).first()
-    cuts = sorted(set(seen["q"] or [0]))
+    quantiles = seen["q"] or [0]
+    cuts = sorted(set(quantiles))
     each = min(STRETCHES, max(1, -(-seen["n"] // (QUANTILES * RANGE_ROWS))))
+    own = [min(STRETCHES, each * (quantiles.count(c) - 1)) for c in cuts]  # ranges of the key itself
     widths = [min(max(1, -(-(b - a) // each)), (1 << 63) - 1) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)]
     array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     part = F.greatest(F.size(F.filter(array(cuts), lambda c: c <= key)) - 1, F.lit(0))
     stretch = lambda s: F.floor((key.cast("double") - F.get(array(cuts), s)) / F.get(array(widths), s))
-    return let(part, lambda s: s * STRETCHES + F.greatest(F.lit(0), F.least(F.lit(each - 1), stretch(s))).cast("int"))
+    spread = lambda s: F.floor((tie.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.get(array(own), s))
+    is_cut = lambda s: (F.get(array(own), s) > 0) & (key == F.get(array(cuts), s))
+    within = lambda s: F.when(is_cut(s), F.least(spread(s), F.get(array(own), s) - 1)).otherwise(STRETCHES + F.greatest(F.lit(0), F.least(F.lit(each - 1), stretch(s))))
+    return let(part, lambda s: (s * 2 * STRETCHES + within(s)).cast("int"))
 
 
-def by_ranges(docs: DataFrame, id_col: str) -> tuple[DataFrame, Window]:
-    """docs dealt into ranges of ids, and a window in which a row's lead is the next row of the table.
+def by_ranges(docs: DataFrame) -> tuple[DataFrame, Window]:
+    """docs (id and other columns) dealt into ranges of ids, and a window in which a row's lead is the next row of the table.
 
     The first row of each range also goes to the range before (the first of all to the last), as a ghost. Ghosts have
-    ``_ghost`` 1 and are for the caller to drop. Ties of ids are in the order of a hash of the row.
+    ``ghost`` 1 and are for the caller to drop. Ties of ids are in the order of a hash of the row.
     """
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
-    keyed = keyed.withColumns({"_tie": F.xxhash64(*docs.columns), "_range": id_ranges(keyed, F.col("_id"))})
-    heads = keyed.groupBy("_range").agg(F.min(F.struct("_id", "_tie")).alias("h"))
-    order = Window.orderBy("_range")
+    keyed = docs.withColumns({"key": F.coalesce(F.col("id").cast("long"), F.lit(LOWEST)), "tie": F.xxhash64(*docs.columns)})
+    keyed = keyed.withColumn("range", id_ranges(keyed, F.col("key"), F.col("tie")))
+    heads = keyed.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("h"))
+    order = Window.orderBy("range")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.col("h._id").alias("_id"), F.col("h._tie").alias("_tie"), F.coalesce(F.lag("_range").over(order), F.last("_range").over(whole)).alias("_before"))
-    heads = materialize(heads, "range-heads")  # QUANTILES * STRETCHES rows at most: may be broadcast
-    places = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("g")))
-    dealt = keyed.join(F.broadcast(heads), ["_id", "_tie"], "left").withColumn("_to", F.explode(F.filter(places, lambda p: p["r"].isNotNull())))
-    dealt = dealt.select(*docs.columns, "_id", "_tie", F.col("_to.r").alias("_range"), F.col("_to.g").alias("_ghost")).repartition("_range")
-    return dealt, Window.partitionBy("_range").orderBy("_ghost", "_id", "_tie")
+    heads = heads.select(F.col("h.key").alias("key"), F.col("h.tie").alias("tie"), F.coalesce(F.lag("range").over(order), F.last("range").over(whole)).alias("before"))
+    heads = materialize(heads, "range-heads")  # 2 * QUANTILES * STRETCHES rows at most: may be broadcast
+    places = F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("before").alias("r"), F.lit(1).alias("g")))
+    dealt = keyed.join(F.broadcast(heads), ["key", "tie"], "left").withColumn("to", F.explode(F.filter(places, lambda p: p["r"].isNotNull())))
+    dealt = dealt.select(*docs.columns, "key", "tie", F.col("to.r").alias("range"), F.col("to.g").alias("ghost")).repartition("range")
+    return dealt, Window.partitionBy("range").orderBy("ghost", "key", "tie")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_chars, edited_text, its own, the edited and the next document's signature."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt, window = by_ranges(slim, "doc_id")
+    """One row per document: id (under its own name), n_chars, edited_text, its own, the edited and the next document's signature."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    dealt, window = by_ranges(slim)
     signed = dealt.withColumn("sig", signature(F.col("text")))
-    both = signed.withColumns({"next_text": F.lead("text").over(window), "next_sig": F.lead("sig").over(window)}).where("_ghost = 0")
+    both = signed.withColumns({"next_text": F.lead("text").over(window), "next_sig": F.lead("sig").over(window)}).where("ghost = 0")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    out = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited_text"), "sig", "next_sig")
+    out = both.select(F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), edited.alias("edited_text"), "sig", "next_sig")
     return out.withColumn("edited_sig", signature(F.col("edited_text")))
