@@ -5,8 +5,9 @@ boilerplate are removed. A document goes when it fails the base rules (too short
 half of its word characters stood in removed lines.
 
 Defined results: a null or blank text has no words and fails the base rules; a text without line breaks is one line;
-rows are never dropped or merged, so repeated rows give repeated results; other columns pass through, and own result
-names replace columns that clash with them.
+texts may be of any length, their cost grows with it; rows are never dropped or merged, so repeated rows give repeated
+results; an empty table gives an empty table; other columns pass through under any names, and own result names replace
+columns that clash with them.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import SPACE_CLASS, let, words
+from placeweave.llm.shared import let, packed, unpacked, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+OWN = [*MEASURES, "base_failed", "clean_text", "clean_chars", "kept"]
+WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: A line with more symbols than one in five of its characters fails.
 SYMBOL_SHARE = 5
@@ -61,44 +64,50 @@ def repeated_words(w: Column, size: int = 8) -> Column:
     return F.when(F.size(w) <= size, 0).when(any_twice, exact(windows(w, lambda s: F.array_join(s, " ")))).otherwise(0).cast("long")
 
 
-def bare_length(text: Column) -> Column:
-    """Code points of text that are not ASCII white space."""
-    return F.length(F.regexp_replace(text, SPACE_CLASS, "")).cast("long")
-
-
 def line_passes(line: Column) -> Column:
     """Whether a line stays. Blank lines stay."""
-    n_words = F.size(words(line))
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
-    bad = (
-        (symbols * SYMBOL_SHARE > F.length(line))
-        | ((n_words < FRAGMENT_WORDS) & ~line.rlike(END_MARK))
-        | (line.rlike(NAVIGATION) & ~line.rlike(END_MARK))
-        | ((n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
-    )
-    return (n_words == 0) | ~bad
 
+    def judge(n_words: Column) -> Column:
+        bad = (
+            (F.regexp_count(line, F.lit(SYMBOLS)) * SYMBOL_SHARE > F.length(line))
+            | (((n_words < FRAGMENT_WORDS) | line.rlike(NAVIGATION)) & ~line.rlike(END_MARK))
+            | ((n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+        )
+        return (n_words == 0) | ~bad
 
-def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text, clean_chars, kept."""
-    own = [*MEASURES, "base_failed", "clean_text", "clean_chars", "kept"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n")
+    return let(F.regexp_count(line, F.lit(WORD)), judge)
+
+
+def judged(text: Column) -> Column:
+    """struct of MEASURES, base_failed, clean_text, clean_chars and kept, from a text that is not null."""
 
-    def measured(w: Column) -> Column:
-        full = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    def measured(t: Column) -> Column:
+        full = F.filter(t["lines"], lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            bare_length(text).alias("word_chars"),
-            (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.size(t["words"]).cast("long").alias("n_words"),
+            F.length(F.array_join(t["words"], "")).cast("long").alias("word_chars"),
+            F.regexp_count(t["text"], F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             let(full, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-            repeated_words(w).alias("n_repeat_words"),
+            repeated_words(t["words"]).alias("n_repeat_words"),
+            F.array_join(F.filter(t["lines"], line_passes), "\n").alias("clean_text"),
         )
 
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = docs.drop(*[c for c in own if c != text_col]).withColumn("_q", let(words(F.col(text_col)), measured))
-    out = out.withColumns({m: F.col("_q")[m] for m in MEASURES}).drop("_q")
-    out = out.withColumn("base_failed", base_failed).withColumn("clean_text", F.array_join(F.filter(lines, line_passes), "\n"))
-    out = out.withColumn("clean_chars", bare_length(F.col("clean_text")))
-    lost = 100 * (F.col("word_chars") - F.col("clean_chars")) > MOST_LOST * F.col("word_chars")
-    return out.withColumn("kept", ~F.col("base_failed") & ~lost)
+    def counted(m: Column) -> Column:
+        failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        clean = F.when(F.length(m["clean_text"]) == F.length(text), m["word_chars"]).otherwise(F.length(F.array_join(words(m["clean_text"]), "")).cast("long"))
+        return F.struct(*[m[c].alias(c) for c in MEASURES], failed.alias("base_failed"), m["clean_text"].alias("clean_text"), clean.alias("clean_chars"))
+
+    def decided(c: Column) -> Column:
+        lost = 100 * (c["word_chars"] - c["clean_chars"]) > MOST_LOST * c["word_chars"]
+        return F.struct(*[c[x].alias(x) for x in OWN[:-1]], (~c["base_failed"] & ~lost).alias("kept"))
+
+    parts = F.struct(text.alias("text"), F.split(text, "\n").alias("lines"), words(text).alias("words"))
+    return let(let(let(parts, measured), counted), decided)
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text, clean_chars, kept."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # A generator's columns are computed once, whatever filters follow.
+    both = docs.select(packed(docs).alias("row"), F.inline(F.array(judged(text))))
+    return both.select(*unpacked(F.col("row"), docs.columns, OWN), *OWN)
