@@ -3,57 +3,63 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; every stage's result is written
 as Parquet and read again. All stages but the last return the columns of documents.
 
-Rows with null ids or texts pass through as defined by the operators: a null text has no words and fails the quality
-rules. Additional columns of documents are kept. An empty table gives an empty result.
+Defined results: a null or blank text has no words and fails the quality rules; of near duplicates the row with the
+smallest id stays, rows without an id coming last, and rows with one id and different texts are documents of their
+own; a null language or source goes by the name ``null``; texts may be of any length. Columns beyond those of
+documents are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm import mixing, ngram_join, personal_data, quality, sentence_pieces
 from placeweave.llm.queries import MIX_WEIGHTS, source_domain, tokenizer_path
-from placeweave.llm.shared import materialize
+from placeweave.llm.shared import join_hot, materialize, packed
 
 #: Share of all tokens that the mix takes. One epoch only: repeats would undo the removal of near duplicates.
 MIX_PERCENT = 90
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """docs with another text, and n_chars to match where there is such a column."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+def _rows(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as one, so that no name clashes with an operator's."""
+    return docs.select(packed(docs).alias("document"), *names)
+
+
+def _documents(rows: DataFrame, names: list[str], text: Column | None = None) -> DataFrame:
+    """The columns of documents again, with another text if one is given, and n_chars to match where there is such a column."""
+    new = {} if text is None else {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    rows = rows if text is None else rows.select("document", text.alias("new_text"))
+    return rows.select(*[new[c].alias(c) if c in new else F.col("document").getField(c).alias(c) for c in names])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
-    kept = quality.quality_rules(docs).where("kept")
-    return _with_text(kept, F.col("clean_text")).select(*docs.columns)
+    kept = quality.quality_rules(_rows(docs, "text")).where("kept")
+    return _documents(kept, docs.columns, F.col("clean_text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (of repeated ids, one row)."""
-    groups = ngram_join.jaccard_components(docs)
-    stay = groups.where("id is null or id = component_id").select(F.col("id").alias("_id")).distinct()
-    left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))
-    return left.withColumn("_one", one).dropDuplicates(["_one"]).drop("_one")
+    """One document of each group stays."""
+    return ngram_join.one_of_each(docs)
 
 
 def personal_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is replaced by the name of its kind."""
-    found = personal_data.find_personal_data(docs).where(F.size("spans") > 0).dropDuplicates(["id", "digest"])
-    marked = docs.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = marked.join(found.select("id", "digest", "spans"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")), "left")
+    keys = personal_data.DIGESTS
+    found = personal_data.find_personal_data(docs).where(F.size("spans") > 0).groupBy(*keys).agg(F.first("spans").alias("spans"))
+    marked = personal_data.with_digests(_rows(docs, "text"))
+    joined = join_hot(marked, materialize(found, "spans-by-text"), keys, "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(personal_data.redact(F.col("text"), F.col("spans")))
-    return _with_text(joined, text).select(*docs.columns)
+    return _documents(joined, docs.columns, text)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's token prefix under the target weights."""
-    mixed = mixing.mix_sources(docs, source_domain(), F.col("lang"), F.col("source"), MIX_WEIGHTS, MIX_PERCENT)
-    return mixed.where("epochs > 0").select(*docs.columns)
+    rows = _rows(docs, "doc_id", "lang", "source", "text")
+    mixed = mixing.mix_sources(rows, source_domain(), F.col("lang"), F.col("source"), MIX_WEIGHTS, MIX_PERCENT)
+    return _documents(mixed.where("epochs > 0"), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
