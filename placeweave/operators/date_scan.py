@@ -27,12 +27,13 @@ _DAY = r"(?<!\p{L})(domingo|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado)(?:
 _ORD = r"(?:º|°|o(?!\p{L}))?"
 _YEAR = r"(?:\s*,?\s*(?:de\s+)?((?:19|20)[0-9]{2})(?![0-9]))?"
 _PAST = (
-    "foi foram aconteceu aconteceram ocorreu ocorreram realizou realizaram teve tiveram encerrou encerraram recebeu receberam "
-    "participou participaram esteve estiveram celebrou celebraram reuniu reuniram visitou visitaram"
-).split()
-_SHORT = (
-    "dr dra sr sra srta prof profa av r rod pç pça est jd vl pq sto sta nº n cel gen ten cap eng arq ltda cia etc aprox tel km"
-).split()
+    "foi|foram|aconteceu|aconteceram|ocorreu|ocorreram|realizou(?:-se)?|realizaram(?:-se)?|teve|tiveram|encerrou|encerraram|recebeu|receberam|"
+    "participou|participaram|esteve|estiveram|celebrou|celebraram|reuniu|reuniram|visitou|visitaram"
+)
+_SHORT = [
+    "dr", "dra", "sr", "sra", "srta", "prof", "profa", "av", "r", "rod", "pç", "pça", "est", "jd", "vl", "pq", "sto", "sta", "nº", "n", "cel", "gen",
+    "ten", "cap", "eng", "arq", "ltda", "cia", "etc", "aprox", "tel", "km",
+]
 
 
 def _re(pattern: str, flags: int = regex.I):
@@ -50,7 +51,7 @@ FORMS = [
     ),
 ]
 _LOOSE_YEAR = _re(r"\s*[,/–-]?\s*(?:de\s+)?[0-9]{4}(?![0-9])")
-_DONE = _re(rf"(?<!\p{{L}})(?:{'|'.join(w + ('(?:-se)?' if w.startswith('realiz') else '') for w in _PAST)})(?!\p{{L}})")
+_DONE = _re(rf"(?<!\p{{L}})(?:{_PAST})(?!\p{{L}})")
 _DEADLINE = _re(r"(?<!\p{L})até\s+(?:(?:o|a|à|ao)\s+)?(?:às?\s+[0-9]{1,2}h[0-9]{0,2}\s+)?(?:(?:próxim[oa]|dia|d[oa]|est[ae]|nest[ae])\s+)*$")
 _WEEKDAY_BEFORE = _re(rf"{_DAY}\s*[,(]?\s*(?:dia\s+)?$")
 _WEEKDAY_AFTER = _re(rf"\s*[,(–-]\s*{_DAY}(?!(?:-feira)?\s+(?:a|à|e)\s)")

@@ -16,25 +16,60 @@ def has_venue(address: Column, hint: Column) -> Column:
     return F.coalesce(trim(address) != "", F.lit(False)) | F.coalesce(hint == "explicit_name", F.lit(False))
 
 
+def exact_median(rows: DataFrame, by: list[str], value: str, width: float = 1.0) -> DataFrame:
+    """by and median: the mean of the middle value, or of the two middle ones. Nulls do not count.
+
+    Two passes over counts: values are counted by cells of some width, and only values of the cells that hold the middle
+    are put in order, so no task needs all values of a group.
+    """
+    cells = rows.where(F.col(value).isNotNull()).withColumn("cell", F.floor(F.col(value) / width))
+    sizes = cells.groupBy(*by, "cell").agg(F.count("*").alias("n"))
+    w, each = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("cell")
+    sizes = sizes.withColumns({"upto": F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    middle = sizes.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).withColumns({"low": low - F.col("upto") + F.col("n"), "high": high - F.col("upto") + F.col("n")}).drop("n", "upto", "all")
+    values = cells.groupBy(*by, "cell", value).agg(F.count("*").alias("n")).join(middle, [*by, "cell"])
+    upto = F.sum("n").over(Window.partitionBy(*by, "cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("n"))
+    hit = lambda k: (F.col(k) > F.col("first")) & (F.col(k) <= F.col("upto"))
+    at = lambda k: F.max(F.when(hit(k), F.col(value)))
+    return values.groupBy(*by).agg(((at("low") + at("high")) / 2).alias("median"))
+
+
+def delays(items: DataFrame) -> Column:
+    """Hours from publication to collection."""
+    return (F.unix_micros(F.col("collected_at").cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))) / 3.6e9
+
+
+def publication_delay(items: DataFrame, *by: str) -> DataFrame:
+    """by, n_delay, mean_delay_h, median_delay_h and max_delay_h, to one place after the point. by: at least one column."""
+    rows = items.select(*by, delays(items).alias("delay"))
+    plain = rows.groupBy(*by).agg(F.count("delay").alias("n_delay"), round_up(F.avg("delay"), 1).alias("mean_delay_h"), round_up(F.max("delay"), 1).alias("max_delay_h"))
+    return plain.join(exact_median(rows, list(by), "delay"), list(by), "left").select(*by, "n_delay", "mean_delay_h", round_up(F.col("median"), 1).alias("median_delay_h"), "max_delay_h")
+
+
 def run_quality(items: DataFrame) -> DataFrame:
     """Quality per source and, with source_key null, over all: one pass over the items for both.
 
     items: source_key, source_item_id, n_occurrences, time, address, venue_text, hint, published_at, collected_at.
     """
-    delay = (F.unix_micros(F.col("collected_at").cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))) / 3.6e9
     rows = items.select(
         "source_key", "source_item_id", (F.col("n_occurrences") > 0).alias("dated"), F.coalesce((F.col("n_occurrences") > 0) & F.col("time").isNotNull(), F.lit(False)).alias("timed"),
-        F.col("venue_text").isNotNull().alias("placed"), has_venue(F.col("address"), F.col("hint")).alias("geocodable"), delay.alias("delay"),
+        F.col("venue_text").isNotNull().alias("placed"), has_venue(F.col("address"), F.col("hint")).alias("geocodable"), delays(items).alias("delay"),
     )
     total = F.count("*")
     count = lambda c: F.count_if(F.col(c))
     pairs = F.count_distinct(F.struct("source_key", "source_item_id"))
-    return rows.groupingSets([["source_key"], []], "source_key").agg(
+    counted = rows.groupingSets([["source_key"], []], "source_key").agg(
         F.grouping_id().alias("level"), total.alias("total"), count("dated").alias("with_date"), rate(count("dated"), total).alias("date_pct"),
         count("timed").alias("with_time"), rate(count("timed"), total).alias("time_pct"), count("placed").alias("with_venue"), rate(count("placed"), total).alias("venue_pct"),
         count("geocodable").alias("geocodable"), rate(count("geocodable"), total).alias("geocodable_pct"), (total - pairs).alias("duplicates"),
-        F.count("delay").alias("n_delay"), round_up(F.avg("delay"), 1).alias("mean_delay_h"), round_up(F.median("delay"), 1).alias("median_delay_h"), round_up(F.max("delay"), 1).alias("max_delay_h"),
+        F.count("delay").alias("n_delay"), round_up(F.avg("delay"), 1).alias("mean_delay_h"), round_up(F.max("delay"), 1).alias("max_delay_h"),
     )
+    each = exact_median(rows, ["source_key"], "delay").select(F.col("source_key").alias("s"), F.lit(0).alias("l"), "median")
+    whole = exact_median(rows, [], "delay").select(F.lit(None).cast("string").alias("s"), F.lit(1).alias("l"), "median")
+    out = counted.join(F.broadcast(each.unionByName(whole)), F.col("source_key").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")  # one row a source
+    return out.withColumn("median_delay_h", round_up(F.col("median"), 1)).drop("s", "l", "median")
 
 
 def gate_summary(items: DataFrame) -> DataFrame:

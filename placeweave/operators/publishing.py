@@ -36,9 +36,9 @@ def venue_decisions(selected: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def activity_set(staged: DataFrame) -> DataFrame:
-    """Promoted activities whose venue is matched or proposed, first those never published, then the others."""
+    """Promoted activities whose venue is matched or proposed, with the list they are in: never published, or possibly changed."""
     live = staged.where((F.col("proposal_status") == "promoted") & F.col("resolution_status").isin("matched", "proposed_new"))
-    return live.where("promoted_id is null").unionByName(live.where("promoted_id is not null"))
+    return live.withColumn("list", F.when(F.col("promoted_id").isNull(), "unpublished").otherwise("dirty"))
 
 
 def comparison_instant(date: Column, time: Column) -> Column:
@@ -112,6 +112,11 @@ def venue_name(curated: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(trim(curated), F.lit("")), trim(raw))
 
 
+def archive_end(now: Column) -> Column:
+    """The end date that an archived row takes: midnight two days before now."""
+    return F.date_sub(now.cast("date"), 2).cast("timestamp_ntz")
+
+
 def apply_decisions(public: DataFrame, decided: DataFrame, now: Column, archived_end: Column) -> DataFrame:
     """The next snapshot of public rows (public_id, title, end_date, engine_status, last_published_at).
 

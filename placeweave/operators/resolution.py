@@ -111,6 +111,46 @@ def candidate_pairs(mentions: DataFrame, venues: DataFrame, config: ResolutionCo
     return pairs.withColumn("pair_rank", F.row_number().over(order)).where(F.col("pair_rank") <= config.max_candidates)
 
 
+def filter_reasons(mentions: DataFrame, venues: DataFrame, contexts: DataFrame, config: ResolutionConfig) -> DataFrame:
+    """activity_id, original, kept and reasons: how many candidates each filter takes from a mention's pool, in words.
+
+    The counts depend on the product and the trusted city alone, so venues meet those pairs once, not every mention.
+    contexts is a small table of the sources' cities.
+    """
+    known = contexts.where("city is not null and state is not null").select("source_key", F.col("city").alias("trusted_city"), "state")
+    m = mentions.select("activity_id", "product_key", "source_key").join(known, "source_key", "left")
+    keys = ["product_key", "trusted_city", "state"]
+    places = m.select(*keys).distinct().withColumn("centre", city_centre(F.col("trusted_city")))
+    v = venues.select("venue_id", "product_key", "city", "lat", "lng").withColumn("c_centre", city_centre(F.col("city")))
+    both = places.join(v, "product_key", "left")
+    there = F.col("venue_id").isNotNull()
+    city = F.lit(True) if config.allow_cross_city else F.col("trusted_city").isNull() | (F.coalesce("city", F.lit("")) == "") | F.coalesce(F.col("c_centre") == F.col("centre"), F.lit(False))
+    away = haversine(F.col("centre.lat"), F.col("centre.lng"), F.col("lat"), F.col("lng"))
+    near = F.coalesce(away <= config.max_radius_m, F.lit(True)) if config.max_radius_m > 0 else F.lit(True)
+    counts = both.groupBy(*keys).agg(F.count_if(there).alias("original"), F.count_if(there & city).alias("in_city"), F.count_if(there & city & near).alias("in_radius"))
+    gone = lambda a, b: (F.col(a) - F.col(b)).cast("string")
+    most = F.lit(config.max_candidates).cast("long")
+    counts = counts.withColumn("kept", F.least("in_radius", most))
+    # The texts of the steps.
+    steps = F.array_compact(F.array(
+        F.when(F.col("original") > F.col("in_city"), F.concat(gone("original", "in_city"), F.lit(' removidos por cidade (trusted: "'), "trusted_city", F.lit(", "), "state", F.lit('")'))),
+        F.when(F.col("in_city") > F.col("in_radius"), F.concat(gone("in_city", "in_radius"), F.lit(f" removidos por raio ({config.max_radius_m:g}m)"))),
+        F.when(F.col("in_radius") > most, F.concat(gone("in_radius", "kept"), F.lit(f" removidos por limite (maxCandidates={config.max_candidates})"))),
+    ))
+    none = F.concat(F.col("kept").cast("string"), F.lit(" de "), F.col("original").cast("string"), F.lit(" candidatos (sem filtros aplicados)"))
+    counts = counts.withColumn("reasons", F.when(F.size(steps) == 0, none).otherwise(F.array_join(steps, "; ")))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    return m.alias("m").join(counts.alias("c"), same, "left").select("m.activity_id", "c.original", "c.kept", "c.reasons")
+
+
+def stage_invariants(pairs: DataFrame, scored: DataFrame, config: ResolutionConfig) -> DataFrame:
+    """One row of violations: activities with too many candidates, candidates without one score, scores out of range; and the pairs."""
+    per = pairs.groupBy("activity_id").agg(F.count("*").alias("n"))
+    many = per.agg(F.count_if(F.col("n") > config.max_candidates).alias("too_many"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    seen = scored.agg(F.count("*").alias("pairs"), F.count_if((F.col("final_score") < 0) | (F.col("final_score") > 1.001)).alias("out_of_range"))
+    return many.join(F.broadcast(seen)).select("too_many", (F.col("all") - F.col("pairs")).alias("unscored"), "out_of_range", "pairs")  # one row each
+
+
 def name_score(m: Column, c: Column, m_tokens: Column, c_tokens: Column, m_grams: Column, c_grams: Column) -> Column:
     """struct<value, method> of two normalised names: exact, else the best of contains, token overlap and trigrams."""
     share = lambda a, b: F.length(a) / F.nullif(F.length(b), F.lit(0)).cast("double")

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Allowed transitions, and who may take them.
 TRANSITIONS = [("pending_review", "approved"), ("pending_review", "rejected"), ("approved", "promoted"), ("approved", "rejected")]
-ROLES = {"approved": ("reviewer", "admin"), "rejected": ("reviewer", "admin"), "promoted": ("admin",)}
+ROLES = {
+    "approved": ("reviewer", "admin"), "rejected": ("reviewer", "admin"), "promoted": ("admin",),
+    "accept": ("reviewer", "admin"), "override": ("reviewer", "admin"), "propose_new": ("admin",),
+}
+
+
+def may(role: Column, wanted: Column) -> Column:
+    """Whether a role may take an action."""
+    return F.coalesce(reduce(lambda out, item: out.when(wanted == item[0], role.isin(*item[1])), ROLES.items(), F), F.lit(False))
 
 
 @dataclass(frozen=True)

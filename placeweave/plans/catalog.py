@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeweave.plans import collecting, dates, metrics, places, publishing, resolving, reviewing  # noqa: F401  (they register)
+from placeweave.plans import collecting, dates, details, metrics, places, publishing, resolving, reviewing  # noqa: F401  (they register)
 from placeweave.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP: Query = QUERIES["E17_resolve_classify"]

@@ -171,10 +171,10 @@ def b18(spark, sf_dir):
     return posts.structured_items(_posts(spark, sf_dir)).select("post_id", "idx", "title", "date", "time", "end_time", "venue_name")
 
 
-@query("B20_narrative", """SELECT o_orderkey AS post_id, CASE WHEN o_orderkey % 4 = 2 THEN 'extracted' ELSE 'not_found' END AS status, CASE WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 4 = 2 THEN '10:00' END AS time,
-  CASE WHEN o_orderkey % 4 = 2 THEN 'Praia do Forte' END AS venue_name, CASE WHEN o_orderkey % 4 = 2 THEN 0.55::DOUBLE END AS confidence FROM orders WHERE o_orderkey % 4 >= 2""")
+@query("B20_narrative", """SELECT o_orderkey AS post_id, CASE o_orderkey % 4 WHEN 2 THEN 'extracted' WHEN 3 THEN 'not_found' ELSE 'ambiguous' END AS status, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 4 = 2 THEN '10:00' END AS time,
+  CASE o_orderkey % 4 WHEN 2 THEN 'Praia do Forte' WHEN 0 THEN 'Forte' END AS venue_name, CASE WHEN o_orderkey % 4 = 2 THEN 0.55::DOUBLE END AS confidence FROM orders""")
 def b20(spark, sf_dir):
-    return posts.narrative_items(_posts(spark, sf_dir).where("post_id % 4 >= 2")).select("post_id", "status", "date", "time", "venue_name", "confidence")
+    return posts.narrative_items(_posts(spark, sf_dir)).select("post_id", "status", "date", "time", "venue_name", "confidence")
 
 
 @query("B23_post_items", """SELECT o_orderkey || '_' || i AS source_item_id, CASE WHEN o_orderkey % 4 = 2 THEN 'narrative_fallback' ELSE 'structured_block' END AS method, 1 AS n_occurrences FROM orders, generate_series(0, 1) AS g(i)

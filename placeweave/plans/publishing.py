@@ -150,8 +150,7 @@ PUBLIC = "pb AS (SELECT public_id, 'old ' || public_id AS title, NULL::TIMESTAMP
   FROM pb LEFT JOIN ch ON state_id = public_id UNION ALL SELECT activity_id + 9000000, title, NULL, 'active', TIMESTAMP '{AS_OF}' FROM dec WHERE action = 'insert'""")
 def f16(spark, sf_dir):
     pub = adapt(spark, sf_dir, "published").select("public_id", F.concat(F.lit("old "), F.col("public_id").cast("string")).alias("title"), F.lit(None).cast("timestamp_ntz").alias("end_date"), F.when(F.col("public_id") % 2 == 0, "archived").otherwise("active").alias("engine_status"), "last_published_at")
-    archived_end = F.date_sub(_now().cast("date"), 2).cast("timestamp_ntz")  # F17
-    return p.apply_decisions(pub, _decided(spark, sf_dir), _now(), archived_end)
+    return p.apply_decisions(pub, _decided(spark, sf_dir), _now(), p.archive_end(_now()))
 
 
 @query("F18_run_metrics", f"""{A}, {DEC} SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action IN ('archive', 'archive_expired')) AS archived,

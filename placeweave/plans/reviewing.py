@@ -50,9 +50,9 @@ def h05(spark, sf_dir):
     return review.resolution_queue(top, _candidates(spark, sf_dir), adapt(spark, sf_dir, "venues")).select("activity_id", "n_candidates", "venue_name")
 
 
-@query("H06_candidates", f"{T}, {CAND} SELECT candidate_id, row_number() OVER (PARTITION BY activity_id ORDER BY score DESC, c.venue_id, candidate_id) AS rank, coalesce(name, '') AS name, city FROM cand c LEFT JOIN venues v ON v.venue_id = c.venue_id WHERE c.activity_id % 50 = 1")
+@query("H06_candidates", f"{T}, {CAND} SELECT candidate_id, row_number() OVER (PARTITION BY activity_id ORDER BY score DESC, c.venue_id, candidate_id) AS rank, coalesce(name, '') AS name, city FROM cand c LEFT JOIN venues v ON v.venue_id = c.venue_id")
 def h06(spark, sf_dir):
-    c = _candidates(spark, sf_dir).where("activity_id % 50 = 1")
+    c = _candidates(spark, sf_dir)
     from pyspark.sql import Window
 
     ranked = review.ranked_candidates(c, adapt(spark, sf_dir, "venues"))

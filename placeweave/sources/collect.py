@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,13 +111,29 @@ def sanitize(text: Column) -> Column:
     return F.when(F.length(out) > MOST_TEXT, F.concat(F.substring(out, 1, MOST_TEXT), F.lit("…"))).otherwise(out)
 
 
+# What no manifest may hold, by name.
+FORBIDDEN = {
+    "sb_secret": r"(?i)sb_secret_",
+    "sb_publishable": r"(?i)sb_publishable_",
+    "jwt": r"eyJ[A-Za-z0-9_-]{4,}",
+    "service_role": r"(?i)service_role",
+    "credential_param": rf"(?i)(?<![A-Za-z0-9_])(?:{CREDENTIALS}){_QUOTE}{SPACE}*[=:]",
+    "bearer": rf"(?i)(?<![A-Za-z0-9_])(?:bearer|basic){SPACE}+(?!<redacted)[A-Za-z0-9._~+/=-]{{6,}}",
+    "supabase_url": r"(?i)[a-z0-9]{20}\.supabase\.co",
+    "env_var_assignment": rf"SUPABASE_SERVICE_KEY{SPACE}*=",
+}
+
+
+def forbidden(text: Column) -> Column:
+    """Names of the forbidden patterns that text holds."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in FORBIDDEN.items()]))
+
+
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """Run manifests as JSON, with every text column sanitised; a manifest that still holds a secret fails the write."""
     texts = [c for c, t in manifests.dtypes if t == "string"]
     safe = manifests.withColumns({c: sanitize(F.col(c)) for c in texts})
-    held = F.lit(False)
-    for c in texts:
-        held = held | F.coalesce(F.col(c).rlike(rf"(?i)sb_secret_|service_role|(?<![A-Za-z0-9_])(?:{CREDENTIALS}){_QUOTE}{SPACE}*[=:]"), F.lit(False))
+    held = reduce(lambda a, b: a | b, [F.coalesce(F.size(forbidden(F.col(c))) > 0, F.lit(False)) for c in texts], F.lit(False))
     safe.where(F.when(held, F.raise_error(F.lit("a manifest holds a secret"))).otherwise(F.lit(True))).write.json(path)
 
 

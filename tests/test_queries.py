@@ -8,7 +8,6 @@ import pytest
 from placeweave.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"B18_structured_blocks", "B20_narrative", "B23_post_items", "B23_skipped", "G20_collector_statistics"}  # large plans; posts are tested by hand
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def test_every_query_has_sql_or_a_reason():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"H12_pending_activities"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, con, name):
     got = catalog.queries()[name](spark, DATA)
     want = con.sql(catalog.oracle_sql()[name])
