@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placeweave.functions.dates_pt import WEEKDAYS, lookup, parse_time_range
-from placeweave.functions.text import BLANKS, SPACE
+from placeweave.functions.text import BLANKS, SPACE, let
 
 # What counts as a weekday, a time, a rule and a dated mention.
 FEIRA = "segunda|ter[çc]a|quarta|quinta|sexta"
@@ -51,29 +51,49 @@ def has_signal(text: Column) -> Column:
     return text.rlike(EVERY) | text.rlike(RANGE) | text.rlike(SINGLE)
 
 
+def _dated(text: Column) -> Column:
+    """Weekdays that stand next to a date."""
+    return _numbers(F.concat(_all(text, DATED, 1), _all(text, DATED_AFTER, 1)))
+
+
 def only_dated(text: Column, days: Column) -> Column:
     """All weekdays stand next to a date, and no "toda" asks for more."""
-    dated = _numbers(F.concat(_all(text, DATED, 1), _all(text, DATED_AFTER, 1)))
-    return (F.size(days) > 0) & (F.size(F.array_except(days, dated)) == 0) & ~text.rlike(EVERY)
+    return (F.size(days) > 0) & (F.size(F.array_except(days, _dated(text))) == 0) & ~text.rlike(EVERY)
+
+
+def _facts(text: Column) -> Column:
+    """What the rules ask of a text, each found once."""
+    return F.struct(
+        weekdays(text).alias("days"), time_mentions(text).alias("times"), _dated(text).alias("dated"),
+        F.coalesce(text.rlike(EVERY), F.lit(False)).alias("every"), F.coalesce(text.rlike(ORDINAL), F.lit(False)).alias("ordinal"),
+    )
+
+
+def _live(f: Column) -> Column:
+    """Weekdays with a signal of recurrence that are not all dated."""
+    signal = f["every"] | (f["times"]["ranges"] > 0) | (f["times"]["singles"] > 0)  # without a range nothing is masked
+    return (F.size(f["days"]) > 0) & signal & ((F.size(F.array_except(f["days"], f["dated"])) > 0) | f["every"])
 
 
 def qualifies(text: Column) -> Column:
     """Whether a text is evidence of a weekly recurrence."""
-    days = weekdays(text)
-    return (F.size(days) > 0) & has_signal(text) & ~only_dated(text, days) & ~text.rlike(ORDINAL)
+    return let(_facts(text), lambda f: _live(f) & ~f["ordinal"])
 
 
 def detect(text: Column) -> Column:
     """struct<type, days, time, reasons> of a candidate text; null members where nothing recurs."""
-    days, times = weekdays(text), time_mentions(text)
-    live = (F.size(days) > 0) & has_signal(text) & ~only_dated(text, days)
-    weekly, total = live & ~text.rlike(ORDINAL), times["ranges"] + times["singles"]
-    none = F.array().cast("array<string>")
-    reasons = F.when(live & text.rlike(ORDINAL), F.array(F.lit(ORDINAL_MONTH))).when(weekly & (total > 1), F.array(F.lit(DAYS_DIFFER))).when(weekly & (times["ranges"] == 1), F.array(F.lit(END_LOST))).otherwise(none)
-    return F.struct(
-        F.when(weekly, F.lit("weekly")).alias("type"), F.when(weekly, days).alias("days"),
-        F.when(weekly & (total == 1), parse_time_range(text, loose=False)["time"]).alias("time"), reasons.alias("reasons"),
-    )
+
+    def read(f: Column) -> Column:
+        live, times = _live(f), f["times"]
+        weekly, total = live & ~f["ordinal"], times["ranges"] + times["singles"]
+        none = F.array().cast("array<string>")
+        reasons = F.when(live & f["ordinal"], F.array(F.lit(ORDINAL_MONTH))).when(weekly & (total > 1), F.array(F.lit(DAYS_DIFFER))).when(weekly & (times["ranges"] == 1), F.array(F.lit(END_LOST))).otherwise(none)
+        return F.struct(
+            F.when(weekly, F.lit("weekly")).alias("type"), F.when(weekly, f["days"]).alias("days"),
+            F.when(weekly & (total == 1), parse_time_range(text, loose=False)["time"]).alias("time"), reasons.alias("reasons"),
+        )
+
+    return let(_facts(text), read)
 
 
 def candidate_text(title: Column, description: Column, raw_text: Column, article: Column) -> Column:

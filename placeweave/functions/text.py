@@ -41,10 +41,14 @@ def fold(text: Column) -> Column:
 def normalize(text: Column, stop_words: list[str] | None = None) -> Column:
     """Folded words without punctuation and stop words; all stop words stay if there is nothing else."""
     stop_words = STOP_WORDS_PT if stop_words is None else stop_words
-    bare = trim(F.regexp_replace(F.regexp_replace(fold(text), rf"[^\p{{L}}\p{{N}}{BLANKS}]", " "), f"{SPACE}+", " "))
-    words = F.split(bare, " ")
-    kept = F.filter(words, lambda w: ~w.isin(stop_words))
-    return F.when(F.size(kept) == 0, bare).otherwise(F.array_join(kept, " "))
+    # Whatever is neither letter nor digit becomes one blank, white space included.
+    bare = F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
+
+    def rest(b: Column) -> Column:
+        kept = F.filter(F.split(b, " "), lambda w: ~w.isin(stop_words))
+        return let(kept, lambda k: F.when(F.size(k) == 0, b).otherwise(F.array_join(k, " ")))
+
+    return let(bare, rest)
 
 
 def trigrams(text: Column) -> Column:

@@ -7,12 +7,13 @@ everything built on its output is column expressions again.
 
 from __future__ import annotations
 
-
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
 import pyarrow as pa
 import regex
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placeweave.functions.dates_pt import MONTHS, MOST_WEEKDAY_DAYS, MOST_YEAR_DAYS, WEEKDAYS
@@ -107,14 +108,16 @@ class _Scan:
     taken: list[tuple[int, int]] = field(default_factory=list)
     mentions: list[dict] = field(default_factory=list)
     issues: list[dict] = field(default_factory=list)
+    stops: list[int] | None = None
 
     def fail(self, m, reason: str) -> None:
         self.issues.append({"matched": m[0], "reason": reason})
 
     def sentence(self, start: int, end: int) -> str:
-        a = next((i + 1 for i in range(start - 1, -1, -1) if _STOP.match(self.text[i]) and _ends_sentence(self.text, i)), 0)
-        b = next((m.start() for m in _STOP.finditer(self.text, end) if _ends_sentence(self.text, m.start())), len(self.text))
-        return self.text[a:b]
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOP.finditer(self.text) if _ends_sentence(self.text, m.start())]
+        before, after = bisect_left(self.stops, start), bisect_left(self.stops, end)
+        return self.text[self.stops[before - 1] + 1 if before else 0 : self.stops[after] if after < len(self.stops) else len(self.text)]
 
     def may_infer(self, m) -> bool:
         """Whether a mention without a year may get one: not before a loose year, not in a sentence about the past."""
@@ -205,7 +208,13 @@ def scan_column():
         pairs = zip(text.to_pylist(), at.to_pylist(), strict=True)
         return pa.array([None if t is None or a is None else scan(t, _utc(a)) for t, a in pairs], _types())
 
-    return dates
+    def scanned(text: Column, at: Column) -> Column:
+        # No form does without a digit, so other texts are not sent to Python.
+        found = dates(F.when(text.rlike("[0-9]"), text), at)
+        nothing = F.struct(F.array().cast(f"array<{MENTION}>").alias("mentions"), F.array().cast(f"array<{ISSUE}>").alias("issues"))
+        return F.when(text.isNotNull() & at.isNotNull(), F.coalesce(found, nothing))
+
+    return scanned
 
 
 def scan_labels_column():
