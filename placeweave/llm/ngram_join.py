@@ -44,8 +44,9 @@ K = 5
 LIGHT = 24
 #: A set of so many elements has more subsets of the sizes needed than any table has rows, so it is never small.
 NEVER_SMALL = 64
-#: Lists that are open and longer than this are split once more, up to MOST_SPLITS times.
-LONG, MOST_SPLITS = 64, 3
+#: Open lists with more members outside their largest component are split once more, up to MOST_SPLITS times. A split
+#: shuffles every shingle of every member, so a member should save some ten times as many pairs as it has shingles.
+LONG, MOST_SPLITS = 65_536, 2
 #: Members of an open list that are compared with as many others in one go.
 BLOCK = 1024
 #: Bits of a set's parity sketch.
@@ -185,7 +186,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _boundary(classes: DataFrame, lists: DataFrame) -> int:
     """The size up to which sets list subsets, so that subsets and scans of lists cost the least. Reads NEVER_SMALL sums."""
     by_size = {r["n"]: r["c"] for r in classes.where(F.col("n") < NEVER_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    mean = lists.agg(F.avg("c")).first()[0] or 1.0  # entries met by one element of a prefix
+    mean = lists.agg(F.avg(F.least("c", F.lit(LIGHT)))).first()[0] or 1.0  # entries met by one element; longer lists meet pivots
 
     def cost(x: int) -> float:
         subsets = sum(c * sum(comb(n, k) for k in _overlaps(n, x)) for n, c in by_size.items() if n <= x)
@@ -245,7 +246,7 @@ def _sizes_fit(x: Column, y: Column) -> Column:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """The rows of tokens that two or more of them have, with c, their number. rows must be materialized."""
+    """The rows of tokens that two or more of them have, with c, their number. rows are read twice."""
     sizes = materialize(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "list-sizes")
     return join_hot(rows, sizes, "token", size="c")
 
@@ -286,7 +287,7 @@ def _rare_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
     """
     rows = members.join(sets, "doc").select("at", "doc", "n", F.explode("tokens").alias("token"))
     rows = rows.withColumn("token", F.when(F.col("at") == 0, F.col("token")).otherwise(F.xxhash64("at", "token")))
-    held = _counted(materialize(rows, "rare-postings"))
+    held = _counted(rows)
     per = Window.partitionBy("at", "doc")
     ranked = held.withColumns({"r": F.row_number().over(per.orderBy("c", "token")), "shared": F.count("*").over(per)})
     ranked = ranked.withColumns({"own": F.col("n") - F.col("shared"), "room": F.floor((7 * F.col("shared") - 3 * F.col("n")) / 3)})
@@ -326,7 +327,7 @@ def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     (a + b) / 7 shingles at most, and in no fewer than their parity sketches do; that is part of the join's condition, so
     other pairs are not even made.
     """
-    parts, long = [], F.col("size") > LONG
+    parts, long = [], F.col("outside") > LONG
     for _ in range(MOST_SPLITS):
         open_ = materialize(_open(lists, roots), "open-members")
         parts.append(open_.where(~long))

@@ -64,16 +64,14 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str =
     """rows joined to keyed, which has one row for a key; the rows of a hot key are dealt to several tasks.
 
     rows is read more than once, so it should be materialized, as should keyed if its column size says how many of rows
-    have the key. The list of hot keys is broadcast; it has HOT_KEYS entries at most.
+    have the key. The list of hot keys is broadcast; it has HOT_KEYS entries at most. The plan is the same at every size.
     """
     keys = [key] if isinstance(key, str) else key
     sizes = keyed.select(*keys, F.col(size).alias("rows")) if size else rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    seen = sizes.agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()  # two numbers
-    least = max(HOT_ROWS, -(-(seen["n"] or 0) // HOT_KEYS))
-    if (seen["most"] or 0) < least:
-        return rows.join(keyed, keys, how)
+    least = max(HOT_ROWS, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // HOT_KEYS))  # one number
     hot = F.broadcast(sizes.where(F.col("rows") >= least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("parts")))
-    dealt = rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("parts").cast("long")).cast("int"))
+    dealt = rows.join(hot, keys, "left").withColumn("part", part).drop("parts")
     copied = keyed.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return dealt.join(copied, [*keys, "part"], how).drop("part")
 
