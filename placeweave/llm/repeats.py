@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import materialize
+from placeweave.llm.shared import discard, join_hot, materialize
 
 LENGTH, GRAM = 200, 24
 GRAMS = LENGTH - GRAM + 1
@@ -37,8 +37,6 @@ MOST_WINDOWS = 256
 BATCH_BYTES = 1 << 20
 #: Places of the minimizer that one name covers, by round. The last must be 1.
 STEPS = (16, 1)
-#: Stretches of one minimizer from which its counts are broadcast rather than dealt: so many at most as rows / HOT_ROWS.
-HOT_ROWS = 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -232,13 +230,13 @@ def _compare_dealt(parts: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, array of (key, digest, weight, first, windows) -> one row per stretch with its bytes."""
+    """text, array of (key, digest, weight, first, windows, large) -> one row per stretch with its bytes."""
     for batch in batches:
         texts, wanted = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
-        rows = [(w["key"], w["digest"], w["weight"], t[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for t, ws in zip(texts, wanted, strict=True) for w in ws]
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "digest", "weight", "part"])
+        rows = [(w["key"], w["digest"], w["weight"], w["large"], t[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for t, ws in zip(texts, wanted, strict=True) for w in ws]
+        cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "digest", "weight", "large", "part"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,30 +265,31 @@ def repeated_spans(slim: DataFrame) -> DataFrame:
     found = materialize(slim.mapInArrow(_find, "id long, tie long, first int, windows int, key long, digest long, twice boolean"), "repeat-found")
     counts = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("one"), F.max("twice").alias("self"))
     counts = materialize(counts.where("n > 1 or self"), "repeat-keys")
-    many = counts.where(F.col("n") >= HOT_ROWS).select("key", F.struct("one", "self").alias("k"))
-    tagged = found.drop("twice").join(F.broadcast(many), "key", "left")
-    columns = ["id", "tie", "first", "windows", "key", "digest", "one", "self"]
-    few = tagged.where("k is null").join(counts.where(F.col("n") < HOT_ROWS).select("key", "one", "self"), "key").select(*columns)
-    met = materialize(few.unionByName(tagged.where("k is not null").select(*columns[:6], "k.one", "k.self")), "repeat-stretches")
+    met = materialize(join_hot(found.drop("twice"), counts, "key", size="n").drop("n"), "repeat-stretches")
+    discard(found)
     same = met.where("one and not self")  # the stretch occurs twice or more, and nothing else has its minimizer
     mixed = met.where("not one or self")
     chosen = mixed.groupBy("key", "digest").agg(F.min(F.struct("id", "tie", "first", "windows")).alias("c"), F.count("*").alias("weight"))
-    wanted = chosen.groupBy("c.id", "c.tie").agg(F.collect_list(F.struct("key", "digest", "weight", F.col("c.first").alias("first"), F.col("c.windows").alias("windows"))).alias("wanted"))
-    parts = slim.join(wanted, ["id", "tie"]).select("text", "wanted").mapInArrow(_cut, "key long, digest long, weight long, part binary")
-    dealt = materialize(parts.groupBy("key", "digest").agg(F.first("weight").alias("weight"), F.first("part").alias("part")), "repeat-parts")
-    large = dealt.groupBy("key").agg(F.sum(F.length("part")).alias("size")).where(F.col("size") > BATCH_BYTES).select("key")
-    large = F.broadcast(materialize(large, "repeat-large"))  # one key a BATCH_BYTES of stretches at most
-    own = dealt.join(large, "key", "left_anti")
+    chosen = materialize(chosen.select("key", "digest", "weight", "c.*"), "repeat-chosen")
+    sizes = chosen.groupBy("key").agg(F.count("*").alias("n"), (F.sum(F.col("windows") + (LENGTH - 1)) > BATCH_BYTES).alias("large"))
+    chosen = join_hot(chosen, materialize(sizes, "repeat-sizes"), "key", size="n")
+    wanted = chosen.groupBy("id", "tie").agg(F.collect_list(F.struct("key", "digest", "weight", "first", "windows", "large")).alias("wanted"))
+    parts = slim.join(wanted, ["id", "tie"]).select("text", "wanted").mapInArrow(_cut, "key long, digest long, weight long, large boolean, part binary")
+    dealt = materialize(parts.groupBy("key", "digest").agg(F.first("weight").alias("weight"), F.first("large").alias("large"), F.first("part").alias("part")), "repeat-parts")
+    own = dealt.where(~F.col("large")).drop("large")
     runs = own.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "key long, digest long, `from` int, `to` int")
-    runs = materialize(runs.unionByName(_compare_dealt(dealt.join(large, "key", "left_semi"))), "repeat-runs")
-    hit = mixed.join(runs, ["key", "digest"]).select("id", "tie", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + (LENGTH - 1)).alias("to"))
+    runs = runs.unionByName(_compare_dealt(dealt.where("large").drop("large")))
+    runs = materialize(runs.groupBy("key", "digest").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "repeat-runs")  # of one stretch
+    discard(dealt)
+    hit = join_hot(mixed.select("id", "tie", "first", "key", "digest"), runs, ["key", "digest"]).select("id", "tie", "first", F.inline("runs"))
+    hit = hit.select("id", "tie", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + (LENGTH - 1)).alias("to"))
     return hit.unionByName(same.select("id", "tie", F.col("first").alias("from"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("to")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    slim = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     spans = repeated_spans(slim).groupBy("id", "tie").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     out = slim.join(spans, ["id", "tie"], "left").select("id", "text", "spans").mapInArrow(_strip, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("id", F.when(F.col("id") != -(1 << 63), F.col("id")))
