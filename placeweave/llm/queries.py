@@ -24,7 +24,8 @@ def tokenizer_path(name: str) -> str:
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
     base = F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256")
     n_spans = F.size("spans").cast("long").alias("n_spans")
     return found.select(F.col("id").alias("doc_id"), *counts, base, personal_data.spans_text(F.col("spans")).alias("spans"), n_spans)

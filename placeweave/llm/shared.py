@@ -69,7 +69,10 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str =
     keys = [key] if isinstance(key, str) else key
     sizes = keyed.select(*keys, F.col(size).alias("rows")) if size else rows.groupBy(*keys).agg(F.count("*").alias("rows"))
     least = max(HOT_ROWS, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // HOT_KEYS))  # one number
-    hot = F.broadcast(sizes.where(F.col("rows") >= least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("parts")))
+    hot = sizes.where(F.col("rows") >= least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("parts"))
+    # One more entry, of one part, which changes no result: a list that is never empty is never planned away.
+    one = rows.sparkSession.range(1).select(*[F.lit("0").cast(keyed.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("parts"))
+    hot = F.broadcast(hot.unionByName(one).groupBy(*keys).agg(F.max("parts").alias("parts")))
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("parts").cast("long")).cast("int"))
     dealt = rows.join(hot, keys, "left").withColumn("part", part).drop("parts")
     copied = keyed.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
