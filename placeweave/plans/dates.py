@@ -119,20 +119,32 @@ def b09(spark, sf_dir):
     return _refs(spark, sf_dir).select("o_orderkey", d.day_with_weekday(F.col("dd"), F.col("wd"), F.col("ref")).alias("date"))
 
 
-@query("B10_scan_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'day_month' WHEN 2 THEN 'numeric' ELSE 'weekday_day' END AS kind, o_orderkey % 4 IN (1, 3) AS inferred, 0 AS issues FROM orders")
+_FORM = "o_orderkey % 8"
+
+
+@query("B10_scan_dates", f"""SELECT o_orderkey, CASE WHEN {_FORM} <> 6 THEN strftime(o_orderdate, '%Y-%m-') || CASE {_FORM} WHEN 4 THEN '05' WHEN 5 THEN '03' WHEN 7 THEN '01' ELSE strftime(o_orderdate, '%d') END END AS date,
+  CASE WHEN {_FORM} = 5 THEN strftime(o_orderdate, '%Y-%m-09') END AS end_date,
+  CASE {_FORM} WHEN 1 THEN 'day_month' WHEN 2 THEN 'numeric' WHEN 3 THEN 'weekday_day' WHEN 4 THEN 'list_item' WHEN 5 THEN 'range' WHEN 6 THEN NULL ELSE 'full' END AS kind,
+  CASE WHEN {_FORM} <> 6 THEN {_FORM} IN (1, 3) END AS inferred, CASE {_FORM} WHEN 4 THEN 3 WHEN 6 THEN 0 ELSE 1 END AS mentions, CASE WHEN {_FORM} = 6 THEN 'weekday_mismatch' END AS issue FROM orders""")
 def b10(spark, sf_dir):
-    """Dates written in four forms and found again."""
+    """Dates written in eight forms and found again, one of them with a weekday that is not the date's."""
     o = _orders(spark, sf_dir)
-    n, k = F.dayofmonth("day").cast("string"), F.col("o_orderkey") % 4
+    n, k, year = F.dayofmonth("day").cast("string"), F.col("o_orderkey") % 8, F.year("day").cast("string")
+    full, month = F.concat(n, F.lit(" de "), "month_name", F.lit(" de "), year), F.concat(F.lit(" de "), "month_name", F.lit(" de "), year)
     text = (
-        F.when(k == 0, F.concat(F.lit("O evento será no dia "), n, F.lit(" de "), "month_name", F.lit(" de "), F.year("day").cast("string"), F.lit(", com entrada livre.")))
+        F.when(k == 0, F.concat(F.lit("O evento será no dia "), full, F.lit(", com entrada livre.")))
         .when(k == 1, F.concat(F.lit("Acontece em "), n, F.lit(" de "), "month_name", F.lit(" na praça.")))
         .when(k == 2, F.concat(F.lit("Data "), F.date_format("day", "dd/MM/yyyy"), F.lit(" no teatro")))
-        .otherwise(F.concat(F.lit("Neste "), "day_name", F.lit(" ("), n, F.lit("), na orla")))
+        .when(k == 3, F.concat(F.lit("Neste "), "day_name", F.lit(" ("), n, F.lit("), na orla")))
+        .when(k == 4, F.concat(F.lit("Oficinas nos dias 5, 12 e 19"), month, F.lit(", às 9h.")))
+        .when(k == 5, F.concat(F.lit("Festival de 3 a 9"), month, F.lit("; entrada livre")))
+        .when(k == 6, F.concat(F.lit("Show "), _pick(DAYS, F.dayofweek("day") % 7), F.lit(", "), full))
+        .otherwise(F.concat(F.lit("Abertura no dia 1º"), month))
     )
     found = o.select("o_orderkey", scan_column()(text, F.col("day").cast("timestamp")).alias("s"))
     m = F.get("s.mentions", F.lit(0))
-    return found.select("o_orderkey", m["date"].alias("date"), m["kind"].alias("kind"), m["inferred"].alias("inferred"), F.size("s.issues").alias("issues"))
+    issue = F.get("s.issues", F.lit(0))["reason"].alias("issue")
+    return found.select("o_orderkey", m["date"].alias("date"), m["end_date"].alias("end_date"), m["kind"].alias("kind"), m["inferred"].alias("inferred"), F.size("s.mentions").alias("mentions"), issue)
 
 
 @query("B13_distinct_dates", "SELECT l_orderkey, count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS n FROM lineitem GROUP BY 1")
@@ -156,23 +168,27 @@ def _posts(spark, sf_dir):
     """A post per order: two labelled blocks, one, or prose, by key."""
     o = _orders(spark, sf_dir)
     n, k = F.dayofmonth("day").cast("string"), F.col("o_orderkey") % 4
-    full = F.concat(n, F.lit(" de "), "month_name", F.lit(" de "), F.year("day").cast("string"))
-    block = lambda title: F.concat(F.lit(f"<p><strong>{title}</strong><br />Dia: "), full, F.lit("<br>Horário: 7h às 8h<br/>Local: Canto do Forte</p>"))
+    key, hour = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 22 + 1
+    short = F.concat(n, F.lit(" de "), "month_name")
+    full = F.concat(short, F.lit(" de "), F.year("day").cast("string"))
+    block = lambda title: F.concat(F.lit(f"<p><strong>{title} "), key, F.lit("</strong><br />Dia: "), full, F.lit("<br>Horário: "), hour.cast("string"), F.lit("h às "), (hour + 1).cast("string"), F.lit("h<br/>Local: Canto "), key, F.lit("</p>"))
     html = (
-        F.when(k == 0, F.concat(F.lit("<p>Texto</p>SERVIÇO"), block("Yoga no Forte"), block("Dança"))).when(k == 1, F.concat(F.lit("SERVIÇO"), block("Feira")))
-        .when(k == 2, F.concat(F.lit("<p>O encontro será no dia "), full, F.lit(", às 10h, na Praia do Forte.</p>"))).otherwise(F.lit("<p>Nada a dizer.</p>"))
+        F.when(k == 0, F.concat(F.lit("<p>Texto</p>SERVIÇO"), block("Yoga na Casa"), block("Dança"))).when(k == 1, F.concat(F.lit("SERVIÇO"), block("Feira")))
+        .when(k == 2, F.concat(F.lit("<p>O encontro será no dia "), full, F.lit(", às "), hour.cast("string"), F.lit("h, na Praia "), key, F.lit(".</p>")))
+        .when(F.col("o_orderkey") % 8 == 3, F.concat(F.lit("<p>O encontro foi dia "), short, F.lit(".</p>"))).otherwise(F.lit("<p>Nada a dizer.</p>"))
     )
     return o.select(F.col("o_orderkey").alias("post_id"), F.lit("prefeitura").alias("source_key"), F.concat(F.lit("Post "), F.col("o_orderkey").cast("string")).alias("title"), html.alias("html"), F.lit("SERVIÇO").alias("marker"), F.col("day").cast("timestamp").alias("at"), F.lit(True).alias("exact"))
 
 
-@query("B18_structured_blocks", """SELECT o_orderkey AS post_id, i::INT AS idx, CASE WHEN o_orderkey % 4 = 1 THEN 'Feira' WHEN i = 0 THEN 'Yoga no Forte' ELSE 'Dança' END AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, '07:00' AS time, '08:00' AS end_time, 'Canto do Forte' AS venue_name
+@query("B18_structured_blocks", """SELECT o_orderkey AS post_id, i::INT AS idx, CASE WHEN o_orderkey % 4 = 1 THEN 'Feira ' WHEN i = 0 THEN 'Yoga na Casa ' ELSE 'Dança ' END || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS date,
+  lpad((o_orderkey % 22 + 1)::VARCHAR, 2, '0') || ':00' AS time, lpad((o_orderkey % 22 + 2)::VARCHAR, 2, '0') || ':00' AS end_time, 'Canto ' || o_orderkey AS venue_name
   FROM orders, generate_series(0, 1) AS g(i) WHERE o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND i = 0)""")
 def b18(spark, sf_dir):
     return posts.structured_items(_posts(spark, sf_dir)).select("post_id", "idx", "title", "date", "time", "end_time", "venue_name")
 
 
-@query("B20_narrative", """SELECT o_orderkey AS post_id, CASE o_orderkey % 4 WHEN 2 THEN 'extracted' WHEN 3 THEN 'not_found' ELSE 'ambiguous' END AS status, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 4 = 2 THEN '10:00' END AS time,
-  CASE o_orderkey % 4 WHEN 2 THEN 'Praia do Forte' WHEN 0 THEN 'Forte' END AS venue_name, CASE WHEN o_orderkey % 4 = 2 THEN 0.55::DOUBLE END AS confidence FROM orders""")
+@query("B20_narrative", """SELECT o_orderkey AS post_id, CASE o_orderkey % 4 WHEN 2 THEN 'extracted' WHEN 3 THEN 'not_found' ELSE 'ambiguous' END AS status, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 4 = 2 THEN lpad((o_orderkey % 22 + 1)::VARCHAR, 2, '0') || ':00' END AS time,
+  CASE o_orderkey % 4 WHEN 2 THEN 'Praia ' || o_orderkey WHEN 0 THEN 'Casa ' || o_orderkey END AS venue_name, CASE WHEN o_orderkey % 4 = 2 THEN 0.55::DOUBLE END AS confidence FROM orders""")
 def b20(spark, sf_dir):
     return posts.narrative_items(_posts(spark, sf_dir)).select("post_id", "status", "date", "time", "venue_name", "confidence")
 
