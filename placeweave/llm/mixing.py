@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import join_hot, materialize, numbered, packed, running_offsets, unpacked
+from placeweave.llm.shared import materialize, numbered, packed, running_offsets, unpacked
 from placeweave.llm.sharding import shuffle_key
 
 LEVELS = ["m_domain", "m_lang", "m_source"]
@@ -91,7 +91,7 @@ def mix_sources(
     own = {"id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), "row_hash": F.xxhash64(row), "mix_tokens": F.coalesce(tokens, F.lit(0)).cast("long")}
     rows = docs.select(row.alias("row"), *[v.alias(k) for k, v in (own | named).items()])
     # Equal rows are one from here on; a row's hash covers all of its columns, the id and the leaf among them.
-    slim = rows.groupBy("id", "row_hash", *LEVELS).agg(F.count("*").alias("held"), F.sum("mix_tokens").alias("tokens"))
+    slim = rows.groupBy("id", "row_hash", *LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
     slim = materialize(slim, "mix-tokens")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     total = slim.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one number
@@ -104,6 +104,6 @@ def mix_sources(
     sums = running_offsets(sums, LEVELS, ["task"], "task_tokens").drop("task_tokens")
     so_far = F.sum("tokens").over(Window.partitionBy(*LEVELS, "task").orderBy("at"))
     epochs = F.col("whole") + F.when(F.col("before") + so_far <= F.col("part"), 1).otherwise(0)
-    chosen = ranked.join(sums, [*LEVELS, "task"]).select("id", "row_hash", "held", epochs.cast("int").alias("epochs"))
-    out = join_hot(rows, materialize(chosen, "mix-chosen"), ["id", "row_hash"], "left", "held")
+    chosen = materialize(ranked.join(sums, [*LEVELS, "task"]).select("id", "row_hash", epochs.cast("int").alias("epochs")), "mix-chosen")
+    out = rows.join(chosen, ["id", "row_hash"], "left")
     return out.select(*unpacked(F.col("row"), docs.columns, (*LEVELS, "mix_tokens", "epochs")), *LEVELS, "mix_tokens", F.coalesce("epochs", F.lit(0)).alias("epochs"))
