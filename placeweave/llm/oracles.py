@@ -110,4 +110,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r.c, d.doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id
 """
 
-SQL: dict[str, str] = {"op2_quality": OP2, "op5_mixing": OP5, "op7_ngram_join": OP7, "op8_url_filter": OP8}
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, docs),
+m AS (SELECT doc_id, 100 - 50 + (50 * len(w) * docs) // total AS m FROM d, s),
+r AS (
+  SELECT item_id, doc_id, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r QUALIFY rank <= 50
+"""
+
+SQL: dict[str, str] = {"op11_ranked_search": OP11, "op2_quality": OP2, "op5_mixing": OP5, "op7_ngram_join": OP7, "op8_url_filter": OP8}

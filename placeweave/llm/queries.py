@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import mixing, ngram_join, order_minhash, personal_data, quality, repeats, sentence_pieces, sharding, url_filter, wavelet
+from placeweave.llm import mixing, ngram_join, order_minhash, personal_data, quality, ranked_search, repeats, sentence_pieces, sharding, toxicity, url_filter, wavelet
 from placeweave.llm.shared import new_path
 
 
@@ -100,6 +100,26 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SEARCH_RESULTS = 50
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), SEARCH_RESULTS)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def held_out(doc_id: Column) -> Column:
+    """A fifth of all ids, never learnt from."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_quality": op2_quality,
@@ -111,4 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_wavelet": op9_wavelet,
     "op10_repeats": op10_repeats,
+    "op11_ranked_search": op11_ranked_search,
+    "op13_toxicity": op13_toxicity,
 }
