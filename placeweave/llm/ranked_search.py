@@ -7,8 +7,8 @@ come from the collection's counts at the time of a search, the same index serves
 A search adds up, for every query and range, weight times largest impact over the query's terms: no document of the
 range can score more. The range with the highest bound of each query is searched first; the score of its k-th document,
 if it has so many, is a floor for all others. Then only ranges whose bound reaches the floor are read. Inside a range the tree has
-two more levels (NODE and LEAF documents), built from the postings; nodes wait in a queue by their bound, the best is
-opened, and its children join the queue. A leaf that is opened has all its documents scored exactly. The search of a range ends
+two more levels (NODE and LEAF documents), built from the postings; nodes wait in a queue by their bound, the best are
+opened, and their children join the queue. A leaf that is opened has all its documents scored exactly. The search of a range ends
 when the best bound is below the k-th score found; nodes whose bound equals it are opened too, because a smaller id wins a tie.
 
 No task holds more than one range of documents; a query's rows are shuffled with the ranges they need, and results are k
@@ -34,12 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placeweave.llm.lexicon import spread
 from placeweave.llm.shared import discard, materialize
 from placeweave.llm.terms import as_strings, find_terms, stretches, text_bytes
 
 #: Documents in a range, in a node and in a leaf of the tree, and bytes of text in a range (one longer text is a range).
 RANGE, NODE, LEAF = 4096, 256, 16
 RANGE_BYTES = 8_000_000
+#: Leaves that are opened at once, the best of the queue.
+WAVE = 16
 _NODES, _LEAVES = RANGE // NODE, RANGE // LEAF
 
 
@@ -145,32 +148,36 @@ class _Range:
         if not known:
             return []
         row, w = (np.array(c, np.int64) for c in zip(*known, strict=True))
-        least = max(floor, 1)
-        top: list[int] = []  # the k best scores so far
-        out: list[tuple[int, int]] = []
-        queue = [(-int(b), 0, i) for i, b in enumerate(w @ self.node[row])]
+        least, wide = max(floor, 1), NODE // LEAF
+        scores, docs = np.empty(0, np.int64), np.empty(0, np.int64)
+        queue = [(-b, 0, i) for i, b in enumerate((w @ self.node[row]).tolist()) if b >= least]
         heapq.heapify(queue)
-        wide = NODE // LEAF
-        while queue:
-            bound, level, i = heapq.heappop(queue)
-            if -bound < least:
-                break
-            if level == 0:
+        while queue and -queue[0][0] >= least:
+            leaves = []
+            while queue and len(leaves) < WAVE and -queue[0][0] >= least:
+                _, level, i = heapq.heappop(queue)
+                if level:
+                    leaves.append(i)
+                    continue
                 for j, b in enumerate((w @ self.leaf[row, i * wide : (i + 1) * wide]).tolist(), i * wide):
                     if b >= least:
                         heapq.heappush(queue, (-b, 1, j))
-                continue
-            a, b = np.searchsorted(self.key, row * RANGE + i * LEAF), np.searchsorted(self.key, row * RANGE + (i + 1) * LEAF)
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
-            scores = np.zeros(LEAF, np.int64)
-            np.add.at(scores, self.key[at] % LEAF, np.repeat(w, b - a) * self.impact[at])
-            for j in np.flatnonzero(scores >= least).tolist():
-                s = int(scores[j])
-                out.append((s, i * LEAF + j))
-                (heapq.heappush if len(top) < k else heapq.heappushpop)(top, s)
-            if len(top) == k:
-                least = max(least, top[0])
-        return [(s, d) for s, d in out if s >= least]
+            s, d = self._scores(row, w, np.array(leaves, np.int64))
+            scores, docs = np.concatenate([scores, s[s >= least]]), np.concatenate([docs, d[s >= least]])
+            if len(scores) >= k:
+                least = max(least, int(np.partition(scores, -k)[-k]))
+                scores, docs = scores[scores >= least], docs[scores >= least]
+        return list(zip(scores.tolist(), docs.tolist(), strict=True))
+
+    def _scores(self, row: np.ndarray, w: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact scores of all documents of the leaves, and the documents."""
+        first = row[:, None] * RANGE + leaves * LEAF
+        a, b = np.searchsorted(self.key, first).ravel(), np.searchsorted(self.key, first + LEAF).ravel()
+        at = spread(a, b - a)
+        cell = np.repeat(np.tile(np.arange(len(leaves)) * LEAF, len(row)), b - a) + self.key[at] % LEAF
+        scores = np.zeros(len(leaves) * LEAF, np.int64)
+        np.add.at(scores, cell, np.repeat(np.repeat(w, len(leaves)), b - a) * self.impact[at])
+        return scores, (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
 
 
 def _search_ranges(k: int, n_docs: int, total: int):  # noqa: ANN202
