@@ -126,4 +126,27 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM r QUALIFY rank <= 50
 """
 
-SQL: dict[str, str] = {"op11_ranked_search": OP11, "op2_quality": OP2, "op5_mixing": OP5, "op7_ngram_join": OP7, "op8_url_filter": OP8}
+OP12 = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, t FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+h AS (SELECT * FROM f WHERE a >= 30),
+c AS (SELECT * FROM h WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.k, c.g, c.a, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score, s.s
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS s) s ON s.s < c.k JOIN h x ON x.lang = c.lang AND x.g = c.g[:s.s] JOIN h y ON y.lang = c.lang AND y.g = c.g[s.s + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, s) = 1),
+inner_parts AS (
+  SELECT lang, k, a, g[i:i + m - 1] AS part FROM (SELECT lang, k, a, g, m, unnest(generate_series(1, k - m + 1)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k)),
+gone AS (SELECT DISTINCT c.lang, c.g FROM c JOIN inner_parts q ON q.lang = c.lang AND q.part = c.g AND 100 * q.a >= 80 * c.a),
+z AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM best ANTI JOIN gone USING (lang, g))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank, phrase, a, l, r, n, score
+FROM z JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_ranked_search": OP11, "op12_collocations": OP12, "op2_quality": OP2, "op5_mixing": OP5, "op7_ngram_join": OP7, "op8_url_filter": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import mixing, ngram_join, order_minhash, personal_data, quality, ranked_search, repeats, sentence_pieces, sharding, toxicity, url_filter, wavelet
+from placeweave.llm import collocations, mixing, ngram_join, order_minhash, personal_data, quality, ranked_search, repeats, sentence_pieces, sharding, toxicity, url_filter, wavelet
 from placeweave.llm.shared import new_path
 
 
@@ -108,6 +108,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+PHRASES_PER_LANG = 2000
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"), PHRASES_PER_LANG)
+
+
 def held_out(doc_id: Column) -> Column:
     """A fifth of all ids, never learnt from."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
@@ -132,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wavelet": op9_wavelet,
     "op10_repeats": op10_repeats,
     "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
     "op13_toxicity": op13_toxicity,
 }
