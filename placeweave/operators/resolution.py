@@ -1,8 +1,9 @@
 """Entity resolution: mentions of places linked to place records.
 
-One plan for all mentions: candidates come from equi-joins (product, and city centre where the source's city is
-trusted), are cut by distance and number, scored by name, address and distance, ranked and classified. What depends
-on one string alone (normal form, trigrams, tokens) is computed once per row before the join, never per pair.
+One plan for all mentions: candidates are pools of a product (and of a city centre where the source's city is trusted),
+cut by distance and number once for all mentions that share them, then scored by name, address and distance, ranked and
+classified, once for all mentions that say the same. What depends on one string alone (normal form, trigrams, tokens) is
+computed once per row before the join, never per pair.
 """
 
 from __future__ import annotations
@@ -64,20 +65,32 @@ def to_resolve(mentions: DataFrame, decisions: DataFrame) -> DataFrame:
     return mentions.where("raw_text is not null and raw_text <> ''").join(done, "activity_id", "left_anti")
 
 
-def prepare_mentions(mentions: DataFrame, contexts: DataFrame | None, config: ResolutionConfig) -> DataFrame:
-    """Mentions with their comparable forms and the centre of their source's trusted city.
+def place_mentions(mentions: DataFrame, contexts: DataFrame | None, config: ResolutionConfig) -> DataFrame:
+    """Mentions with their source's trusted city, its centre, and pool: which candidates of the product they share.
 
-    contexts: source_key, city, state (a small table); both must be known for the city to be trusted.
+    contexts: source_key, city, state (a small table); both must be known for the city to be trusted. A pool is ``any``
+    venue of the product, venues ``near`` a centre, or those with ``none`` for a city; place names the centre.
     """
-    stops = list(config.stop_words)
     mentions = mentions.select("activity_id", "product_key", "source_key", "raw_text", "raw_address_text", "hint")
     if contexts is None:
         out = mentions.withColumn("trusted_city", F.lit(None).cast("string"))
     else:
         known = contexts.where("city is not null and state is not null").select("source_key", F.col("city").alias("trusted_city"))
         out = mentions.join(known, "source_key", "left")
-    name, address = normalize(F.col("raw_text"), stops), normalize(F.col("raw_address_text"), stops)
-    out = out.withColumns({"m_norm": name, "ma_norm": address, "centre": city_centre(F.col("trusted_city"))})
+    out = out.withColumn("centre", city_centre(F.col("trusted_city")))
+    free = F.lit(True) if config.allow_cross_city else F.col("trusted_city").isNull()
+    pool = F.when(free, "any").when(F.col("centre").isNull(), "none").otherwise("near")
+    return out.withColumns({"pool": pool, "place": F.concat_ws("|", F.col("centre.lat"), F.col("centre.lng"))})
+
+
+def prepare_mentions(mentions: DataFrame, contexts: DataFrame | None, config: ResolutionConfig) -> DataFrame:
+    """Mentions with their place, pool and comparable forms."""
+    return comparable(place_mentions(mentions, contexts, config), config)
+
+
+def comparable(placed: DataFrame, config: ResolutionConfig) -> DataFrame:
+    stops = list(config.stop_words)
+    out = placed.withColumns({"m_norm": normalize(F.col("raw_text"), stops), "ma_norm": normalize(F.col("raw_address_text"), stops)})
     return out.withColumns({"m_grams": trigrams(F.col("m_norm")), "m_tokens": tokens(F.col("m_norm")), "ma_grams": trigrams(F.col("ma_norm")), "ma_tokens": tokens(F.col("ma_norm"))})
 
 
@@ -87,28 +100,35 @@ def prepare_candidates(venues: DataFrame, config: ResolutionConfig) -> DataFrame
     return out.withColumns({"c_grams": trigrams(F.col("c_norm")), "c_tokens": tokens(F.col("c_norm")), "ca_grams": trigrams(F.col("ca_norm")), "ca_tokens": tokens(F.col("ca_norm"))})
 
 
-def candidate_pairs(mentions: DataFrame, venues: DataFrame, config: ResolutionConfig) -> DataFrame:
-    """Pairs after the city, radius and number limits, with pair_rank.
+#: What mentions that share candidates have in common.
+POOL = ["product_key", "pool", "place"]
+
 
-    A trusted city admits venues with the same centre and venues without a city: two equi-joins, so that a mention
-    never meets venues of other cities. Without a trusted city the whole product is the pool.
+def pool_members(mentions: DataFrame, venues: DataFrame, config: ResolutionConfig) -> DataFrame:
+    """Every pool that mentions need, with the venues that the city and radius limits admit and centre_m, their distance.
+
+    Venues meet each pool of their product once. Pools are as few as products times trusted cities, whatever the number
+    of mentions: a trusted city admits venues with the same centre and venues without a city, two equi-joins; without
+    one the whole product is the pool.
     """
-    v = venues.withColumns({"v_key": F.concat_ws("|", F.col("c_centre.lat"), F.col("c_centre.lng")), "no_city": F.coalesce(F.col("city"), F.lit("")) == ""})
-    m = mentions.withColumn("m_key", F.concat_ws("|", F.col("centre.lat"), F.col("centre.lng")))
-    if config.allow_cross_city:
-        pairs = m.join(v.drop("v_key", "no_city"), "product_key")
-    else:
-        trusted, free = m.where("trusted_city is not null"), m.where("trusted_city is null")
-        same = trusted.where("centre is not null").join(v.where("not no_city"), (trusted["product_key"] == v["product_key"]) & (F.col("m_key") == F.col("v_key"))).drop(v["product_key"])
-        nowhere = trusted.join(v.where("no_city"), "product_key")
-        anywhere = free.join(v, "product_key")
-        pairs = same.unionByName(nowhere).unionByName(anywhere).drop("v_key", "no_city")
+    pools = mentions.select(*POOL, "centre").distinct()
+    v = venues.withColumns({"v_place": F.concat_ws("|", F.col("c_centre.lat"), F.col("c_centre.lng")), "no_city": F.coalesce(F.col("city"), F.lit("")) == ""})
+    near = pools.where("pool = 'near'").alias("p").join(v.where("not no_city").alias("v"), (F.col("p.product_key") == F.col("v.product_key")) & (F.col("p.place") == F.col("v.v_place"))).drop(F.col("v.product_key"))
+    members = near.unionByName(pools.where("pool <> 'any'").join(v.where("no_city"), "product_key")).unionByName(pools.where("pool = 'any'").join(v, "product_key"))
     away = haversine(F.col("centre.lat"), F.col("centre.lng"), F.col("lat"), F.col("lng"))
-    pairs = pairs.drop("m_key").withColumn("centre_m", away)
-    if config.max_radius_m > 0:
-        pairs = pairs.where(F.col("centre_m").isNull() | (F.col("centre_m") <= config.max_radius_m))
-    order = Window.partitionBy("activity_id").orderBy(F.col("centre_m").asc_nulls_last(), "venue_id")
-    return pairs.withColumn("pair_rank", F.row_number().over(order)).where(F.col("pair_rank") <= config.max_candidates)
+    members = members.withColumn("centre_m", away).drop("v_place", "no_city", "centre")
+    return members.where(F.col("centre_m").isNull() | (F.col("centre_m") <= config.max_radius_m)) if config.max_radius_m > 0 else members
+
+
+def candidate_pools(mentions: DataFrame, venues: DataFrame, config: ResolutionConfig) -> DataFrame:
+    """The members of each pool up to the number limit, by pair_rank: nearest to the city's centre first, then by id."""
+    order = Window.partitionBy(*POOL).orderBy(F.col("centre_m").asc_nulls_last(), "venue_id")
+    return pool_members(mentions, venues, config).withColumn("pair_rank", F.row_number().over(order)).where(F.col("pair_rank") <= config.max_candidates)
+
+
+def candidate_pairs(mentions: DataFrame, venues: DataFrame, config: ResolutionConfig) -> DataFrame:
+    """Mentions with their pool's candidates: at most max_candidates rows each. The order does not depend on a mention's name."""
+    return mentions.join(candidate_pools(mentions, venues, config), POOL)
 
 
 def filter_reasons(mentions: DataFrame, venues: DataFrame, contexts: DataFrame, config: ResolutionConfig) -> DataFrame:
@@ -224,10 +244,19 @@ def rank_candidates(scored: DataFrame, config: ResolutionConfig) -> DataFrame:
     return scored.withColumns({"rank": F.row_number().over(per.orderBy(F.desc("final_score"), "venue_id")), "classification": label})
 
 
+#: What a candidate's scores depend on, besides the candidate.
+FORM = [*POOL, "raw_text", "raw_address_text", "hint"]
+
+
 def resolve(mentions: DataFrame, venues: DataFrame, contexts: DataFrame | None, config: ResolutionConfig) -> DataFrame:
-    """Ranked candidates of every mention."""
-    pairs = candidate_pairs(prepare_mentions(mentions, contexts, config), prepare_candidates(venues, config), config)
-    return rank_candidates(score_pairs(pairs, config), config)
+    """Ranked candidates of every mention. Mentions of one pool that say the same are scored once, by the one with the smallest id."""
+    placed = place_mentions(mentions, contexts, config)
+    forms = placed.groupBy(*FORM).agg(F.min("activity_id").alias("speaker"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in FORM]
+    said = placed.alias("m").join(forms.alias("f"), same).select(*[f"m.{c}" for c in placed.columns], "speaker")
+    pairs = candidate_pairs(comparable(said.where("activity_id = speaker").drop("speaker"), config), prepare_candidates(venues, config), config)
+    ranked = rank_candidates(score_pairs(pairs, config), config)
+    return said.select("activity_id", "speaker").join(ranked.withColumnRenamed("activity_id", "speaker"), "speaker").select("activity_id", *[c for c in ranked.columns if c != "activity_id"])
 
 
 def outcomes(mentions: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -257,8 +257,10 @@ def _wide_pairs(spark, sf_dir, config):
 
 @query("E05_radius", f"{E} SELECT activity_id, count(*) FILTER (away IS NULL) AS without_distance, count(*) FILTER (away <= 5000) AS within FROM pr WHERE away IS NULL OR away <= 5000 GROUP BY activity_id")
 def e05(spark, sf_dir):
-    pairs = _wide_pairs(spark, sf_dir, replace(resolving.CONFIG, max_candidates=1 << 30))
-    return pairs.groupBy("activity_id").agg(F.count_if(F.col("centre_m").isNull()).alias("without_distance"), F.count_if(F.col("centre_m").isNotNull()).alias("within"))
+    m = resolution.place_mentions(resolving._todo(spark, sf_dir), adapt(spark, sf_dir, "contexts"), resolving.CONFIG)
+    members = resolution.pool_members(m, resolution.prepare_candidates(resolving._venues(spark, sf_dir), resolving.CONFIG), resolving.CONFIG)
+    sizes = members.groupBy(*resolution.POOL).agg(F.count_if(F.col("centre_m").isNull()).alias("without_distance"), F.count_if(F.col("centre_m").isNotNull()).alias("within"))
+    return m.join(sizes, resolution.POOL).select("activity_id", "without_distance", "within")
 
 
 _COUNTS = f"""{E}, fc AS (SELECT m.activity_id, any_value(x.city) AS city, any_value(x.state) AS state, count(v.venue_id) AS n0,

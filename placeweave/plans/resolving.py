@@ -148,12 +148,9 @@ def e06(spark, sf_dir):
 
 @query("E04_pool_after_filters", f"{T}, {STAGES} SELECT activity_id, count(*) AS filtered FROM pk GROUP BY activity_id")
 def e04(spark, sf_dir):
-    from dataclasses import replace
-
-    wide = replace(CONFIG, max_candidates=1_000_000)
-    m = resolution.prepare_mentions(_todo(spark, sf_dir), adapt(spark, sf_dir, "contexts"), wide)
-    pairs = resolution.candidate_pairs(m, resolution.prepare_candidates(_venues(spark, sf_dir), wide), wide)
-    return pairs.groupBy("activity_id").agg(F.count("*").alias("filtered"))
+    m = resolution.place_mentions(_todo(spark, sf_dir), adapt(spark, sf_dir, "contexts"), CONFIG)
+    sizes = resolution.pool_members(m, resolution.prepare_candidates(_venues(spark, sf_dir), CONFIG), CONFIG).groupBy(*resolution.POOL).agg(F.count("*").alias("filtered"))
+    return m.join(sizes, resolution.POOL).select("activity_id", "filtered")
 
 
 @query("E11_name_score", f"{T}, {STAGES} SELECT activity_id, venue_id, round(nv, 9) AS name_score, nm AS name_method FROM s2")
