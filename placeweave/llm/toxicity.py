@@ -2,18 +2,19 @@
 
 Features of a text are the distinct 64-bit hashes of its terms, of pairs of neighbouring terms and of pairs with one term
 between them. Coordinates are the features that at least MIN_TOXIC toxic training texts share: others could only lower
-a score, and no weight that rests on one text can be trusted. Every coordinate has its own learning rate (it falls with the squares of
-its gradients) and an L1 threshold below which its weight stays exactly zero, so the model is a short sorted list.
+a score, and no weight that rests on few texts can be trusted. Every coordinate has its own learning rate (it falls with
+the squares of its gradients) and an L1 threshold below which its weight stays exactly zero, so the model is a short
+sorted list.
 
 Training takes at most ``most`` labelled rows, those with the smallest hashes of their ids, the same at every run. They
-are dealt to SHARDS groups; in each epoch every group takes its steps from the common state, and the states are averaged
-by the number of groups that touched a coordinate. State and model have as many numbers as there are coordinates, which
+are dealt to SHARDS groups, each held as one row; in each epoch every group takes its steps from the common state, and
+changes are averaged over the groups that touched a coordinate. State and model have as many numbers as there are coordinates, which
 the bound on labelled rows bounds. Scoring reads the broadcast weights alone: one pass over the texts, no shuffle.
 
 Defined results: a null or empty text has no features and the score of the bias; texts may be of any length; ids may be null or
-repeat (a row of labels counts for every text with its id; of several labels of one id the highest counts); rows without
-a label are not learnt from; without a toxic and a harmless labelled text every score is the share of toxic ones (0.5
-without any); an empty table gives an empty table. Other columns are not looked at, whatever their names.
+repeat (a row of labels counts for every text with its id; of several labels of one id, and of equal texts, the highest
+counts); rows without a label are not learnt from; if all labelled texts are toxic or none is, every score is 1 or 0, and
+0.5 without any; an empty table gives an empty table. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,16 +141,29 @@ def _rows_of(known: np.ndarray):  # noqa: ANN202
     return coded
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """A group's training rows, in order of their texts' hashes, as one row; of equal texts one is left, toxic if one of them is."""
+    table = table.sort_by([("turn", "ascending"), ("label", "descending")])
+    turn = table["turn"].to_numpy()
+    table = table.filter(pa.array(np.append(True, turn[1:] != turn[:-1]))).combine_chunks()
+    ends = np.cumsum(table["at"].combine_chunks().value_lengths().to_numpy()).astype(np.int64)
+    flat = table["at"].combine_chunks().flatten().to_numpy().astype(np.int32)
+    label = table["label"].to_numpy().astype(np.int8)
+    return pa.table({"labels": [label.tobytes()], "ends": [ends.tobytes()], "at": [flat.tobytes()]})
+
+
 def _epoch(state: Ftrl):  # noqa: ANN202
-    """A group's steps from the common state -> the coordinates it changed, with the change of z and n."""
+    """Each group's steps from the common state -> the coordinates it changed, with the change of z and n."""
 
-    def steps(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("label", "ascending")])
-        mine = Ftrl(state.z.copy(), state.n.copy())
-        for at, label in zip(table["at"], table["label"].to_pylist(), strict=True):
-            mine.step(at.values.to_numpy(), label)
-        moved = np.flatnonzero(mine.n != state.n)
-        return pa.table({"at": pa.array(moved, pa.int64()), "dz": mine.z[moved] - state.z[moved], "dn": mine.n[moved] - state.n[moved]})
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = Ftrl(state.z.copy(), state.n.copy())
+                texts = np.split(np.frombuffer(row["at"], np.int32), np.frombuffer(row["ends"], np.int64)[:-1])
+                for at, label in zip(texts, np.frombuffer(row["labels"], np.int8).tolist(), strict=True):
+                    mine.step(at, label)
+                moved = np.flatnonzero(mine.n != state.n)
+                yield pa.RecordBatch.from_arrays([pa.array(moved, pa.int64()), pa.array(mine.z[moved] - state.z[moved]), pa.array(mine.n[moved] - state.n[moved])], ["at", "dz", "dn"])
 
     return steps
 
@@ -158,26 +172,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of labels (1 is toxic) of docs. Give only labels that may be learnt from."""
     chosen = materialize(sample_labels(labels, id_col, label_col, most), "chosen-labels")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # At most ``most`` rows of two numbers are broadcast; of one id's copies with one text, one row is enough.
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("label").alias("label"))
-    rows = materialize(rows.select("text", "label", F.xxhash64("text").alias("turn")), "labelled-texts")
+    # At most ``most`` rows of two numbers are broadcast, so the texts stay where they are and are read when they are needed.
+    rows = texts.join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("text").alias("turn"))
     seen = {r["label"]: r["c"] for r in rows.groupBy("label").agg(F.count("*").alias("c")).collect()}  # two numbers
     if len(seen) < 2:
-        share = (seen.get(1, 0) + 0.5) / (sum(seen.values()) + 1.0) if not seen else float(1 in seen)
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -500, 500)))
-    shared = rows.where("label = 1").select("text").mapInArrow(_toxic_features, "feature long").groupBy("feature").agg(F.count("*").alias("c"))
+        share = 0.5 if not seen else float(1 in seen)
+        return Model(np.empty(0, np.uint64), np.empty(0), {0.0: -500.0, 0.5: 0.0, 1.0: 500.0}[share])
+    toxic = rows.where("label = 1").select("text", "turn").dropDuplicates(["turn"]).select("text")
+    shared = toxic.mapInArrow(_toxic_features, "feature long").groupBy("feature").agg(F.count("*").alias("c"))
     listed = shared.where(F.col("c") >= MIN_TOXIC).select("feature").toArrow()["feature"].to_numpy()  # bounded by the sample's texts
     known = np.sort(listed.view(np.uint64))
-    coded = rows.mapInArrow(_rows_of(known), "turn long, label int, at array<int>")
-    coded = materialize(coded.withColumn("shard", F.pmod(F.shiftright("turn", 7), F.lit(SHARDS))), "training-rows")
+    coded = rows.mapInArrow(_rows_of(known), "turn long, label int, at array<int>").groupBy(F.pmod(F.shiftright("turn", 7), F.lit(SHARDS)))
+    groups = materialize(coded.applyInArrow(_packed, "labels binary, ends binary, at binary").repartition(SHARDS), "training-groups")
     state = Ftrl(np.zeros(len(known) + 1), np.zeros(len(known) + 1))
     for _ in range(EPOCHS):
-        moves = coded.groupBy("shard").applyInArrow(_epoch(state), "at long, dz double, dn double")
+        moves = groups.mapInArrow(_epoch(state), "at long, dz double, dn double")
         mean = moves.groupBy("at").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()  # a row a coordinate
         at = mean["at"].to_numpy()
         state.z[at] += mean["dz"].to_numpy()
         state.n[at] += mean["dn"].to_numpy()
-    discard(chosen, rows, coded)
+    discard(chosen, groups)
     weights = state.weights(slice(None))
     used = np.flatnonzero(weights[:-1])
     return Model(known[used], weights[used], float(weights[-1]))
