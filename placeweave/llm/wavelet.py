@@ -11,7 +11,8 @@ ids: the partition in its upper half, and the count of shards before in that par
 
 Defined results: a null text encodes like an empty one, to the end id alone; rows with equal ids lie next to one
 another in the order of a hash of their text; a null id is written as the smallest 64-bit number and comes first; an
-empty table writes no shard and reads back as an empty table; other columns are not part of the format.
+empty table writes no shard and reads back as an empty table; texts may be of any length, one text being in one shard;
+an id beyond the bit planes is an error; other columns are not part of the format.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)  # set bits
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, doc_ends: np.ndarray, bits: int) -> bytes:
-    """The image of one shard."""
+    """The image of one shard. An id that does not fit the planes is refused."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << bits:
+        raise ValueError(f"token ids from {ids.min()} to {ids.max()} do not fit {bits} bit planes")
     n, row = len(ids), ids.astype(np.uint32 if bits > 16 else np.uint16)
     step_bytes, width = RANK_STEP // 8, -(-n // 8)
     planes, zeros, ranks = [], [], []
@@ -215,10 +218,19 @@ def _as_bytes(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTES)
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, append end_id, and write shards in ascending order of ids."""
+def plane_count(tokenizer: str, end_id: int) -> int:
+    """Bits of the largest id that a tokenizer's file names."""
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_str(tokenizer).get_vocab(with_added_tokens=True).values()).bit_length()
+
+
+def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode every text, append end_id, and write shards in ascending order of ids, with as many bit planes as the vocabulary needs."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())  # the size of the vocabulary, whatever the data
+        source = f.read()
+    tokenizer = docs.sparkSession.sparkContext.broadcast(source)  # the size of the vocabulary, whatever the data
+    planes = bits or plane_count(source, end_id)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer.value, end_id)
@@ -227,7 +239,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
 
         def flush() -> pa.RecordBatch:
             ids, doc_ids, counts = (np.concatenate([h[k] for h in held]) for k in range(3))
-            image = build(ids, doc_ids, np.cumsum(counts), bits)
+            image = build(ids, doc_ids, np.cumsum(counts), planes)
             return pa.RecordBatch.from_pydict({"shard": [shard], "first_id": [int(doc_ids[0])], "n_tokens": [len(ids)], "image": [image]})
 
         for batch in batches:
