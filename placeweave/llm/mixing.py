@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import materialize, numbered, packed, running_offsets, unpacked
+from placeweave.llm.shared import materialize, numbered, packed, row_hash, running_offsets, unpacked
 from placeweave.llm.sharding import shuffle_key
 
 LEVELS = ["m_domain", "m_lang", "m_source"]
@@ -88,7 +88,7 @@ def mix_sources(
     row = packed(docs)
     named = {c: F.coalesce(v.cast("string"), F.lit("null")) for c, v in zip(LEVELS, (domain, lang, source), strict=True)}
     tokens = word_tokens(F.col("text")) if n_tokens is None else n_tokens
-    own = {"id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), "row_hash": F.xxhash64(row), "mix_tokens": F.coalesce(tokens, F.lit(0)).cast("long")}
+    own = {"id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), "row_hash": row_hash(docs), "mix_tokens": F.coalesce(tokens, F.lit(0)).cast("long")}
     rows = docs.select(row.alias("row"), *[v.alias(k) for k, v in (own | named).items()])
     # Equal rows are one from here on; a row's hash covers all of its columns, the id and the leaf among them.
     slim = rows.groupBy("id", "row_hash", *LEVELS).agg(F.sum("mix_tokens").alias("tokens"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.llm.components import connected
-from placeweave.llm.shared import HOT_KEYS, HOT_ROWS, discard, join_hot, materialize, packed, unpacked
+from placeweave.llm.shared import HOT_KEYS, HOT_ROWS, discard, join_hot, materialize, packed, row_hash, unpacked
 
 K = 5
 #: Lists of shingles up to this length give all their pairs.
@@ -426,7 +426,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
     best = groups.where("group is not null").groupBy("group").agg(F.min(order).alias("r")).select("r.id", "r.tie")
     row = packed(docs)
-    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tie"), row.alias("row"), F.xxhash64(row).alias("h"))
+    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tie"), row.alias("row"), row_hash(docs).alias("h"))
     chosen = marked.alias("m").join(best.alias("b"), _same_row("m", "b"), "left_semi").groupBy("id", "tie").agg(F.min_by("row", "h").alias("row"))
     blank = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return chosen.select(*unpacked(F.col("row"), docs.columns)).unionByName(docs.where(blank))

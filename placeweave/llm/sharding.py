@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import materialize, numbered, packed, unpacked
+from placeweave.llm.shared import materialize, numbered, packed, row_hash, unpacked
 
 def shuffle_key(seed: int, *parts: Column) -> Column:
     """A hexadecimal digest, evenly spread; its order is a seeded shuffle."""
@@ -26,7 +26,7 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 def interleave(df: DataFrame, id_col: str, source_col: str, seed: int = 17) -> tuple[DataFrame, int]:
     """row (df's columns as one) and place (0-based, gapless, in the order of fractional ranks); also the number of rows."""
     row, source = packed(df), F.coalesce(F.concat(F.lit("-"), F.col(f"`{source_col}`").cast("string")), F.lit(""))
-    keyed = df.select(row.alias("row"), source.alias("s"), shuffle_key(seed, F.col(f"`{id_col}`")).alias("h"), F.xxhash64(row).alias("tie"))
+    keyed = df.select(row.alias("row"), source.alias("s"), shuffle_key(seed, F.col(f"`{id_col}`")).alias("h"), row_hash(df).alias("tie"))
     # Equal rows are interchangeable; their number tells them apart.
     ranked = numbered(materialize(keyed.withColumn("seq", F.monotonically_increasing_id()), "shard-keys"), "s", "h", "tie", "seq")
     sums = materialize(ranked.groupBy("s", "task").agg(F.count("*").alias("held"), F.min("at").alias("first")), "shard-counts")

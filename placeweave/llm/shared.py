@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: ASCII white space: the characters that separate words everywhere in this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -57,26 +58,43 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: A key of so many rows, or of a HOT_KEYS-th of all rows if that is more, is hot: HOT_KEYS keys are hot at most.
-HOT_ROWS, HOT_KEYS = 4096, 65_536
+HOT_ROWS, HOT_KEYS = 4096, 4096
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """rows joined to keyed, which has one row for a key; the rows of a hot key are dealt to several tasks.
 
     rows is read more than once, so it should be materialized, as should keyed if its column size says how many of rows
-    have the key. The list of hot keys is broadcast; it has HOT_KEYS entries at most. The plan is the same at every size.
+    have the key. Rows of all other keys are joined plainly. Hashes of the hot keys, HOT_KEYS at most, are read to tell
+    the rows apart by a filter, and only rows with such a hash meet the list of hot keys.
     """
     keys = [key] if isinstance(key, str) else key
     sizes = keyed.select(*keys, F.col(size).alias("rows")) if size else rows.groupBy(*keys).agg(F.count("*").alias("rows"))
     least = max(HOT_ROWS, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // HOT_KEYS))  # one number
-    hot = sizes.where(F.col("rows") >= least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("parts"))
-    # One more entry, of one part, which changes no result: a list that is never empty is never planned away.
-    one = rows.sparkSession.range(1).select(*[F.lit("0").cast(keyed.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("parts"))
-    hot = F.broadcast(hot.unionByName(one).groupBy(*keys).agg(F.max("parts").alias("parts")))
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("parts").cast("long")).cast("int"))
-    dealt = rows.join(hot, keys, "left").withColumn("part", part).drop("parts")
-    copied = keyed.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copied, [*keys, "part"], how).drop("part")
+    hot = sizes.where(F.col("rows") >= least)
+    name = F.xxhash64(*keys)
+    names = [r[0] for r in hot.select(name).collect()]  # HOT_KEYS at most
+    if not names:
+        return rows.join(keyed, keys, how)
+    is_hot = name.isin(names)
+    listed = F.broadcast(hot.select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("parts")))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(row_hash(rows), F.col("parts").cast("long")).cast("int"))
+    dealt = rows.where(is_hot).join(listed, keys, "left").withColumn("part", part).drop("parts")
+    copied = keyed.where(is_hot).join(listed, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    plain = rows.where(~is_hot).join(keyed.where(~is_hot), keys, how)
+    return plain.unionByName(dealt.join(copied, [*keys, "part"], how).drop("part"))
+
+
+def _has_no_hash(kind: DataType) -> bool:
+    """Maps and variants, and whatever holds one, cannot be hashed."""
+    if isinstance(kind, StructType):
+        return any(_has_no_hash(f.dataType) for f in kind.fields)
+    return _has_no_hash(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, MapType | VariantType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of df; those that cannot be hashed by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(df[f"`{f.name}`"])) if _has_no_hash(f.dataType) else df[f"`{f.name}`"] for f in df.schema.fields])
 
 
 def packed(df: DataFrame) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.shared import materialize, packed, unpacked
+from placeweave.llm.shared import materialize, packed, row_hash, unpacked
 
 #: Ends the host part of a key; sorts before every character that a host or path holds.
 END = "\x01"
@@ -76,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     """Adds host, path, rule (like ``net/``; null where none fits) and verdict to pages."""
     host, path = url_host_path(F.col(f"`{url_col}`"))
     row = packed(pages)
-    parts = pages.select(row.alias("row"), host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = pages.select(row.alias("row"), host.alias("host"), path.alias("path"), F.pmod(row_hash(pages), F.lit(SALTS)).cast("int").alias("salt"))
     openings = materialize(rule_events(rules), "rule-events")
     deepest = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"] or 0  # one number
     labels = F.reverse(F.split("host", r"\."))
