@@ -72,10 +72,16 @@ def day_in_month(day: Column, year: Column, month: Column) -> Column:
     return F.format_string("%d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
 
 
+def real_date(year: Column, month: Column, day: Column) -> Column:
+    """The date, or null where the calendar has no such day. Plain arithmetic: nothing is formatted or parsed."""
+    year, month, day = year.cast("int"), month.cast("int"), day.cast("int")
+    first = F.when(year.between(1, 9999) & month.between(1, 12) & (day >= 1), F.make_date(year, month, F.lit(1)))
+    return let(first, lambda d: F.when(day <= F.dayofmonth(F.last_day(d)), F.date_add(d, day - 1)))
+
+
 def iso_date(year: Column, month: Column, day: Column) -> Column:
     """YYYY-MM-DD, or null where the calendar has no such day."""
-    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    return F.when(month.between(1, 12) & day.between(1, 31), F.try_to_date(text, "yyyy-MM-dd")).cast("string")
+    return real_date(year, month, day).cast("string")
 
 
 def weekday_of(date: Column) -> Column:
@@ -83,24 +89,38 @@ def weekday_of(date: Column) -> Column:
     return F.dayofweek(date.cast("date")) - 1
 
 
-def _nearest(options: list[Column], at: Column, most_days: int | None) -> Column:
-    """The date nearest to the instant at, the later of two as near; null if it is too far."""
+def _nearest(options: Column, at: Column, most_days: int | None) -> Column:
+    """Of an array of dates the one nearest to the instant at, the later of two as near; null if it is too far."""
     away = lambda d: F.abs(F.unix_timestamp(d.cast("timestamp")) - F.unix_timestamp(at))
-    rated = F.array(*[F.struct(away(d).alias("away"), (-F.unix_date(d.cast("date"))).alias("later"), d.alias("date")) for d in options])
-    best = F.array_min(F.filter(rated, lambda x: x["date"].isNotNull()))
-    return best["date"] if most_days is None else F.when(best["away"] <= most_days * 86400, best["date"])
+    rated = F.transform(options, lambda d: F.when(d.isNotNull(), F.struct(away(d).alias("away"), (-F.unix_date(d)).alias("later"), d.alias("date"))))
+    near = lambda best: best["date"] if most_days is None else F.when(best["away"] <= most_days * 86400, best["date"])
+    return let(F.array_min(rated), near)
 
 
-def year_near(day: Column, month: Column, at: Column, most_days: int | None = MOST_YEAR_DAYS) -> Column:
+def _around() -> Column:
+    return F.array(F.lit(-1), F.lit(0), F.lit(1))
+
+
+def date_near(day: Column, month: Column, at: Column, most_days: int | None = MOST_YEAR_DAYS) -> Column:
     """The date with this day and month nearest to at, of the years before, of and after it."""
-    return _nearest([iso_date(F.year(at) + k, month, day) for k in (-1, 0, 1)], at, most_days)
+    return _nearest(F.transform(_around(), lambda k: real_date(F.year(at) + k, month, day)), at, most_days)
 
 
-def day_with_weekday(day: Column, weekday: Column, at: Column) -> Column:
+def weekday_date(day: Column, weekday: Column, at: Column) -> Column:
     """The date with this day of month and weekday nearest to at, of the months before, of and after it."""
-    first = F.trunc(at, "month")
-    options = [iso_date(F.year(F.add_months(first, k)), F.month(F.add_months(first, k)), day) for k in (-1, 0, 1)]
-    return _nearest([F.when(weekday_of(o) == weekday, o) for o in options], at, MOST_WEEKDAY_DAYS)
+    of_month = lambda f: real_date(F.year(f), F.month(f), day)
+    options = F.transform(F.transform(_around(), lambda k: F.add_months(F.trunc(at, "month"), k)), of_month)
+    return _nearest(F.transform(options, lambda d: F.when(F.dayofweek(d) - 1 == weekday, d)), at, MOST_WEEKDAY_DAYS)
+
+
+def year_near(day: Column, month: Column, at: Column, most_days: int | None = MOST_YEAR_DAYS) -> Column:
+    """date_near as YYYY-MM-DD."""
+    return date_near(day, month, at, most_days).cast("string")
+
+
+def day_with_weekday(day: Column, weekday: Column, at: Column) -> Column:
+    """weekday_date as YYYY-MM-DD."""
+    return weekday_date(day, weekday, at).cast("string")
 
 
 def gmt_instant(text: Column) -> Column:

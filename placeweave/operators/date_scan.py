@@ -1,8 +1,7 @@
-"""Dates mentioned in Portuguese prose, found span by span.
+"""Dates mentioned in Portuguese prose, found span by span, for one text at a time outside Spark.
 
 Forms are tried from the most to the least specific, and a stretch of text that one form has taken is closed to the
-others. That needs positions, which column expressions do not have; so this is an Arrow function over batches, and
-everything built on its output is column expressions again.
+others. ``date_spans`` reads whole columns in the same way, with these forms and words; no query comes here.
 """
 
 from __future__ import annotations
@@ -11,10 +10,7 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
-import pyarrow as pa
 import regex
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from placeweave.functions.dates_pt import MONTHS, MOST_WEEKDAY_DAYS, MOST_YEAR_DAYS, WEEKDAYS
 
@@ -188,43 +184,3 @@ class _Scan:
 def scan(text: str, at: datetime, bare_numeric: bool = False) -> dict:
     """Mentions in order of position, and issues, of one text. at: an instant with a time zone."""
     return _Scan(text, at, bare_numeric).run()
-
-
-def _types() -> pa.DataType:
-    text, number, truth = pa.string(), pa.int32(), pa.bool_()
-    mention = pa.struct([("date", text), ("end_date", text), ("matched", text), ("start", number), ("end", number), ("kind", text), ("until", truth), ("inferred", truth)])
-    return pa.struct([("mentions", pa.list_(mention)), ("issues", pa.list_(pa.struct([("matched", text), ("reason", text)])))])
-
-
-def _utc(at) -> datetime:
-    return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
-
-
-def scan_column():
-    """Function (text, at) -> struct<mentions, issues>. Null where either is null."""
-
-    @F.arrow_udf(SCAN)
-    def dates(text: pa.Array, at: pa.Array) -> pa.Array:
-        pairs = zip(text.to_pylist(), at.to_pylist(), strict=True)
-        return pa.array([None if t is None or a is None else scan(t, _utc(a)) for t, a in pairs], _types())
-
-    def scanned(text: Column, at: Column) -> Column:
-        # No form does without a digit, so other texts are not sent to Python.
-        found = dates(F.when(text.rlike("[0-9]"), text), at)
-        nothing = F.struct(F.array().cast(f"array<{MENTION}>").alias("mentions"), F.array().cast(f"array<{ISSUE}>").alias("issues"))
-        return F.when(text.isNotNull() & at.isNotNull(), F.coalesce(found, nothing))
-
-    return scanned
-
-
-def scan_labels_column():
-    """Function (array of label values, at) -> array of struct<mentions, issues>; "dd/mm" needs no year there."""
-
-    @F.arrow_udf(f"array<{SCAN}>")
-    def dates(values: pa.Array, at: pa.Array) -> pa.Array:
-        pairs = zip(values.to_pylist(), at.to_pylist(), strict=True)
-        return pa.array([[] if v is None or a is None else [scan(x, _utc(a), True) for x in v] for v, a in pairs], pa.list_(_types()))
-
-    return dates
-
-

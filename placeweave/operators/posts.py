@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions import recurrence
 from placeweave.functions.dates_pt import first_group, parse_time_range
-from placeweave.functions.text import SPACE, strip_html, trim
-from placeweave.operators.date_scan import scan_column, scan_labels_column
+from placeweave.functions.text import SPACE, let, strip_html, trim
+from placeweave.operators.date_spans import scan, scan_labels
 
 # Labels, weekdays and confidences.
 WEEKDAY = "domingo|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado"
@@ -73,14 +73,27 @@ def label_values(lines: Column) -> Column:
 
 def schedule(values: Column, scans: Column) -> Column:
     """struct<date, end_date, rest> where every value has exactly one date and all agree; rest: of a single value."""
+    return let(scans, lambda found: _schedule(values, found))
+
+
+def _schedule(values: Column, scans: Column) -> Column:
     dates = lambda s: F.array_distinct(F.transform(s["mentions"], lambda m: F.struct(m["date"].alias("date"), m["end_date"].alias("end_date"))))
     clear = lambda s: (F.size(s["issues"]) == 0) & (F.size(dates(s)) == 1) & ~F.exists(s["mentions"], lambda m: m["until"])
-    all_dates = F.array_distinct(F.flatten(F.transform(scans, dates)))
-    ok = (F.size(scans) > 0) & F.forall(scans, clear) & (F.size(all_dates) == 1)
     end = F.element_at(F.get(scans, F.lit(0))["mentions"], -1)["end"]
-    rest = F.when(F.size(values) == 1, trim(F.regexp_replace(F.substring(F.get(values, F.lit(0)), end + 1, F.length(F.get(values, F.lit(0)))), rf"^(?:{SPACE}|[,;–-])+", "")))
-    first = F.get(all_dates, F.lit(0))
-    return F.struct(F.when(ok, first["date"]).alias("date"), F.when(ok, first["end_date"]).alias("end_date"), F.when(ok & (rest != ""), rest).alias("rest"))
+    only = F.get(values, F.lit(0))
+    rest = F.when(F.size(values) == 1, trim(F.regexp_replace(F.substring(only, end + 1, F.length(only)), rf"^(?:{SPACE}|[,;–-])+", "")))
+
+    def agreed(all_dates: Column) -> Column:
+        ok = (F.size(scans) > 0) & F.forall(scans, clear) & (F.size(all_dates) == 1)
+        date = F.when(ok, F.get(all_dates, F.lit(0)))
+        return F.struct(date["date"].alias("date"), date["end_date"].alias("end_date"), F.when(date.isNotNull(), F.nullif(rest, F.lit(""))).alias("rest"))
+
+    return let(F.array_distinct(F.flatten(F.transform(scans, dates))), agreed)
+
+
+def _once(value: Column) -> Column:
+    """value as a column that later filters cannot repeat: they would be pushed down with all of value written out in each."""
+    return F.explode(F.array(value))
 
 
 def structured_items(posts: DataFrame) -> DataFrame:
@@ -104,7 +117,14 @@ def structured_items(posts: DataFrame) -> DataFrame:
     segment = F.slice("all", F.col("start") + 1, F.coalesce(F.get("starts", F.col("idx") + 1), F.size("all")) - F.col("start"))
     plain = plain.withColumn("lines", segment).withColumns({"raw_text": F.array_join("lines", "\n"), "title": trim(F.regexp_replace(F.get("lines", F.lit(0)), EVENT_LABEL, "")), "tail": F.slice("lines", F.lit(2), F.size("lines")), "event": F.lit(True)})
     rows = strong.unionByName(plain.drop("all", "starts", "start")).withColumn("values", label_values(F.col("tail")))
-    scanned = rows.withColumn("s", schedule(F.col("values"), scan_labels_column()(F.col("values"), F.col("at"))))
+    # Values of labels, and a date like "sábado (17)" of the text and of the title for items without one: read in one go.
+    pick = rf"(?iu)(?:{WEEKDAY})[a-z-]*{SPACE}*\(\d{{1,2}}\)"
+    hints = F.array(F.coalesce(F.regexp_substr("raw_text", F.lit(pick)), F.lit("")), F.coalesce(F.regexp_substr("title", F.lit(pick)), F.lit("")))
+    rows = rows.withColumn("hints", hints).withColumn("scans", scan_labels(F.concat("values", "hints"), F.col("at")))
+    n = F.size("values")
+    hinted = F.transform(F.slice(F.col("scans"), n + 1, F.lit(2)), lambda s: F.get(s["mentions"], F.lit(0))["date"])
+    found = F.struct(schedule(F.col("values"), F.slice(F.col("scans"), F.lit(1), n)).alias("s"), F.get(F.filter(hinted, lambda d: d.isNotNull()), F.lit(0)).alias("late"))
+    scanned = rows.withColumn("found", _once(found)).withColumns({"s": F.col("found.s"), "late": F.col("found.late")}).drop("found")
     head = F.transform(F.split(F.coalesce(F.get("lines", F.lit(0)), F.lit("")), rf"{SPACE}[–-]{SPACE}"), trim)
     time_of = lambda x: parse_time_range(x)["time"]
     second = F.get(F.col("head"), F.lit(1))
@@ -112,20 +132,13 @@ def structured_items(posts: DataFrame) -> DataFrame:
     in_head = F.get(F.filter(F.transform(F.slice(F.col("head"), F.lit(2), F.size("head")), lambda x: parse_time_range(x)), lambda t: t["time"].isNotNull()), F.lit(0))
     best = F.when(labelled["time"].isNotNull(), labelled).when(dated["time"].isNotNull(), dated).when(~F.col("event"), in_head)
     place = F.coalesce(F.nullif(trim(_first(F.col("lines"), PLACE_LABEL)), F.lit("")), F.when(~F.col("event") & time_of(second).isNull(), F.nullif(second, F.lit(""))))
-    out = scanned.withColumn("head", head).withColumns({"t": best, "venue_name": place}).select("post_id", "idx", "at", "title", "s.date", "s.end_date", "t.time", "t.end_time", "venue_name", "raw_text")
+    out = scanned.withColumn("head", head).withColumns({"t": best, "venue_name": place}).select("post_id", "idx", "at", "late", "title", "s.date", "s.end_date", "t.time", "t.end_time", "venue_name", "raw_text")
     words = F.size(F.split(trim(F.regexp_replace("title", ":$", "")), f"{SPACE}+"))
     generic = F.col("title").endswith(":") & (trim(F.regexp_replace("title", ":$", "")) != "") & (words <= 4) & ~F.col("title").rlike(r"\d")
     bare = F.lower(trim(F.regexp_replace(trim(F.col("title")), ":$", "")))
     empty = F.col("date").isNull() & F.col("time").isNull() & F.col("venue_name").isNull()
     out = out.where((F.col("title") != "") & ~bare.isin(PURE_LABELS) & ~(generic & empty))
-    # Undated items take a date like "sábado (17)" from their text, else from their title.
-    pick = rf"(?iu)(?:{WEEKDAY})[a-z-]*{SPACE}*\(\d{{1,2}}\)"
-    hints = F.array(F.coalesce(F.regexp_substr("raw_text", F.lit(pick)), F.lit("")), F.coalesce(F.regexp_substr("title", F.lit(pick)), F.lit("")))
-    late = scan_labels_column()(F.when(F.col("date").isNull(), hints), F.col("at"))
-    out = out.withColumn("late", F.coalesce(F.get(F.filter(F.transform(late, lambda s: F.get(s["mentions"], F.lit(0))["date"]), lambda d: d.isNotNull()), F.lit(0)), F.lit(None)))
     out = out.withColumns({"date": F.coalesce("date", "late"), "grouping": F.lower(trim(F.col("title"))).rlike(GROUPING)}).drop("late", "at")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("post_id").orderBy("idx")
     return out.withColumn("idx", F.row_number().over(order) - 1)
 
@@ -136,7 +149,7 @@ def narrative_items(posts: DataFrame) -> DataFrame:
     posts: post_id, html, at, exact (whether at is the instant of publication; else only its month is known).
     """
     text = posts.withColumn("text", strip_html(F.col("html")))
-    scanned = text.withColumn("s", scan_column()(F.col("text"), F.col("at")))
+    scanned = text.withColumn("s", _once(scan(F.col("text"), F.col("at"))))
     since = F.date_format(F.when(F.col("exact"), F.col("at")).otherwise(F.col("at") - F.expr("INTERVAL '1' DAY")), "yyyy-MM-dd")
     live = F.filter("s.mentions", lambda m: ~m["until"] & (~m["inferred"] | (m["date"] > since)))
     dates = F.array_distinct(F.transform(live, lambda m: F.struct(m["date"].alias("date"), m["end_date"].alias("end_date"))))
@@ -165,14 +178,13 @@ def post_items(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     any other gives one or none from its prose.
     """
     meta = posts.select("post_id", "source_key", F.col("title").alias("post_title"), "html")
-    blocks_ = structured_items(posts)
+    blocks_ = structured_items(posts).withColumn("n", F.count("*").over(Window.partitionBy("post_id")))
     with_blocks = blocks_.select("post_id").distinct()
-    alone = blocks_.groupBy("post_id").agg(F.count("*").alias("n"))
     item = lambda i: F.concat_ws("_", F.col("post_id").cast("string"), i.cast("string"))
     occurrence = F.struct("date", "time", "end_date", "end_time")
     occurrences = F.when(F.col("date").isNotNull(), F.array(occurrence)).otherwise(F.array().cast("array<struct<date:string,time:string,end_date:string,end_time:string>>"))
     reasons = F.array_compact(F.array(F.when(F.col("date").isNull(), "structured_subevent_missing_date"), F.when(F.col("grouping"), "schedule_grouping_detected")))
-    first = blocks_.join(meta, "post_id").join(alone, "post_id").select(
+    first = blocks_.join(meta, "post_id").select(
         "post_id", "source_key", item(F.col("idx")).alias("source_item_id"), "title", occurrences.alias("occurrences"), "venue_name", F.when(F.col("venue_name").isNotNull(), "explicit_name").alias("hint"),
         F.lit("structured_block").alias("method"), F.lit(CONFIDENCE["structured"]).alias("confidence"), reasons.alias("review_reasons"), F.lit(None).cast("string").alias("raw_text"),
         F.when(F.col("n") == 1, strip_html(F.col("html"))).alias("article"),

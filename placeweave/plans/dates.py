@@ -12,7 +12,7 @@ from placeweave.functions import dates_pt as d
 from placeweave.functions import recurrence as r
 from placeweave.functions.text import strip_html
 from placeweave.operators import posts, upserts
-from placeweave.operators.date_scan import scan_column
+from placeweave.operators.date_spans import scan, scan_labels
 from placeweave.plans.registry import query
 
 NAMES = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
@@ -141,7 +141,7 @@ def b10(spark, sf_dir):
         .when(k == 6, F.concat(F.lit("Show "), _pick(DAYS, F.dayofweek("day") % 7), F.lit(", "), full))
         .otherwise(F.concat(F.lit("Abertura no dia 1º"), month))
     )
-    found = o.select("o_orderkey", scan_column()(text, F.col("day").cast("timestamp")).alias("s"))
+    found = o.select("o_orderkey", text.alias("text"), F.col("day").cast("timestamp").alias("at")).select("o_orderkey", scan(F.col("text"), F.col("at")).alias("s"))
     m = F.get("s.mentions", F.lit(0))
     issue = F.get("s.issues", F.lit(0))["reason"].alias("issue")
     return found.select("o_orderkey", m["date"].alias("date"), m["end_date"].alias("end_date"), m["kind"].alias("kind"), m["inferred"].alias("inferred"), F.size("s.mentions").alias("mentions"), issue)
@@ -156,11 +156,9 @@ def b13(spark, sf_dir):
 
 @query("B14_labelled_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'às 18h' END AS rest FROM orders")
 def b14(spark, sf_dir):
-    from placeweave.operators.date_scan import scan_labels_column
-
     value = F.concat(F.date_format("day", "d/M"), F.when(F.col("o_orderkey") % 2 == 0, " – às 18h").otherwise(""))
-    o = _orders(spark, sf_dir).withColumn("values", F.array(value))
-    s = posts.schedule(F.col("values"), scan_labels_column()(F.col("values"), F.col("day").cast("timestamp")))
+    o = _orders(spark, sf_dir).withColumns({"values": F.array(value), "at": F.col("day").cast("timestamp")})
+    s = posts.schedule(F.col("values"), scan_labels(F.col("values"), F.col("at")))
     return o.select("o_orderkey", s.alias("s")).select("o_orderkey", "s.date", "s.rest")
 
 

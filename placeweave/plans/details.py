@@ -13,7 +13,7 @@ from placeweave.functions import recurrence as r
 from placeweave.functions.text import STOP_WORDS_EN, jaccard, normalize, strip_html, tokens, trigrams, dice
 from placeweave.operators import metrics as m
 from placeweave.operators import posts, publishing, resolution, review, rules
-from placeweave.operators.date_scan import scan_column
+from placeweave.operators.date_spans import scan
 from placeweave.plans import dates, metrics, places, publishing as published, resolving
 from placeweave.plans.adapters import adapt, with_tables
 from placeweave.plans.registry import query
@@ -97,7 +97,7 @@ def b11(spark, sf_dir):
         F.concat(F.lit("A prova foi às 10.30 e dia "), "short", F.lit(" no parque")), F.concat(F.lit("A feira terminou e foi ótima! Dia "), "short", F.lit(", outra")),
         F.concat(F.lit("Visitou-nos a banda\nDia "), "short", F.lit(" há ensaio")),
     ])
-    found = o.select("o_orderkey", scan_column()(text, F.col("at")).alias("s"))
+    found = o.withColumn("text", text).select("o_orderkey", scan(F.col("text"), F.col("at")).alias("s"))
     return found.select("o_orderkey", F.get("s.mentions", F.lit(0))["date"].alias("date"))
 
 
@@ -109,7 +109,7 @@ def b12(spark, sf_dir):
         F.concat(F.lit("Envie até às 18h do dia "), "full"), F.concat(F.lit("Até logo! Festa em "), "full"),
     ])
     mention = F.get(F.col("s.mentions"), F.lit(0))
-    return o.select("o_orderkey", scan_column()(text, F.col("at")).alias("s")).select("o_orderkey", mention["until"].alias("until"), mention["date"].alias("date"))
+    return o.withColumn("text", text).select("o_orderkey", scan(F.col("text"), F.col("at")).alias("s")).select("o_orderkey", mention["until"].alias("until"), mention["date"].alias("date"))
 
 
 @query("B22_candidate_dates", f"SELECT o_orderkey AS post_id, CASE WHEN o_orderkey % 6 IN (0, 3) THEN 'extracted' ELSE 'not_found' END AS status, CASE WHEN o_orderkey % 6 IN (0, 3) THEN {ISO} END AS date FROM orders")
