@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.functions.geo import haversine, usable_coordinates
+from placeweave.functions.geo import usable_coordinates
 from placeweave.functions.text import SPACE, fold, trim
+from placeweave.operators.nearby import farthest
 
 # Kinds of structured recurrence, and hours between source time and UTC.
 RECURRENCES = ["daily", "weekly", "biweekly", "monthly"]
@@ -152,14 +153,12 @@ def name_key(name: Column) -> Column:
 def duplicate_venues(venues: DataFrame) -> DataFrame:
     """name_key, members and the largest distance between any two members with coordinates, for names used twice or more.
 
-    Distances need pairs, so points are made distinct first and each name's pairs come from an equi-join.
+    Points are made distinct first, and a name's cells say which of them can be farthest apart.
     """
     keyed = venues.withColumn("name_key", name_key(F.col("name")))
     groups = keyed.groupBy("name_key").agg(F.count("*").alias("members")).where("members > 1")
     points = keyed.where("lat is not null and lng is not null").select("name_key", "lat", "lng").distinct().join(groups, "name_key", "left_semi")
-    a, b = points.toDF("name_key", "lat1", "lng1"), points.toDF("name_key", "lat2", "lng2")
-    far = a.join(b, "name_key").where((F.col("lat1") < F.col("lat2")) | ((F.col("lat1") == F.col("lat2")) & (F.col("lng1") <= F.col("lng2"))))
-    far = far.groupBy("name_key").agg(F.max(haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))).alias("far_m"))
+    far = farthest(points, "name_key")
     located = keyed.where("lat is not null and lng is not null").groupBy("name_key").agg(F.count("*").alias("located"))
     out = groups.join(far, "name_key", "left").join(located, "name_key", "left")
     return out.select("name_key", "members", F.when(F.col("located") > 1, F.col("far_m")).alias("max_distance_m"))

@@ -9,6 +9,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placeweave.operators.ranges import page_rows
+
 # Allowed transitions, and who may take them.
 TRANSITIONS = [("pending_review", "approved"), ("pending_review", "rejected"), ("approved", "promoted"), ("approved", "rejected")]
 ROLES = {
@@ -51,6 +53,20 @@ def list_rows(rows: DataFrame, page: Page, id_col: str, sort_by: str, descending
     return rows.orderBy(key, id_col).offset(page.offset).limit(page.size)
 
 
+def page_with_total(rows: DataFrame, page: Page, id_col: str, sort_by: str, descending: bool = True, equal: dict[str, str] | None = None) -> DataFrame:
+    """One page of the rows that match, with total_rows and total_pages; a page far down costs no more than the first."""
+    for col, value in (equal or {}).items():
+        rows = rows.where(F.col(col) == value)
+    out, total = page_rows(rows, page.offset, page.size, sort_by, id_col, descending)
+    return out.withColumns({"total_rows": F.lit(total).cast("long"), "total_pages": F.lit(page.total_pages(total))})
+
+
+def pending_activities(candidates: DataFrame, limit: int) -> DataFrame:
+    """Distinct activities of the first ``limit`` candidates without an outcome, by candidate id."""
+    first = candidates.where("outcome is null").orderBy("candidate_id").limit(limit)
+    return first.select("activity_id").distinct()
+
+
 def resolution_queue(activities: DataFrame, candidates: DataFrame, venues: DataFrame) -> DataFrame:
     """Activities with their number of candidates and the name of their venue: aggregates and joins, one job."""
     counts = candidates.groupBy("activity_id").agg(F.count("*").alias("n_candidates"))

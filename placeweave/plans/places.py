@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo
-from placeweave.operators import gating, rules
+from placeweave.operators import gating, nearby, rules
 from placeweave.plans.adapters import adapt, with_tables
 from placeweave.plans.registry import query
 
@@ -73,6 +73,14 @@ def d11(spark, sf_dir):
     return near.withColumn("rn", F.row_number().over(order)).where("rn <= 5").select("product_key", "venue_id", "rn")
 
 
+@query("D11_around_each", f"""{with_tables('venues', 'public_venues')}, w AS (SELECT p.public_id AS centre_id, v.venue_id, {sql_haversine('p.lat', 'p.lng', 'v.lat', 'v.lng')} AS distance_m FROM public_venues p, venues v)
+  SELECT centre_id, venue_id, distance_m FROM w WHERE distance_m <= 300""")
+def d11_around_each(spark, sf_dir):
+    """All places within 300 m of each of all published places."""
+    centres = adapt(spark, sf_dir, "public_venues").select(F.col("public_id").alias("centre_id"), F.col("lat").alias("centre_lat"), F.col("lng").alias("centre_lng"))
+    return nearby.within_radius(centres, adapt(spark, sf_dir, "venues").select("venue_id", "lat", "lng"), 300.0).select("centre_id", "venue_id", "distance_m")
+
+
 VR = with_tables("venues", "regions")
 GATED_SQL = f"""
 d AS (SELECT v.*, r.region_key, coalesce(radius_m, 0) AS radius_m, CASE WHEN r.region_key IS NULL THEN 0 ELSE {sql_haversine('center_lat', 'center_lng', 'lat', 'lng')} END AS distance_m
@@ -189,6 +197,23 @@ def c01(spark, sf_dir):
     return spark.createDataFrame([(m, len(r.reject_types), len(r.reject_keywords), len(r.accept_types)) for m, r in found], "mode string, reject_types int, reject_keywords int, accept_types int")
 
 
+_OWN = "CASE WHEN category LIKE '%BRASS' THEN 'extend' WHEN category LIKE '%TIN' THEN 'override' ELSE 'default' END"
+
+
+@query("C01_rules_by_category", f"""{V}, m AS (SELECT venue_id, category, {_OWN} AS mode, lower(category) LIKE '%steel%' AS base, lower(category) LIKE '%promo%' AS own FROM venues)
+  SELECT venue_id, mode, CASE mode WHEN 'default' THEN base WHEN 'override' THEN own ELSE base OR own END AS rejected FROM m""")
+def c01_by_category(spark, sf_dir):
+    """Each category of places has its way of joining its own rules to the defaults; the rules it ends up with judge its places."""
+    venues = adapt(spark, sf_dir, "venues")
+    own = rules.RuleSet(reject_types=(rules.TypeRule("own", ("promo",)),))
+    base = rules.RuleSet(reject_types=(rules.TypeRule("base", ("steel",)),))
+    mode = F.when(F.col("category").endswith("BRASS"), "extend").when(F.col("category").endswith("TIN"), "override").otherwise("default")
+    typed = venues.select("venue_id", F.split(F.lower("category"), " ").alias("types"), mode.alias("mode"))
+    hit = lambda r: F.arrays_overlap("types", F.array(*[F.lit(t) for rule in r.reject_types for t in rule.types]))
+    judged = F.coalesce(*[F.when(F.col("mode") == m, hit(rules.resolve_rules(base, own, {"reject_types": m}))) for m in ("default", "extend", "override")])
+    return typed.select("venue_id", "mode", judged.alias("rejected"))
+
+
 GATE_SQL = f"""{CLASSIFIED_SQL}, {GATED_SQL}, z AS (SELECT g.venue_id, g.category, g.region_key, g.distance_m, g.geographic_status, g.radius_m, cl.decision AS d0, cl.decisive_layer AS l0, cl.reasoning AS r0,
   g.geographic_status = 'buffer_zone' AND cl.decision = 'accepted' AS flip FROM g JOIN cl USING (venue_id))"""
 

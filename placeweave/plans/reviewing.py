@@ -36,6 +36,20 @@ def h01(spark, sf_dir):
     return spark.createDataFrame([(p.number, p.size, p.offset, p.total_pages(41)) for p in pages], "page int, size int, first int, pages int")
 
 
+@query("H01_deep_page", f"""{T}, m AS (SELECT activity_id, title, collected_at FROM activities WHERE proposal_status = 'promoted')
+  SELECT activity_id, title, (SELECT count(*) FROM m) AS total_rows, (SELECT ceil(count(*) / 20.0)::INT FROM m) AS total_pages FROM m ORDER BY collected_at DESC NULLS LAST, activity_id LIMIT 20 OFFSET 780""")
+def h01_deep(spark, sf_dir):
+    """Page 40 of the promoted activities, with the totals of the list."""
+    rows = adapt(spark, sf_dir, "activities").select("activity_id", "title", "collected_at", "proposal_status")
+    page = review.page_with_total(rows, review.Page(40, 20), "activity_id", "collected_at", equal={"proposal_status": "promoted"})
+    return page.select("activity_id", "title", "total_rows", "total_pages")
+
+
+@query("H12_pending_in_order", f"{T}, {CAND} SELECT DISTINCT activity_id FROM (SELECT activity_id FROM cand WHERE outcome IS NULL ORDER BY candidate_id LIMIT 100)")
+def h12_ordered(spark, sf_dir):
+    return review.pending_activities(_candidates(spark, sf_dir), 100)
+
+
 @query("H04_detail", f"{T} SELECT venue_id, name, address, city FROM venues WHERE venue_id = 17")
 def h04(spark, sf_dir):
     return adapt(spark, sf_dir, "venues").where("venue_id = 17").select("venue_id", "name", "address", "city")

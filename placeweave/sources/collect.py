@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions.text import SPACE, trim
+from placeweave.operators.ranges import sum_before
 
 POST_SCHEMA = (
     "id long, date string, date_gmt string, link string, title struct<rendered:string>, content struct<rendered:string>, "
@@ -56,9 +57,12 @@ def to_canonical(places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def budget_gate(calls: DataFrame, budget: float, alert_pct: float, hard_stop: bool = True) -> DataFrame:
-    """Adds spent (before the call), allowed and alert to calls in order of seq, per provider. Costs are constant."""
-    before = Window.partitionBy("provider").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = calls.withColumn("spent", F.round(F.coalesce(F.sum("cost").over(before), F.lit(0.0)), 6))
+    """Adds spent (before the call), allowed and alert to calls in order of seq, per provider. Costs are constant.
+
+    There are a handful of providers, so the running sum of each is cut into ranges of seq. Costs are added as decimals.
+    """
+    summed = sum_before(calls, ["provider"], "seq", F.col("cost").cast("decimal(18,9)"))
+    out = summed.withColumn("spent", F.round(F.col("before").cast("double"), 6)).drop("before")
     fits = F.round(F.col("spent") + F.col("cost"), 6) <= budget
     return out.withColumns({"allowed": fits if hard_stop else F.lit(True), "alert": F.col("spent") / budget >= alert_pct})
 
