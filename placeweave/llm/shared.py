@@ -64,25 +64,23 @@ HOT_ROWS, HOT_KEYS = 4096, 4096
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """rows joined to keyed, which has one row for a key; the rows of a hot key are dealt to several tasks.
 
-    rows is read more than once, so it should be materialized, as should keyed if its column size says how many of rows
-    have the key. Rows of all other keys are joined plainly. Hashes of the hot keys, HOT_KEYS at most, are read to tell
-    the rows apart by a filter, and only rows with such a hash meet the list of hot keys.
+    rows is read twice, so it should be materialized, as should keyed if its column size says how many of rows have the
+    key. Hashes of the hot keys, HOT_KEYS at most, come to the driver, by how many parts each needs (a power of two).
+    They make a filter that deals rows and copies of keyed to parts; rows of all other keys are in part 0. There is
+    one join, and it makes each row once.
     """
     keys = [key] if isinstance(key, str) else key
     sizes = keyed.select(*keys, F.col(size).alias("rows")) if size else rows.groupBy(*keys).agg(F.count("*").alias("rows"))
     least = max(HOT_ROWS, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // HOT_KEYS))  # one number
-    hot = sizes.where(F.col("rows") >= least)
-    name = F.xxhash64(*keys)
-    names = [r[0] for r in hot.select(name).collect()]  # HOT_KEYS at most
-    if not names:
+    name, by_parts = F.xxhash64(*keys), {}
+    for h, n in sizes.where(F.col("rows") >= least).select(name, "rows").collect():  # HOT_KEYS at most
+        by_parts.setdefault(1 << (-(-n // least)).bit_length(), []).append(h)
+    if not by_parts:
         return rows.join(keyed, keys, how)
-    is_hot = name.isin(names)
-    listed = F.broadcast(hot.select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("parts")))
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(row_hash(rows), F.col("parts").cast("long")).cast("int"))
-    dealt = rows.where(is_hot).join(listed, keys, "left").withColumn("part", part).drop("parts")
-    copied = keyed.where(is_hot).join(listed, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    plain = rows.where(~is_hot).join(keyed.where(~is_hot), keys, how)
-    return plain.unionByName(dealt.join(copied, [*keys, "part"], how).drop("part"))
+    parts = F.coalesce(*[F.when(name.isin(names), F.lit(n)) for n, names in sorted(by_parts.items())], F.lit(1))
+    dealt = rows.withColumn("part", F.pmod(row_hash(rows), parts.cast("long")).cast("int"))
+    copied = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copied, [*keys, "part"], how).drop("part")
 
 
 def _has_no_hash(kind: DataType) -> bool:
