@@ -68,7 +68,7 @@ def run_quality(items: DataFrame) -> DataFrame:
     )
     each = exact_median(rows, ["source_key"], "delay").select(F.col("source_key").alias("s"), F.lit(0).alias("l"), "median")
     whole = exact_median(rows, [], "delay").select(F.lit(None).cast("string").alias("s"), F.lit(1).alias("l"), "median")
-    out = counted.join(F.broadcast(each.unionByName(whole)), F.col("source_key").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")  # one row a source
+    out = counted.join(each.unionByName(whole), F.col("source_key").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")
     return out.withColumn("median_delay_h", round_up(F.col("median"), 1)).drop("s", "l", "median")
 
 

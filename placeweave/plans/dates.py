@@ -238,61 +238,67 @@ def b27(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").where(~upserts.parse_occurrences(payload)["valid"]).select("event_id")
 
 
-# Sentences with known readings: text, ranges, singles, days, qualifies, type, days kept, time, reasons.
-SENTENCES = [
-    ("toda sexta-feira", 0, 0, [5], True, "weekly", [5], None, []),
-    ("Todas as sextas-feiras, das 10h às 15h", 1, 0, [5], True, "weekly", [5], "10:00", [r.END_LOST]),
-    ("Quartas e sextas das 9h às 11h", 1, 0, [3, 5], True, "weekly", [3, 5], "09:00", [r.END_LOST]),
-    ("Terças das 14h às 16h15 e sextas das 9h às 11h", 2, 0, [2, 5], True, "weekly", [2, 5], None, [r.DAYS_DIFFER]),
-    ("toda quinta-feira, às 17h", 0, 1, [4], True, "weekly", [4], "17:00", []),
-    ("todo último domingo de cada mês", 0, 0, [0], False, None, None, None, [r.ORDINAL_MONTH]),
-    ("nesta sexta-feira (25/09). Envie até as 17h", 0, 1, [5], False, None, None, None, []),
-    ("a segunda apresentação será no sábado", 0, 0, [6], False, None, None, None, []),
-    ("TERÇAS-FEIRAS e SÁBADOS a partir das 8h30", 0, 1, [2, 6], True, "weekly", [2, 6], "08:30", []),
-    ("02 de outubro (sexta-feira), às 19h", 0, 1, [5], False, None, None, None, []),
-]
-
-
-def _list(xs) -> str:
-    return "NULL" if xs is None else "'" + ",".join(map(str, xs)) + "'"
-
-
-def _case(column: int, kind: str = "text") -> str:
-    def lit(v) -> str:
-        return "NULL" if v is None else str(v) if kind == "number" else _list(v) if isinstance(v, list) else f"'{v}'"
-
-    return "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {lit(s[column])}" for i, s in enumerate(SENTENCES)) + " END"
+# Ten sentences about a weekday, another one three days later, an hour and a day of the month, all named by the order's key.
+_FEIRAS = ["segunda", "terça", "quarta", "quinta", "sexta"]
+STEMS = ["domingo", *_FEIRAS, "sábado"]
+PLURALS = ["domingos", *[f"{f}s-feiras" for f in _FEIRAS], "sábados"]
+_D, _E, _H = "(o_orderkey % 7)", "((o_orderkey % 7 + 3) % 7)", "(o_orderkey % 12 + 1)"
+_BOTH = f"(least({_D}, {_E}) || ',' || greatest({_D}, {_E}))"
+_ON_HOUR, _HALF = f"lpad({_H}::VARCHAR, 2, '0') || ':00'", f"lpad({_H}::VARCHAR, 2, '0') || ':30'"
 
 
 def _sentences(spark, sf_dir):
-    text = _pick([s[0] for s in SENTENCES], F.col("o_orderkey") % 10)
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.alias("text"))
-
-
-@query("B28_time_mentions", f"SELECT o_orderkey, {_case(1, 'number')} AS ranges, {_case(2, 'number')} AS singles FROM orders")
+    k = F.col("o_orderkey")
+    d, e, h = k % 7, (k % 7 + 3) % 7, k % 12 + 1
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    hour = lambda more: (h + more).cast("string")
+    day, stem, plural, nth = _pick(DAYS, d), lambda x: _pick(STEMS, x), lambda x: _pick(PLURALS, x), (k % 28 + 1).cast("string")
+    told = [
+        say("toda ", day), say("Todas as ", plural(d), ", das ", hour(0), "h às ", hour(2), "h"), say(stem(d), "s e ", stem(e), "s das ", hour(0), "h às ", hour(2), "h"),
+        say(stem(d), "s das ", hour(0), "h às ", hour(2), "h15 e ", stem(e), "s das ", hour(1), "h às ", hour(3), "h"), say("toda ", day, ", às ", hour(0), "h"),
+        say("todo último ", day, " de cada mês"), say("nesta ", day, " (", nth, "/09). Envie até as ", hour(0), "h"),
+        say("a segunda apresentação será no ", _pick(["domingo", "sábado"], F.floor(k / 10) % 2)), say(F.upper(plural(d)), " e ", F.upper(plural(e)), " a partir das ", hour(0), "h30"),
+        say(nth, " de outubro (", day, "), às ", hour(0), "h"),
+    ]
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.element_at(F.array(*told), (k % 10 + 1).cast("int")).alias("text"))
+
+
+def _by_sentence(values: dict[str, str], other: str = "NULL") -> str:
+    """CASE over the number of the sentence; several numbers may share a value."""
+    return "CASE " + " ".join(f"WHEN o_orderkey % 10 IN ({numbers}) THEN {value}" for numbers, value in values.items()) + f" ELSE {other} END"
+
+
+@query("B28_time_mentions", f"SELECT o_orderkey, {_by_sentence({'1, 2': '1', '3': '2'}, '0')} AS ranges, {_by_sentence({'4, 6, 8, 9': '1'}, '0')} AS singles FROM orders")
 def b28(spark, sf_dir):
     return _sentences(spark, sf_dir).select("o_orderkey", r.time_mentions(F.col("text")).alias("t")).select("o_orderkey", "t.ranges", "t.singles")
 
 
-@query("B29_weekdays", f"SELECT o_orderkey, {_case(3)} AS days FROM orders")
+@query("B29_weekdays", f"SELECT o_orderkey, {_by_sentence({'2, 3, 8': _BOTH, '7': 'CASE WHEN (o_orderkey // 10) % 2 = 0 THEN 0 ELSE 6 END::VARCHAR'}, _D + '::VARCHAR')} AS days FROM orders")
 def b29(spark, sf_dir):
     return _sentences(spark, sf_dir).select("o_orderkey", F.array_join(r.weekdays(F.col("text")).cast("array<string>"), ",").alias("days"))
 
 
-@query("B35_qualifies", "SELECT o_orderkey, " + "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {str(s[4]).lower()}" for i, s in enumerate(SENTENCES)) + " END AS qualifies FROM orders")
+@query("B35_qualifies", "SELECT o_orderkey, o_orderkey % 10 NOT IN (5, 6, 7, 9) AS qualifies FROM orders")
 def b35(spark, sf_dir):
     return _sentences(spark, sf_dir).select("o_orderkey", r.qualifies(F.col("text")).alias("qualifies"))
 
 
-@query("B33_recurrence", f"SELECT o_orderkey, {_case(5)} AS type, {_case(6)} AS days, {_case(7)} AS time, {_case(8)} AS reasons FROM orders")
+@query("B33_recurrence", f"""SELECT o_orderkey, {_by_sentence({'0, 1, 2, 3, 4, 8': "'weekly'"})} AS type, {_by_sentence({'2, 3, 8': _BOTH, '0, 1, 4': _D + '::VARCHAR'})} AS days,
+  {_by_sentence({'1, 2, 4': _ON_HOUR, '8': _HALF})} AS time, {_by_sentence({'1, 2': f"'{r.END_LOST}'", '3': f"'{r.DAYS_DIFFER}'", '5': f"'{r.ORDINAL_MONTH}'"}, "''")} AS reasons FROM orders""")
 def b33(spark, sf_dir):
     found = _sentences(spark, sf_dir).select("o_orderkey", r.detect(F.col("text")).alias("r")).select("o_orderkey", "r.*")
     days = F.coalesce(F.array_join(F.col("days").cast("array<string>"), ","), F.lit(None).cast("string"))
     return found.select("o_orderkey", "type", days.alias("days"), "time", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("B34_text_hint", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'toda sexta-feira' WHEN 1 THEN 'às quartas-feiras' ELSE 'título' END AS hint FROM orders")
+def _named(names: list[str], number: str) -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+@query("B34_text_hint", f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'toda ' || {_named(DAYS, _D)} WHEN 1 THEN 'às ' || {_named(PLURALS, _D)} ELSE 'título ' || o_orderkey END AS hint FROM orders")
 def b34(spark, sf_dir):
-    k, none = F.col("o_orderkey") % 3, F.lit(None).cast("string")
-    hint = r.text_hint(F.lit("título"), F.when(k == 0, "toda sexta-feira").otherwise("nada"), F.when(k == 1, "às quartas-feiras"), none)
+    key, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    k, day, plural = key % 3, _pick(DAYS, key % 7), _pick(PLURALS, key % 7)
+    description, raw = F.when(k == 0, F.concat(F.lit("toda "), day)).otherwise("nada"), F.when(k == 1, F.concat(F.lit("às "), plural))
+    hint = r.text_hint(F.concat(F.lit("título "), key.cast("string")), description, raw, none)
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", hint.alias("hint"))
