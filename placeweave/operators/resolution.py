@@ -259,6 +259,29 @@ def resolve(mentions: DataFrame, venues: DataFrame, contexts: DataFrame | None,
     return said.select("activity_id", "speaker").join(ranked.withColumnRenamed("activity_id", "speaker"), "speaker").select("activity_id", *[c for c in ranked.columns if c != "activity_id"])
 
 
+def changed_pools(mentions: DataFrame, before: DataFrame, after: DataFrame, config: ResolutionConfig) -> DataFrame:
+    """The pools of placed mentions whose candidates, or anything that their scores depend on, differ between two states of the venues.
+
+    Each pool has max_candidates members at most, so what is compared does not grow with mentions, nor with unchanged venues beyond the pools.
+    """
+    facts = ["venue_id", "name", "address", "city", "lat", "lng", "pair_rank"]
+    members = lambda v: candidate_pools(mentions, prepare_candidates(v, config), config).select(*POOL, *facts)
+    sides = members(before).withColumn("side", F.lit(1)).unionByName(members(after).withColumn("side", F.lit(-1)))
+    return sides.groupBy(*POOL, *facts).agg(F.sum("side").alias("balance")).where("balance <> 0").select(*POOL).distinct()
+
+
+def refresh(ranked: DataFrame, mentions: DataFrame, before: DataFrame, after: DataFrame, contexts: DataFrame | None, config: ResolutionConfig) -> DataFrame:
+    """ranked (what resolve gave for the venues before) brought up to the venues after.
+
+    A change of venues travels through pools to exactly the mentions that share one; only these are resolved again, and
+    only their rows are replaced. mentions are those that ranked was made from.
+    """
+    placed = place_mentions(mentions, contexts, config)
+    touched = placed.join(changed_pools(placed, before, after, config), POOL, "left_semi").select("activity_id")
+    fresh = resolve(mentions.join(touched, "activity_id", "left_semi"), after, contexts, config)
+    return ranked.join(touched, "activity_id", "left_anti").unionByName(fresh)
+
+
 def outcomes(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row per activity: status, result kind and reason, the venue taken, and the metrics of its candidates."""
     top = F.max(F.when(F.col("rank") == 1, F.struct("venue_id", "final_score", "classification")))

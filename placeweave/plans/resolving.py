@@ -222,6 +222,25 @@ def e20(spark, sf_dir):
     return resolution.regenerate(old, fresh).select("candidate_id", "activity_id", "outcome")
 
 
+_MOVED = T.replace("venues AS (", "venues_before AS (", 1) + """, venues AS (SELECT * REPLACE (CASE WHEN venue_id % 100 = 7 THEN name || ' novo' ELSE name END AS name,
+  CASE WHEN venue_id % 100 = 9 THEN 'Iguaba Grande' ELSE city END AS city, CASE WHEN venue_id % 100 = 11 THEN 'rejected' ELSE proposal_status END AS proposal_status) FROM venues_before)"""
+
+
+@query("E20_refresh", f"{_MOVED}, {STAGES} SELECT activity_id, venue_id, rank, fs AS final_score, classification FROM rc")
+def e20_refresh(spark, sf_dir):
+    """Some venues get another name, city or status; the mentions that share a pool with one are resolved again, the others stay."""
+    k = F.col("venue_id") % 100
+    v = adapt(spark, sf_dir, "venues")
+    moved = v.withColumns({
+        "name": F.when(k == 7, F.concat("name", F.lit(" novo"))).otherwise(F.col("name")), "city": F.when(k == 9, "Iguaba Grande").otherwise(F.col("city")),
+        "proposal_status": F.when(k == 11, "rejected").otherwise(F.col("proposal_status")),
+    })
+    after = resolution.eligible_venues(moved.select("venue_id", "product_key", "proposal_status", "raw_id"), moved.select("raw_id", "name", "address", "city", "lat", "lng"), CONFIG)
+    todo, contexts = _todo(spark, sf_dir), adapt(spark, sf_dir, "contexts")
+    out = resolution.refresh(_ranked(spark, sf_dir, todo), todo, _venues(spark, sf_dir), after, contexts, CONFIG)
+    return out.select("activity_id", "venue_id", "rank", "final_score", "classification")
+
+
 @query("E27_human_accept", f"""{T}, a AS (SELECT activity_id, CASE WHEN activity_id % 4 = 0 THEN 'approved' ELSE 'pending_review' END AS proposal_status FROM mentions WHERE activity_id % 10 <> 9),
   c AS (SELECT activity_id, activity_id % 50 AS venue_id, 0.5::DOUBLE AS final_score FROM mentions WHERE activity_id % 3 <> 0),
   l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY reviewed_at DESC, decision_id DESC) AS k FROM decisions) WHERE k = 1),
