@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from placeweave.llm.shared import materialize, numbered, packed, row_hash, unpacked
 
+
 def shuffle_key(seed: int, *parts: Column) -> Column:
     """A hexadecimal digest, evenly spread; its order is a seeded shuffle."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
@@ -53,4 +54,5 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", source_col: str = "source", n_shards: int = 16, seed: int = 17) -> None:
     """Write docs as one folder per shard (shard=0, ...), rows in slot order within each file."""
     placed = assign_shards(docs, id_col, source_col, n_shards, seed)
-    placed.repartition(n_shards * 4, "shard", F.col("slot") % 4).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    # Ranges of slots, so the number of files of a shard follows its size.
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

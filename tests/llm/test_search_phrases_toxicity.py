@@ -262,3 +262,12 @@ def test_very_long_texts_and_urls(spark):
     want = brute.repeats([long[:5000], long[:5000] + "tail"])
     got = repeats.remove_repeats(spark.createDataFrame([(1, long[:5000]), (2, long[:5000] + "tail")], "doc_id long, text string")).orderBy("id").collect()
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == [w[:3] for w in want]
+
+
+def test_written_shards_hold_all_rows_in_slot_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}", f"s{i % 3}") for i in range(500)], "doc_id long, text string, source string")
+    sharding.write_shards(df, str(tmp_path / "shards"), n_shards=4)
+    read = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["shard"], r["slot"]) for r in read.collect()) == [(s, k) for s in range(4) for k in range(125)]
+    at = [r["slot"] for r in read.where("shard = 2").select("slot", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).orderBy("f", "n").collect()]
+    assert sum(b < a for a, b in zip(at[:-1], at[1:], strict=True)) <= 3  # in order within each file
