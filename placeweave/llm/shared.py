@@ -67,7 +67,7 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str =
     rows is read twice, so it should be materialized, as should keyed if its column size says how many of rows have the
     key. Hashes of the hot keys, HOT_KEYS at most, come to the driver, by how many parts each needs (a power of two).
     They make a filter that deals rows and copies of keyed to parts; rows of all other keys are in part 0. There is
-    one join, and it makes each row once.
+    one join, the same at every size, and it makes each row once.
     """
     keys = [key] if isinstance(key, str) else key
     sizes = keyed.select(*keys, F.col(size).alias("rows")) if size else rows.groupBy(*keys).agg(F.count("*").alias("rows"))
@@ -75,8 +75,6 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str =
     name, by_parts = F.xxhash64(*keys), {}
     for h, n in sizes.where(F.col("rows") >= least).select(name, "rows").collect():  # HOT_KEYS at most
         by_parts.setdefault(1 << (-(-n // least)).bit_length(), []).append(h)
-    if not by_parts:
-        return rows.join(keyed, keys, how)
     parts = F.coalesce(*[F.when(name.isin(names), F.lit(n)) for n, names in sorted(by_parts.items())], F.lit(1))
     dealt = rows.withColumn("part", F.pmod(row_hash(rows), parts.cast("long")).cast("int"))
     copied = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
