@@ -68,7 +68,9 @@ def label_values(lines: Column) -> Column:
     of = lambda p: F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: F.regexp_replace(x, p, ""))
     leading = F.transform(F.filter(lines, lambda x: trim(x).rlike(LEADING_DATE)), lambda x: trim(x))
     none = F.array().cast("array<string>")
-    return F.when(F.size(of(DATE_LABEL)) > 0, of(DATE_LABEL)).when(F.size(of(START_LABEL)) > 0, of(START_LABEL)).when(F.size(leading) == 1, leading).otherwise(none)
+    alone = let(leading, lambda x: F.when(F.size(x) == 1, x).otherwise(none))
+    started = let(of(START_LABEL), lambda x: F.when(F.size(x) > 0, x).otherwise(alone))
+    return let(of(DATE_LABEL), lambda x: F.when(F.size(x) > 0, x).otherwise(started))
 
 
 def schedule(values: Column, scans: Column) -> Column:
@@ -96,78 +98,144 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def structured_items(posts: DataFrame) -> DataFrame:
-    """post_id, idx, title, date, end_date, time, end_time, venue_name, raw_text, grouping of each labelled block.
+def _spread(posts: DataFrame) -> DataFrame:
+    """posts dealt evenly by post_id: reading a post costs far more than moving it, and a small file is a single task."""
+    session = posts.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return posts.repartition(n, "post_id")
+
+
+def _pieces(posts: DataFrame) -> DataFrame:
+    """Each post with a row for each of its blocks (idx, block, lines, event), or one row without a piece."""
+    at = F.regexp_instr("html", F.col("marker"))
+    after = F.when(at > 0, F.substring(F.col("html"), at + F.length(F.regexp_substr("html", F.col("marker"))), F.length("html")))
+    found = posts.withColumn("after", after).withColumn("blocks", blocks(F.col("after")))
+    none = F.array().cast("array<string>")
+    strong = F.transform("blocks", lambda b: F.struct(b.alias("block"), none.alias("lines"), F.lit(False).alias("event")))
+
+    def segments(lines: Column) -> Column:
+        """Without any block, lines labelled "Evento:" begin the segments."""
+        starts = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(EVENT_LABEL), i)), lambda i: i.isNotNull())
+        cut = lambda found: F.transform(found, lambda start, i: F.slice(lines, start + 1, F.coalesce(F.get(found, i + 1), F.size(lines)) - start))
+        return F.transform(let(starts, cut), lambda x: F.struct(F.lit(None).cast("string").alias("block"), x.alias("lines"), F.lit(True).alias("event")))
 
-    posts: post_id, html, marker (a pattern before the blocks), at (instant of publication).
-    """
-    mark = posts.withColumn("_m", F.regexp_instr("html", F.col("marker"))).where("_m > 0")
-    after = F.substring(F.col("html"), F.col("_m") + F.length(F.regexp_substr("html", F.col("marker"))), F.length("html"))
-    found = mark.withColumn("after", after).withColumn("blocks", blocks(F.col("after")))
-    strong = found.where(F.size("blocks") > 0).select("post_id", "at", F.posexplode("blocks").alias("idx", "block"))
-    text = strip_html(F.col("block"))
-    strong = strong.withColumns({"raw_text": text, "lines": _lines(text)})
-    title = trim(strip_html(F.regexp_extract("block", STRONG, 1)))
-    strong = strong.withColumns({"title": title, "tail": F.slice("lines", F.lit(2), F.size("lines")), "event": F.lit(False)}).drop("block")
-    # Without any block, lines labelled "Evento:" begin the segments.
     lines = F.filter(F.transform(F.split(strip_html(F.col("after")), "\n"), trim), lambda x: x != "")
-    plain = found.where(F.size("blocks") == 0).withColumn("all", lines)
-    starts = F.filter(F.transform(F.col("all"), lambda x, i: F.when(x.rlike(EVENT_LABEL), i)), lambda i: i.isNotNull())
-    plain = plain.withColumn("starts", starts).select("post_id", "at", "all", "starts", F.posexplode("starts").alias("idx", "start"))
-    segment = F.slice("all", F.col("start") + 1, F.coalesce(F.get("starts", F.col("idx") + 1), F.size("all")) - F.col("start"))
-    plain = plain.withColumn("lines", segment).withColumns({"raw_text": F.array_join("lines", "\n"), "title": trim(F.regexp_replace(F.get("lines", F.lit(0)), EVENT_LABEL, "")), "tail": F.slice("lines", F.lit(2), F.size("lines")), "event": F.lit(True)})
-    rows = strong.unionByName(plain.drop("all", "starts", "start")).withColumn("values", label_values(F.col("tail")))
+    pieces = F.when(F.size("blocks") > 0, strong).when(F.col("after").isNotNull(), let(lines, segments))
+    found = found.select(*posts.columns, F.posexplode_outer(pieces).alias("idx", "piece"))
+    return found.select(*posts.columns, "idx", "piece.*")
+
+
+def _read_pieces(posts: DataFrame) -> DataFrame:
+    """Each row of _pieces with title, date, end_date, time, end_time, venue_name, raw_text, grouping, and whether it is an item (kept)."""
+    rows = _pieces(posts)
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("raw_text", F.when(F.col("event"), F.array_join("lines", "\n")).otherwise(strip_html(F.col("block"))))
+    rows = rows.withColumn("lines", F.when(F.col("event"), F.col("lines")).otherwise(F.coalesce(_lines(F.col("raw_text")), none)))
+    head = trim(F.regexp_replace(F.get("lines", F.lit(0)), EVENT_LABEL, ""))
+    rows = rows.withColumn("title_", F.when(F.col("event"), head).otherwise(trim(strip_html(F.regexp_extract("block", STRONG, 1))))).drop("block")
+    rows = rows.withColumn("values", label_values(F.slice("lines", F.lit(2), F.size("lines"))))
     # Values of labels, and a date like "sábado (17)" of the text and of the title for items without one: read in one go.
     pick = rf"(?iu)(?:{WEEKDAY})[a-z-]*{SPACE}*\(\d{{1,2}}\)"
-    hints = F.array(F.coalesce(F.regexp_substr("raw_text", F.lit(pick)), F.lit("")), F.coalesce(F.regexp_substr("title", F.lit(pick)), F.lit("")))
-    rows = rows.withColumn("hints", hints).withColumn("scans", scan_labels(F.concat("values", "hints"), F.col("at")))
+    hint = lambda c: F.when(F.contains(F.col(c), F.lit("(")), F.coalesce(F.regexp_substr(c, F.lit(pick)), F.lit(""))).otherwise("")
+    rows = rows.withColumn("scans", scan_labels(F.concat("values", F.array(hint("raw_text"), hint("title_"))), F.col("at")))
     n = F.size("values")
     hinted = F.transform(F.slice(F.col("scans"), n + 1, F.lit(2)), lambda s: F.get(s["mentions"], F.lit(0))["date"])
     found = F.struct(schedule(F.col("values"), F.slice(F.col("scans"), F.lit(1), n)).alias("s"), F.get(F.filter(hinted, lambda d: d.isNotNull()), F.lit(0)).alias("late"))
-    scanned = rows.withColumn("found", _once(found)).withColumns({"s": F.col("found.s"), "late": F.col("found.late")}).drop("found")
     head = F.transform(F.split(F.coalesce(F.get("lines", F.lit(0)), F.lit("")), rf"{SPACE}[–-]{SPACE}"), trim)
+    rows = rows.withColumns({"found": _once(found), "head": head})
     time_of = lambda x: parse_time_range(x)["time"]
     second = F.get(F.col("head"), F.lit(1))
-    labelled, dated = parse_time_range(trim(_first(F.col("lines"), TIME_LABEL))), parse_time_range(F.col("s.rest"))
+    labelled, dated = parse_time_range(trim(_first(F.col("lines"), TIME_LABEL))), parse_time_range(F.col("found.s.rest"))
     in_head = F.get(F.filter(F.transform(F.slice(F.col("head"), F.lit(2), F.size("head")), lambda x: parse_time_range(x)), lambda t: t["time"].isNotNull()), F.lit(0))
-    best = F.when(labelled["time"].isNotNull(), labelled).when(dated["time"].isNotNull(), dated).when(~F.col("event"), in_head)
+    known = lambda value, other: let(value, lambda t: F.when(t["time"].isNotNull(), t).otherwise(other))
+    best = known(labelled, known(dated, F.when(~F.col("event"), in_head)))
     place = F.coalesce(F.nullif(trim(_first(F.col("lines"), PLACE_LABEL)), F.lit("")), F.when(~F.col("event") & time_of(second).isNull(), F.nullif(second, F.lit(""))))
-    out = scanned.withColumn("head", head).withColumns({"t": best, "venue_name": place}).select("post_id", "idx", "at", "late", "title", "s.date", "s.end_date", "t.time", "t.end_time", "venue_name", "raw_text")
-    words = F.size(F.split(trim(F.regexp_replace("title", ":$", "")), f"{SPACE}+"))
-    generic = F.col("title").endswith(":") & (trim(F.regexp_replace("title", ":$", "")) != "") & (words <= 4) & ~F.col("title").rlike(r"\d")
-    bare = F.lower(trim(F.regexp_replace(trim(F.col("title")), ":$", "")))
-    empty = F.col("date").isNull() & F.col("time").isNull() & F.col("venue_name").isNull()
-    out = out.where((F.col("title") != "") & ~bare.isin(PURE_LABELS) & ~(generic & empty))
-    out = out.withColumns({"date": F.coalesce("date", "late"), "grouping": F.lower(trim(F.col("title"))).rlike(GROUPING)}).drop("late", "at")
-    order = Window.partitionBy("post_id").orderBy("idx")
-    return out.withColumn("idx", F.row_number().over(order) - 1)
+    rows = rows.withColumn("read", _once(F.struct(best.alias("t"), place.alias("place"))))
+    title, date, time, venue = F.col("title_"), F.col("found.s.date"), F.col("read.t.time"), F.col("read.place")
+    words = F.size(F.split(trim(F.regexp_replace(title, ":$", "")), f"{SPACE}+"))
+    generic = title.endswith(":") & (trim(F.regexp_replace(title, ":$", "")) != "") & (words <= 4) & ~title.rlike(r"\d")
+    bare = F.lower(trim(F.regexp_replace(trim(title), ":$", "")))
+    empty = date.isNull() & time.isNull() & venue.isNull()
+    kept = F.coalesce(F.col("idx").isNotNull() & (title != "") & ~bare.isin(PURE_LABELS) & ~(generic & empty), F.lit(False))
+    return rows.select(
+        *[F.col(c).alias("post_title") if c == "title" else c for c in posts.columns], "idx", title.alias("title"), F.coalesce(date, "found.late").alias("date"), F.col("found.s.end_date").alias("end_date"), time.alias("time"),
+        F.col("read.t.end_time").alias("end_time"), venue.alias("venue_name"), "raw_text", F.lower(trim(title)).rlike(GROUPING).alias("grouping"), _once(kept).alias("kept"),
+    )
 
 
-def narrative_items(posts: DataFrame) -> DataFrame:
-    """post_id, status, date, end_date, time, end_time, venue_name, confidence, reason of each post read as prose.
+def structured_items(posts: DataFrame) -> DataFrame:
+    """post_id, idx, title, date, end_date, time, end_time, venue_name, raw_text, grouping of each labelled block.
 
-    posts: post_id, html, at, exact (whether at is the instant of publication; else only its month is known).
+    posts: post_id, html, marker (a pattern before the blocks), at (instant of publication).
     """
-    text = posts.withColumn("text", strip_html(F.col("html")))
-    scanned = text.withColumn("s", _once(scan(F.col("text"), F.col("at"))))
+    out = _read_pieces(_spread(posts.select("post_id", "html", "marker", "at"))).where("kept")
+    order = Window.partitionBy("post_id").orderBy("idx")
+    return out.select("post_id", (F.row_number().over(order) - 1).alias("idx"), "title", "date", "end_date", "time", "end_time", "venue_name", "raw_text", "grouping")
+
+
+def _read_prose(posts: DataFrame, text: Column) -> DataFrame:
+    """posts with prose: struct<status, date, end_date, time, end_time, venue_name, confidence, reason, raw_text>, read from text."""
+    scanned = posts.withColumn("_text", text).withColumn("_s", _once(scan(F.col("_text"), F.col("at"))))
     since = F.date_format(F.when(F.col("exact"), F.col("at")).otherwise(F.col("at") - F.expr("INTERVAL '1' DAY")), "yyyy-MM-dd")
-    live = F.filter("s.mentions", lambda m: ~m["until"] & (~m["inferred"] | (m["date"] > since)))
+    live = F.filter("_s.mentions", lambda m: ~m["until"] & (~m["inferred"] | (m["date"] > since)))
     dates = F.array_distinct(F.transform(live, lambda m: F.struct(m["date"].alias("date"), m["end_date"].alias("end_date"))))
-    times = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)(\d{1,2}h\d{0,2})"), F.lit(1)), F.lower))
-    out = scanned.withColumns({"dates": dates, "times": times, "venue": venue_in_prose(F.col("text")), "t": parse_time_range(F.col("text")), "recurs": recurrence.qualifies(F.col("text"))})
-    n = F.size("dates")
+    times = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(r"(?i)(\d{1,2}h\d{0,2})"), F.lit(1)), F.lower))
+    issues = F.size("_s.issues") > 0
+    judged = scanned.withColumn("_dates", dates)
+    n = F.size("_dates")
+    # What a post's status does not depend on is not looked for.
     status = (
-        F.when(F.size("s.issues") > 0, "ambiguous").when((n == 0) & F.col("recurs"), "recurrence_only").when(n == 0, "not_found")
-        .when((n > 1) | (F.size("times") > 1), "ambiguous").otherwise("extracted")
+        F.when(issues, "ambiguous").when((n == 0) & recurrence.qualifies(F.col("_text")), "recurrence_only").when(n == 0, "not_found")
+        .when((n > 1) | (F.size(times) > 1), "ambiguous").otherwise("extracted")
+    )
+    judged = judged.withColumn("_status", _once(status))
+    only, status = F.get("_dates", F.lit(0)), F.col("_status")
+    done, single = status == "extracted", (n == 1) & ~issues
+    clock = F.when(done, parse_time_range(F.col("_text")))
+    read = judged.withColumns({"_t": clock, "_venue": F.when(status != "not_found", venue_in_prose(F.col("_text")))})
+    reason = F.when(issues, "inconsistent_date").when(n > 1, "several_dates").when(status == "ambiguous", "several_times")
+    confidence = F.when(done & F.col("_t.time").isNotNull(), CONFIDENCE["clear"]).when(done, CONFIDENCE["date_only"]).when(status == "recurrence_only", CONFIDENCE["recurrence_only"])
+    prose = F.struct(
+        status.alias("status"), F.when(single, only["date"]).alias("date"), F.when(done, only["end_date"]).alias("end_date"), F.col("_t.time").alias("time"), F.col("_t.end_time").alias("end_time"),
+        F.col("_venue").alias("venue_name"), confidence.alias("confidence"), reason.alias("reason"), F.col("_text").alias("raw_text"),
     )
-    out = out.withColumn("status", status)
-    only = F.get("dates", F.lit(0))
-    done, single = F.col("status") == "extracted", (n == 1) & (F.size("s.issues") == 0)
-    reason = F.when(F.size("s.issues") > 0, "inconsistent_date").when(n > 1, "several_dates").when(F.col("status") == "ambiguous", "several_times")
-    confidence = F.when(done & F.col("t.time").isNotNull(), CONFIDENCE["clear"]).when(done, CONFIDENCE["date_only"]).when(F.col("status") == "recurrence_only", CONFIDENCE["recurrence_only"])
-    return out.select(
-        "post_id", "status", F.when(single, only["date"]).alias("date"), F.when(done, only["end_date"]).alias("end_date"), F.when(done, F.col("t.time")).alias("time"), F.when(done, F.col("t.end_time")).alias("end_time"),
-        F.when(F.col("status") != "not_found", F.col("venue")).alias("venue_name"), confidence.alias("confidence"), reason.alias("reason"), F.col("text").alias("raw_text"),
+    return read.select(*posts.columns, prose.alias("prose"))
+
+
+def narrative_items(posts: DataFrame) -> DataFrame:
+    """post_id, status, date, end_date, time, end_time, venue_name, confidence, reason of each post read as prose.
+
+    posts: post_id, html, at, exact (whether at is the instant of publication; else only its month is known).
+    """
+    return _read_prose(_spread(posts.select("post_id", "html", "at", "exact")), strip_html(F.col("html"))).select("post_id", "prose.*")
+
+
+def post_results(posts: DataFrame) -> DataFrame:
+    """What each post gave, read in one pass: the columns of items, then idx and skipped (why a block or a post gave no date).
+
+    posts: post_id, source_key, title, html, marker, at, exact. A row without source_item_id is no item; a block without
+    a date is one and is skipped as well.
+    """
+    own = Window.partitionBy("post_id")
+    rows = _read_pieces(_spread(posts.select("post_id", "source_key", "title", "html", "marker", "at", "exact")))
+    rows = rows.withColumns({"n": F.count_if("kept").over(own), "idx": F.row_number().over(own.orderBy(F.desc("kept"), "idx")) - 1})
+    rows = rows.where(F.col("kept") | ((F.col("n") == 0) & (F.col("idx") == 0)))
+    rows = _read_prose(rows, F.when(~F.col("kept"), strip_html(F.col("html"))))
+    block, prose, none = F.col("kept"), F.col("prose"), F.lit(None).cast("string")
+    told = block | prose["status"].isin("extracted", "recurrence_only")
+    of = lambda c: F.when(block, F.col(c)).otherwise(prose[c])
+    occurrence = F.struct(*[of(c).alias(c) for c in ("date", "time", "end_date", "end_time")])
+    occurrences = F.when(of("date").isNotNull(), F.array(occurrence)).otherwise(F.array().cast("array<struct<date:string,time:string,end_date:string,end_time:string>>"))
+    reasons = F.array_compact(F.array(
+        F.when(block & F.col("date").isNull(), "structured_subevent_missing_date"), F.when(block & F.col("grouping"), "schedule_grouping_detected"),
+        F.when(~block & prose["venue_name"].isNull(), "venue_not_extracted_from_narrative"),
+    ))
+    skipped = F.when(block, F.when(F.col("date").isNull(), "structured_subevent_missing_date")).when(told, none).when(prose["status"] == "ambiguous", "narrative_ambiguous").otherwise("no_extractable_schedule_found")
+    return rows.select(
+        "post_id", "source_key", F.when(told, F.concat_ws("_", F.col("post_id").cast("string"), F.col("idx").cast("string"))).alias("source_item_id"), F.when(block, F.col("title")).otherwise(F.col("post_title")).alias("title"),
+        occurrences.alias("occurrences"), of("venue_name").alias("venue_name"), F.when(of("venue_name").isNotNull(), F.when(block, "explicit_name").otherwise("inferred_from_context")).alias("hint"),
+        F.when(block, "structured_block").otherwise("narrative_fallback").alias("method"), F.when(block, F.lit(CONFIDENCE["structured"])).otherwise(prose["confidence"]).alias("confidence"), reasons.alias("review_reasons"),
+        F.when(~block, prose["raw_text"]).alias("raw_text"), F.when(block & (F.col("n") == 1), strip_html(F.col("html"))).alias("article"), "idx", skipped.alias("skipped"),
     )
 
 
@@ -175,28 +243,11 @@ def post_items(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Activity items, and what was skipped with the reason (post_id, idx, reason).
 
     posts: post_id, source_key, title, html, marker, at, exact. A post with labelled blocks gives one item per block;
-    any other gives one or none from its prose.
+    any other gives one or none from its prose. Who needs both in one query takes post_results.
     """
-    meta = posts.select("post_id", "source_key", F.col("title").alias("post_title"), "html")
-    blocks_ = structured_items(posts).withColumn("n", F.count("*").over(Window.partitionBy("post_id")))
-    with_blocks = blocks_.select("post_id").distinct()
-    item = lambda i: F.concat_ws("_", F.col("post_id").cast("string"), i.cast("string"))
-    occurrence = F.struct("date", "time", "end_date", "end_time")
-    occurrences = F.when(F.col("date").isNotNull(), F.array(occurrence)).otherwise(F.array().cast("array<struct<date:string,time:string,end_date:string,end_time:string>>"))
-    reasons = F.array_compact(F.array(F.when(F.col("date").isNull(), "structured_subevent_missing_date"), F.when(F.col("grouping"), "schedule_grouping_detected")))
-    first = blocks_.join(meta, "post_id").select(
-        "post_id", "source_key", item(F.col("idx")).alias("source_item_id"), "title", occurrences.alias("occurrences"), "venue_name", F.when(F.col("venue_name").isNotNull(), "explicit_name").alias("hint"),
-        F.lit("structured_block").alias("method"), F.lit(CONFIDENCE["structured"]).alias("confidence"), reasons.alias("review_reasons"), F.lit(None).cast("string").alias("raw_text"),
-        F.when(F.col("n") == 1, strip_html(F.col("html"))).alias("article"),
-    )
-    prose = narrative_items(posts.join(with_blocks, "post_id", "left_anti")).join(meta, "post_id")
-    second = prose.where(F.col("status").isin("extracted", "recurrence_only")).select(
-        "post_id", "source_key", item(F.lit(0)).alias("source_item_id"), F.col("post_title").alias("title"), occurrences.alias("occurrences"), "venue_name", F.when(F.col("venue_name").isNotNull(), "inferred_from_context").alias("hint"),
-        F.lit("narrative_fallback").alias("method"), "confidence", F.array_compact(F.array(F.when(F.col("venue_name").isNull(), "venue_not_extracted_from_narrative"))).alias("review_reasons"), "raw_text", F.lit(None).cast("string").alias("article"),
-    )
-    lost = blocks_.where("date is null").select("post_id", "idx", F.lit("structured_subevent_missing_date").alias("reason"))
-    vague = prose.where(~F.col("status").isin("extracted", "recurrence_only")).select("post_id", F.lit(0).alias("idx"), F.when(F.col("status") == "ambiguous", "narrative_ambiguous").otherwise("no_extractable_schedule_found").alias("reason"))
-    return first.unionByName(second), lost.unionByName(vague)
+    rows = post_results(posts)
+    items = rows.where("source_item_id is not null").drop("idx", "skipped")
+    return items, rows.where("skipped is not null").select("post_id", "idx", F.col("skipped").alias("reason"))
 
 
 def with_recurrence(items: DataFrame) -> DataFrame:
