@@ -204,9 +204,8 @@ def b23b(spark, sf_dir):
 
 @query("G20_collector_statistics", """SELECT count(*) AS posts, count(*) FILTER (o_orderkey % 4 < 2) AS structured, count(*) FILTER (o_orderkey % 4 = 2) AS narrative, count(*) FILTER (o_orderkey % 4 = 3) AS without_schedule FROM orders""")
 def g20(spark, sf_dir):
-    p = _posts(spark, sf_dir)
-    items, skipped = posts.post_items(p)
-    each = items.select("post_id", "method").unionByName(skipped.where("reason <> 'structured_subevent_missing_date'").select("post_id", F.col("reason").alias("method"))).distinct()
+    read = posts.post_results(_posts(spark, sf_dir))
+    each = read.select("post_id", F.when(F.col("source_item_id").isNotNull(), F.col("method")).otherwise(F.col("skipped")).alias("method")).distinct()
     n = lambda m: F.count_if(F.col("method") == m)
     return each.agg(F.count("*").alias("posts"), n("structured_block").alias("structured"), n("narrative_fallback").alias("narrative"), n("no_extractable_schedule_found").alias("without_schedule"))
 
