@@ -30,14 +30,21 @@ def within_radius(centres: DataFrame, points: DataFrame, radius_m: float) -> Dat
     """Every pair of a centre (centre_id, centre_lat, centre_lng) and a point (lat, lng, ...) at most radius_m apart, with distance_m.
 
     Points lie in one cell of a band of latitudes as high as the radius. A centre covers the cells of three bands that its
-    circle may touch, across the date line and around the poles; the two meet by an equi-join on the cell.
+    circle may touch, across the date line and around the poles; the two meet by an equi-join on the cell. Only different
+    places meet, so distances are computed once for all centres and points that share them; pairs are joined to them last.
     """
+    around = _places_within(centres.select("centre_lat", "centre_lng").distinct(), points.select("lat", "lng").distinct(), radius_m)
+    return centres.select("centre_id", "centre_lat", "centre_lng").join(around, ["centre_lat", "centre_lng"]).join(points, ["lat", "lng"])
+
+
+def _places_within(centres: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
+    """Every pair of different places, centre_lat, centre_lng and lat, lng, at most radius_m apart, with distance_m."""
     height = max(degrees(radius_m / EARTH_M) * _SLACK, 1e-6)
     p = points.where("lat is not null and lng is not null").withColumn("_band", _band(F.col("lat"), height))
     n = _cells_in(F.col("_band"), height)
     p = p.withColumn("_cell", F.pmod(F.floor((F.col("lng") + 180.0) / 360.0 * n), n))
     lat, lng = F.col("centre_lat"), F.col("centre_lng")
-    c = centres.where("centre_lat is not null and centre_lng is not null").select("centre_id", "centre_lat", "centre_lng")
+    c = centres.where("centre_lat is not null and centre_lng is not null").select("centre_lat", "centre_lng")
     c = c.withColumn("_band", F.explode(F.sequence(_band(lat, height) - 1, _band(lat, height) + 1)))
     half = F.when(F.abs(lat) + height >= 90.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(height))) / F.cos(F.radians(lat))))) * _SLACK)
     first, last = F.floor((lng - half + 180.0) / 360.0 * n), F.floor((lng + half + 180.0) / 360.0 * n)
