@@ -9,6 +9,7 @@ from placeweave.functions import recurrence
 from placeweave.functions.dates_pt import first_group, parse_time_range
 from placeweave.functions.text import SPACE, let, strip_html, trim
 from placeweave.operators.date_spans import scan, scan_labels
+from placeweave.operators.ranges import deal
 
 # Labels, weekdays and confidences.
 WEEKDAY = "domingo|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado"
@@ -98,13 +99,6 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _spread(posts: DataFrame) -> DataFrame:
-    """posts dealt evenly by post_id: reading a post costs far more than moving it, and a small file is a single task."""
-    session = posts.sparkSession
-    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return posts.repartition(n, "post_id")
-
-
 def _pieces(posts: DataFrame) -> DataFrame:
     """Each post with a row for each of its blocks (idx, block, lines, event), or one row without a piece."""
     at = F.regexp_instr("html", F.col("marker"))
@@ -168,7 +162,7 @@ def structured_items(posts: DataFrame) -> DataFrame:
 
     posts: post_id, html, marker (a pattern before the blocks), at (instant of publication).
     """
-    out = _read_pieces(_spread(posts.select("post_id", "html", "marker", "at"))).where("kept")
+    out = _read_pieces(deal(posts.select("post_id", "html", "marker", "at"), "post_id")).where("kept")
     order = Window.partitionBy("post_id").orderBy("idx")
     return out.select("post_id", (F.row_number().over(order) - 1).alias("idx"), "title", "date", "end_date", "time", "end_time", "venue_name", "raw_text", "grouping")
 
@@ -207,7 +201,7 @@ def narrative_items(posts: DataFrame) -> DataFrame:
 
     posts: post_id, html, at, exact (whether at is the instant of publication; else only its month is known).
     """
-    return _read_prose(_spread(posts.select("post_id", "html", "at", "exact")), strip_html(F.col("html"))).select("post_id", "prose.*")
+    return _read_prose(deal(posts.select("post_id", "html", "at", "exact"), "post_id"), strip_html(F.col("html"))).select("post_id", "prose.*")
 
 
 def post_results(posts: DataFrame) -> DataFrame:
@@ -217,7 +211,7 @@ def post_results(posts: DataFrame) -> DataFrame:
     a date is one and is skipped as well.
     """
     own = Window.partitionBy("post_id")
-    rows = _read_pieces(_spread(posts.select("post_id", "source_key", "title", "html", "marker", "at", "exact")))
+    rows = _read_pieces(deal(posts.select("post_id", "source_key", "title", "html", "marker", "at", "exact"), "post_id"))
     rows = rows.withColumns({"n": F.count_if("kept").over(own), "idx": F.row_number().over(own.orderBy(F.desc("kept"), "idx")) - 1})
     rows = rows.where(F.col("kept") | ((F.col("n") == 0) & (F.col("idx") == 0)))
     rows = _read_prose(rows, F.when(~F.col("kept"), strip_html(F.col("html"))))

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def deal(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt evenly by key, for work that costs far more than moving them; a small file would be a single task."""
+    session = rows.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return rows.repartition(n, key)
+
+
 def boundaries(rows: DataFrame, order: str, n: int = RANGES) -> list:
     """Up to n - 1 rising values that cut rows into ranges of about one size."""
     found = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)], F.lit(10_000)).alias("b")).first()["b"]

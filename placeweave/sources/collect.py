@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions.text import SPACE, trim
-from placeweave.operators.ranges import sum_before
+from placeweave.operators.ranges import deal, sum_before
 
 POST_SCHEMA = (
     "id long, date string, date_gmt string, link string, title struct<rendered:string>, content struct<rendered:string>, "
@@ -136,14 +136,21 @@ def forbidden(text: Column) -> Column:
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """Run manifests as JSON, with every text column sanitised; a manifest that still holds a secret fails the write."""
     texts = [c for c, t in manifests.dtypes if t == "string"]
-    safe = manifests.withColumns({c: sanitize(F.col(c)) for c in texts})
+    # As one column made by explode, so that the filter reads the sanitised texts and does not make them anew for each pattern.
+    dealt = deal(manifests, manifests.columns[0])
+    safe = dealt.withColumn("_safe", F.explode(F.array(F.struct(F.lit(True), *[sanitize(F.col(c)).alias(c) for c in texts])))).select(*[F.col(f"_safe.{c}") if c in texts else c for c in manifests.columns])
     held = reduce(lambda a, b: a | b, [F.coalesce(F.size(forbidden(F.col(c))) > 0, F.lit(False)) for c in texts], F.lit(False))
     safe.where(F.when(held, F.raise_error(F.lit("a manifest holds a secret"))).otherwise(F.lit(True))).write.json(path)
 
 
+def known_manifests(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
+    """Manifests of the known version, in no order."""
+    return spark.read.schema(schema).json(path).where(F.col("version") == version)
+
+
 def read_manifests(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
     """Manifests of the known version, newest first."""
-    return spark.read.schema(schema).json(path).where(F.col("version") == version).orderBy(F.desc("started_at"))
+    return known_manifests(spark, path, schema, version).orderBy(F.desc("started_at"))
 
 
 def recent_sources(runs: DataFrame, now: Column, hours: float = 20.0) -> DataFrame:
