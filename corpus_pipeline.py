@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from placeweave.llm import mixing, ngram_join, personal_data, quality, sentence_pieces
 from placeweave.llm.queries import MIX_WEIGHTS, source_domain, tokenizer_path
-from placeweave.llm.shared import join_hot, materialize, packed
+from placeweave.llm.shared import join_hot, materialize, maybe_in, only_result, packed
 
 #: Share of all tokens that the mix takes. One epoch only: repeats would undo the removal of near duplicates.
 MIX_PERCENT = 90
@@ -46,13 +46,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by the name of its kind."""
+    """Every span of personal data is replaced by the name of its kind. Most texts without any are not shuffled."""
     keys = personal_data.DIGESTS
-    found = personal_data.find_personal_data(docs).where(F.size("spans") > 0).groupBy(*keys).agg(F.first("spans").alias("spans"))
-    marked = personal_data.with_digests(_rows(docs, "text"))
-    joined = join_hot(marked, materialize(found, "spans-by-text"), keys, "left")
+    spans = lambda: personal_data.find_personal_data(docs).where(F.size("spans") > 0).groupBy(*keys).agg(F.first("spans").alias("spans"))
+    found = only_result(spans, "spans-by-text")
+    marked = maybe_in(personal_data.with_digests(_rows(docs, "text")), keys[0], found.select(keys[0]))
+    joined = join_hot(marked.where("maybe").drop("maybe"), found, keys, "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(personal_data.redact(F.col("text"), F.col("spans")))
-    return _documents(joined, docs.columns, text)
+    return _documents(joined, docs.columns, text).union(_documents(marked.where("not maybe"), docs.columns, F.col("text")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.llm.components import connected
-from placeweave.llm.shared import HOT_KEYS, HOT_ROWS, discard, join_hot, materialize, packed, row_hash, unpacked
+from placeweave.llm.shared import HOT_KEYS, HOT_ROWS, discard, join_hot, materialize, maybe_in, only_result, packed, row_hash, unpacked
 
 K = 5
 #: Lists of shingles up to this length give all their pairs.
@@ -174,13 +174,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text -> doc, n, the whole set, and the parities of its shingles over SKETCH classes of hashes, as bits."""
+    """doc, long, text -> doc, long, n, the whole set, and the parities of its shingles over SKETCH classes of hashes, as bits."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+        sets = list(shingle_sets(batch.column(2).cast(pa.binary()).to_pylist()))
         odd = np.array([np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for s in sets], np.uint8).reshape(-1, SKETCH)
         bits = np.packbits(odd, axis=1).view(np.int64)
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (SKETCH // 64), pa.int32()), pa.array(bits.ravel(), pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), sketch], ["doc", "n", "tokens", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), sketch], ["doc", "long", "n", "tokens", "sketch"])
 
 
 def _boundary(classes: DataFrame, lists: DataFrame) -> int:
@@ -223,15 +223,32 @@ def _small_links(sets: DataFrame, boundary: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    """The pairs (a, b) whose whole sets are similar enough. Only sets of pairs whose sketches are near are shuffled, and few others."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    met = _with_sets(pairs, sets, sets, "sketch")
+    pairs = materialize(met.where(_near("xa", "xb", "na", "nb")).select("a", "b"), "near-pairs")
+    one, two = (maybe_in(sets, "doc", pairs.select(end)).where("maybe") for end in ("a", "b"))
+    met = _with_sets(pairs, one, two, "tokens")
+    return met.where(F.size(F.array_intersect("xa", "xb")) >= needed(F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _with_sets(pairs: DataFrame, one: DataFrame, two: DataFrame, column: str) -> DataFrame:
+    """pairs, which are materialized, with n and the column of a's row in one (na, xa) and of b's row in two (nb, xb)."""
+    one = one.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa"))
+    two = two.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb"))
     sizes = pairs.groupBy("b").agg(F.count("*").alias("pairs"))
     both = join_hot(pairs, one, "a")
     # The second join's rows hold sets, so the pairs of each b are counted without them.
-    both = both.join(two, "b") if sizes.where(F.col("pairs") >= HOT_ROWS).isEmpty() else join_hot(materialize(both, "half-pairs"), two, "b")
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= needed(F.col("na"), F.col("nb"))).select("a", "b")
+    return both.join(two, "b") if sizes.where(F.col("pairs") >= HOT_ROWS).isEmpty() else join_hot(materialize(both, "half-pairs"), two, "b")
+
+
+def _near(x: str, y: str, n: str, m: str) -> Column:
+    """Whether sets of n and m elements may be similar by their sketches x and y.
+
+    Sets with similarity 3/4 differ in (n + m) / 7 shingles at most, and in no fewer than their parity sketches do.
+    """
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return 7 * differ <= F.col(n) + F.col(m)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -262,8 +279,6 @@ def _plausible_lists(rows: DataFrame, sizes: DataFrame) -> DataFrame:
         kept = materialize(lists.select("token", "doc").join(enough, "doc"), "prefix-kept")
         discard(shared)
         shared, lists = kept, _counted(kept)
-    lists = materialize(lists, "prefix-lists")
-    discard(shared)
     return lists
 
 
@@ -279,13 +294,13 @@ def _light_pairs(lists: DataFrame, boundary: int) -> DataFrame:
     return pairs.where(most >= least_common(F.least("na", "nb"))).select("a", "b", "common")
 
 
-def _rare_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """token, doc, n, own, room, c: lists within each group of members (at, doc), over the prefixes in order of rarity there.
+def _rare_lists(members: DataFrame) -> DataFrame:
+    """token, doc, n, own, room, c: lists within each group of members (at, doc, n, tokens), over the prefixes in order of rarity there.
 
     own: shingles that no other member of the group has. A partner can share the others at most, so it has room elements
     at most. Only shingles that two members hold make a list, and of lists with the same members one stays.
     """
-    rows = members.join(sets, "doc").select("at", "doc", "n", F.explode("tokens").alias("token"))
+    rows = members.select("at", "doc", "n", F.explode("tokens").alias("token"))
     rows = rows.withColumn("token", F.when(F.col("at") == 0, F.col("token")).otherwise(F.xxhash64("at", "token")))
     held = _counted(rows)
     per = Window.partitionBy("at", "doc")
@@ -295,7 +310,7 @@ def _rare_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
     kept = materialize(kept, "rare-prefixes")
     who = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in range(2)]
     alike = kept.groupBy("token").agg(F.count("*").alias("c"), *who).where("c > 1").groupBy("c", "x0", "x1").agg(F.min("token").alias("token"))
-    return materialize(join_hot(kept, materialize(alike.select("token", "c"), "rare-sizes"), "token", size="c"), "rare-lists")
+    return join_hot(kept, materialize(alike.select("token", "c"), "rare-sizes"), "token", size="c")
 
 
 def _may_link(n: Column, room: Column, other_n: Column, other_room: Column) -> Column:
@@ -323,9 +338,8 @@ def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of list members that no component joins yet. Lists within one component drop out first.
 
     Open lists that are long are split by the rarity of shingles within them. Then the largest component of a list is met
-    by the rest, and the rest by itself, some pairs in each task. Sets of a and b elements with similarity 3/4 differ in
-    (a + b) / 7 shingles at most, and in no fewer than their parity sketches do; that is part of the join's condition, so
-    other pairs are not even made.
+    by the rest, and the rest by itself, some pairs in each task. That their sketches are near is part of the join's
+    condition, so other pairs are not even made.
     """
     parts, long = [], F.col("outside") > LONG
     for _ in range(MOST_SPLITS):
@@ -333,7 +347,8 @@ def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
         parts.append(open_.where(~long))
         if open_.where(long).isEmpty():
             break
-        lists = _rare_lists(open_.where(long).select(F.col("token").alias("at"), "doc"), sets)
+        members = open_.where(long).select(F.col("token").alias("at"), "doc").join(sets, "doc")
+        lists = only_result(lambda members=members: _rare_lists(members), "rare-lists")
     else:
         parts.append(materialize(_open(lists, roots), "open-members"))
     return reduce(DataFrame.unionByName, [_pairs_of(part, sets) for part in parts]).distinct()
@@ -347,22 +362,29 @@ def _pairs_of(open_: DataFrame, sets: DataFrame) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     x = sketched.where("root <> main").select("token", own("across").alias("i"), each("down").alias("j"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ma"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
     y = sketched.select("token", each("across").alias("i"), own("down").alias("j"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("room").alias("mb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    differ = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    near = 7 * differ <= F.col("na") + F.col("nb")
-    met = x.join(y, ["token", "i", "j"]).where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")) & near)
+    met = x.join(y, ["token", "i", "j"]).where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")) & _near("sa", "sb", "na", "nb"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _same_row(a: str, b: str) -> Column:
-    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
+#: What tells rows apart, by columns without nulls: a join and a grouping by them share one shuffle.
+ROW = ["no_id", "id", "tie"]
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """rows with their id and tie as the columns of ROW."""
+    return rows.withColumns({"no_id": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0).cast("long"))})
 
 
 def _sets_of(slim: DataFrame, named: DataFrame) -> DataFrame:
-    """Whole sets of the named classes, from one row of each. Rows that are repeated very often are combined first."""
+    """Whole sets of the named classes, with their column long, from one row of each. Rows that are repeated very often are combined first.
+
+    Texts of most other rows are not shuffled at all.
+    """
 
     def texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        return rows.alias("s").join(classes.alias("c"), _same_row("s", "c")).select("doc", "s.id", "s.tie", "text").dropDuplicates(["id", "tie"]).select("doc", "text")
+        return _by_row(rows).join(_by_row(classes.select("id", "tie", "doc", "long")), ROW).dropDuplicates(ROW).select("doc", "long", "text")
 
+    slim = maybe_in(slim, "tie", named.select("tie")).where("maybe").drop("maybe")
     seen = named.agg(F.sum("held").alias("n"), F.max("held").alias("most")).first()  # two numbers
     least = max(HOT_ROWS, -(-(seen["n"] or 0) // HOT_KEYS))
     if (seen["most"] or 0) < least:
@@ -372,7 +394,7 @@ def _sets_of(slim: DataFrame, named: DataFrame) -> DataFrame:
         ties = F.broadcast(often.select("tie").distinct())
         found = texts(slim.join(ties, "tie", "left_anti"), named.join(ties, "tie", "left_anti"))
         found = found.unionByName(texts(slim.join(ties, "tie", "left_semi").dropDuplicates(["id", "tie"]), named.join(ties, "tie", "left_semi")))
-    return materialize(found.mapInArrow(_whole_sets, "doc long, n int, tokens array<long>, sketch array<long>"), "whole-sets")
+    return materialize(found.mapInArrow(_whole_sets, "doc long, long boolean, n int, tokens array<long>, sketch array<long>"), "whole-sets")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,16 +406,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = materialize(named.select(F.monotonically_increasing_id().alias("doc"), "digest", "n", "held", "r.id", "r.tie"), "set-classes")
     prefixes = slim.select("text").mapInArrow(_prefixes, "digest binary, prefix array<long>").groupBy("digest").agg(F.first("prefix").alias("prefix"))  # equal sets, equal prefixes
     rows = prefixes.join(named.select("digest", "doc"), "digest").select("doc", F.explode("prefix").alias("token"))
-    lists = _plausible_lists(rows, named.select("doc", "n"))
+    lists = only_result(lambda: _plausible_lists(rows, named.select("doc", "n")), "prefix-lists")
     boundary = _boundary(named, lists)
-    small = named.where(F.col("n") <= boundary)
+    small = named.where(F.col("n") <= boundary).withColumn("long", F.lit(False))
     links = materialize(_small_links(_sets_of(slim, small), boundary) if boundary else small.where(F.lit(False)).select(F.col("doc").alias("a"), F.col("doc").alias("b")), "small-links")
     light = materialize(_light_pairs(lists, boundary), "light-pairs")
-    in_long = lists.where(F.col("c") > LIGHT).select("doc").distinct()
-    wanted = in_long.unionByName(light.select(F.col("a").alias("doc"))).unionByName(light.select(F.col("b").alias("doc"))).distinct()
-    sets = _sets_of(slim, named.join(wanted, "doc", "left_semi"))
-    rare = _rare_lists(in_long.withColumn("at", F.lit(0).cast("long")), sets)
+    wanted = lists.where(F.col("c") > LIGHT).select("doc", F.lit(True).alias("long"))
+    for end in ("a", "b"):
+        wanted = wanted.union(light.select(end, F.lit(False)))
+    wanted = materialize(named.join(wanted.groupBy("doc").agg(F.max("long").alias("long")), "doc").drop("digest"), "wanted-classes")
     discard(lists)
+    sets = _sets_of(slim, wanted)
+    rare = only_result(lambda: _rare_lists(sets.where("long").withColumn("at", F.lit(0).cast("long"))), "rare-lists")
     best = light.groupBy("a").agg(F.max(F.struct("common", F.col("b")))["b"].alias("b"))
     first = best.unionByName(_pivots(rare, 1))
     links = materialize(links.unionByName(_similar(first, sets)), "links-1")
@@ -420,13 +444,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id, then of the smallest hash of text and row.
 
-    Rows with an empty set are linked with nothing and stay, all of them.
+    Rows with an empty set are linked with nothing and stay, all of them. So does a row that is the only one with its id
+    and text and the first of its group; only rows that go or are repeated, and few others, are shuffled with their texts.
     """
-    groups = materialize(jaccard_groups(docs, id_col, text_col), "groups")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")
-    best = groups.where("group is not null").groupBy("group").agg(F.min(order).alias("r")).select("r.id", "r.tie")
-    row = packed(docs)
-    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tie"), row.alias("row"), row_hash(docs).alias("h"))
-    chosen = marked.alias("m").join(best.alias("b"), _same_row("m", "b"), "left_semi").groupBy("id", "tie").agg(F.min_by("row", "h").alias("row"))
-    blank = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return chosen.select(*unpacked(F.col("row"), docs.columns)).unionByName(docs.where(blank))
+    groups = only_result(lambda: jaccard_groups(docs, id_col, text_col), "groups")
+    rows = _by_row(groups.where("group is not null").select("id", "tie", "group"))
+    best = materialize(rows.groupBy("group").agg(F.min(F.struct(*ROW)).alias("r")).select("r.*"), "first-rows")
+    held = rows.groupBy(*ROW).agg(F.count("*").alias("held"))
+    single = best.withColumn("stays", F.lit(True))
+    unsettled = materialize(held.join(single, ROW, "left").where("stays is null or held > 1").select("tie"), "unsettled-rows")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    blank = ~text.rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tie"), packed(docs).alias("row"), row_hash(docs).alias("h"), blank.alias("blank"))
+    marked = maybe_in(marked, "tie", unsettled)
+    chosen = _by_row(marked.where("maybe and not blank")).groupBy(*ROW).agg(F.min_by("row", "h").alias("row")).join(best, ROW, "left_semi")
+    return chosen.select("row").union(marked.where("blank or not maybe").select("row")).select(*unpacked(F.col("row"), docs.columns))

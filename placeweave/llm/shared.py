@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 
 #: ASCII white space: the characters that separate words everywhere in this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Tables that were materialized since only_result began; none outside of it.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +49,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if (made := _MADE.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -57,6 +62,38 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def only_result(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make(), materialized; whatever else was materialized on the way is removed."""
+    before = _MADE.set(used := [])
+    try:
+        df = make()
+    finally:
+        _MADE.reset(before)
+    out = materialize(df, label)
+    discard(*used)
+    return out
+
+
+#: Bits of a filter for each of its keys, and in all (8 MiB). A bitmap of Spark's has PART_BITS.
+KEY_BITS, MOST_BITS, PART_BITS = 16, 1 << 26, 1 << 15
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with ``maybe``: false only where the column key, a long, is not in keys, a table of one column that is read twice.
+
+    The bits of the keys' hashes are broadcast, KEY_BITS for each key or more, MOST_BITS at most. So one row in KEY_BITS is let
+    through by chance (more of them beyond MOST_BITS / KEY_BITS keys) and a join must follow; rows marked false need none.
+    """
+    bits = min(MOST_BITS, 1 << (KEY_BITS * keys.count()).bit_length())  # one number
+    slots = keys.toDF("key").select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("slot"))
+    slots = slots.select(F.floor(F.col("slot") / PART_BITS).alias("maybe_part"), (F.col("slot") % PART_BITS).alias("at"))
+    maps = slots.repartition("maybe_part").groupBy("maybe_part").agg(F.bitmap_construct_agg("at").alias("maybe_bits"))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.col("maybe_bits"), (F.floor(slot % PART_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("maybe_part", F.floor(slot / PART_BITS)).join(F.broadcast(maps), "maybe_part", "left")
+    return met.withColumn("maybe", F.coalesce(F.getbit(byte, (slot % 8).cast("int")) == 1, F.lit(False))).select(*rows.columns, "maybe")
+
+
 #: A key of so many rows, or of a HOT_KEYS-th of all rows if that is more, is hot: HOT_KEYS keys are hot at most.
 HOT_ROWS, HOT_KEYS = 4096, 4096
 
