@@ -8,8 +8,9 @@ left is the longer phrase's bitmap, and its popcount the number of occurrences.
 
 Counts are global sums over shards, so the search goes in three rounds: words; then pairs of words that are frequent
 in the language; then, depth first, phrases of three and four words all of whose neighbouring pairs are frequent. What
-is frequent is joined back to the shards that hold it and never gathered or broadcast. Words have exact numbers, so
-phrases are never told apart by hashes.
+is frequent is joined back to the shards that hold it and never gathered or broadcast: Spark knows words and phrases by
+the size of their files, before they are decompressed and copied to parts, so these joins are told to shuffle ("merge").
+Words have exact numbers, so phrases are never told apart by hashes.
 
 A branch of the search (a run of first words with up to BRANCH bytes of bitmaps) is extended to the full depth before
 the next one, which bounds the memory of a task; a very frequent word's bitmap is cut into several branches.
@@ -195,7 +196,7 @@ def _not_inside(phrases: DataFrame, keys: list[str], longer: DataFrame, parts: l
         inside = inside.unionByName(longer.select(*[F.col(p).alias(k) for k, p in zip(keys, part, strict=True)], "f"))
     most = inside.groupBy(*keys).agg(F.max("f").alias("most"))
     exact = lambda c: c.cast("decimal(20,0)")
-    kept = phrases.join(most, keys, "left").where(F.col("most").isNull() | (100 * exact(F.col("most")) < INSIDE_PERCENT * exact(F.col("f"))))
+    kept = phrases.join(most.hint("merge"), keys, "left").where(F.col("most").isNull() | (100 * exact(F.col("most")) < INSIDE_PERCENT * exact(F.col("f"))))
     return kept.drop("most")
 
 
@@ -204,7 +205,7 @@ def _with_word(rows: DataFrame, words: DataFrame, key: str, spread_by: str, f: s
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     listed = words.select(F.col("id").alias(key), F.col("f").alias(f), F.col("word").alias(name), "lang", salt.alias("salt"))
     listed = listed.drop("lang") if "lang" in rows.columns else listed
-    return rows.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(listed, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(listed.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def collocations(docs: DataFrame, top: int, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT) -> DataFrame:
@@ -215,7 +216,7 @@ def collocations(docs: DataFrame, top: int, text_col: str = "text", lang_col: st
     counted = materialize(shards.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("f")), "word-counts")
     words = materialize(counted.where(F.col("f") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "frequent-words")
     places = shards.where("word is null").select(F.col("shard").alias("shard"), "codes")  # a column of its own beside that of the words
-    mine = shards.where("word is not null").select("shard", "lang", "word", "code").join(words, ["lang", "word"]).select("shard", "code", "id")
+    mine = shards.where("word is not null").select("shard", "lang", "word", "code").join(words.hint("merge"), ["lang", "word"]).select("shard", "code", "id")
     found = places.groupBy("shard").cogroup(mine.groupBy("shard")).applyInArrow(_pairs, "shard long, x long, a long, b long, n long")
     # A pair's rows, one for each shard that holds it, meet once: for its count, and to tell the shards.
     of_pair = Window.partitionBy("a", "b")
@@ -230,12 +231,12 @@ def collocations(docs: DataFrame, top: int, text_col: str = "text", lang_col: st
     # A longer phrase has all its parts' counts, and its text, from its first and its last words but one.
     head = two.select("a", "b", "lang", "phrase", "fa", F.col("f").alias("fab"))
     tail = two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("f").alias("fyz"), "fz", "last")
-    three = three.join(head, ["a", "b"]).join(tail, ["b", "c"]).withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
+    three = three.join(head.hint("merge"), ["a", "b"]).join(tail.hint("merge"), ["b", "c"]).withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
     three = materialize(three, "three-words")
     four = longer.where("d <> -1")
     head = three.select("a", "b", "c", "lang", "phrase", "fa", "fab", F.col("f").alias("fabc"))
     tail = three.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("c").alias("d"), F.col("f").alias("fxyz"), "fyz", "fz", "last")
-    four = four.join(head, ["a", "b", "c"]).join(tail, ["b", "c", "d"]).withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
+    four = four.join(head.hint("merge"), ["a", "b", "c"]).join(tail.hint("merge"), ["b", "c", "d"]).withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
     rated = [
         _rated(_not_inside(two, ["a", "b"], three, [["a", "b"], ["b", "c"]]), ("fa", "fz")),
         _rated(_not_inside(three, ["a", "b", "c"], four, [["a", "b", "c"], ["b", "c", "d"]]), ("fa", "fyz"), ("fab", "fz")),
