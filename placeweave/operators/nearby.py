@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions.geo import EARTH_M, haversine
+from placeweave.operators.ranges import deal
 
 #: A little more than needed, so that rounding never loses a point at the edge.
 _SLACK = 1.000001
+#: Rows of one place that meet others as one.
+BLOCK = 1024
 #: Cells along each side of a cell of the level above, and levels.
 SIDE_BITS, LEVELS = 3, 3
 
@@ -31,10 +34,31 @@ def within_radius(centres: DataFrame, points: DataFrame, radius_m: float) -> Dat
 
     Points lie in one cell of a band of latitudes as high as the radius. A centre covers the cells of three bands that its
     circle may touch, across the date line and around the poles; the two meet by an equi-join on the cell. Only different
-    places meet, so distances are computed once for all centres and points that share them; pairs are joined to them last.
+    places meet, so distances are computed once for all centres and points that share them. Pairs are far more than what they
+    are made of, so blocks of the centres and of the points of two places meet, are dealt to all tasks and fan out last.
     """
+    centres = centres.select("centre_id", "centre_lat", "centre_lng").where("centre_lat is not null and centre_lng is not null")
+    points = points.where("lat is not null and lng is not null")
     around = _places_within(centres.select("centre_lat", "centre_lng").distinct(), points.select("lat", "lng").distinct(), radius_m)
-    return centres.select("centre_id", "centre_lat", "centre_lng").join(around, ["centre_lat", "centre_lng"]).join(points, ["lat", "lng"])
+    # Their files say little about the size of tables with few different values, so these joins are told to shuffle.
+    met = around.join(_blocks(centres, ["centre_lat", "centre_lng"], "_centres").hint("merge"), ["centre_lat", "centre_lng"])
+    met = deal(met.join(_blocks(points, ["lat", "lng"], "_points").hint("merge"), ["lat", "lng"]), F.xxhash64("centre_lat", "centre_lng", "lat", "lng", "_centres_block", "_points_block"))
+    known = ["lat", "lng", "centre_lat", "centre_lng"]
+    one = met.select(*known, "distance_m", "_points", F.explode("_centres").alias("_centre"))
+    both = one.select(*known, "_centre.centre_id", "distance_m", F.explode("_points").alias("_point"))
+    return both.select(*known, "centre_id", "distance_m", *[F.col("_point").getField(c).alias(c) for c in points.columns if c not in known])
+
+
+def _blocks(rows: DataFrame, place: list[str], name: str) -> DataFrame:
+    """place, a block's number and, as name, a list of the other columns of up to BLOCK rows of one place.
+
+    Rows are cut into ranges of places, and of rows of one place, and numbered there; a block lies within BLOCK rows in order.
+    """
+    held = [c for c in rows.columns if c not in place]
+    order = [*place, "_tie"]
+    dealt = rows.withColumn("_tie", F.xxhash64(F.to_json(F.struct(*rows.columns)))).repartitionByRange(*order).sortWithinPartitions(*order)
+    block = F.floor(F.monotonically_increasing_id() / BLOCK).alias(f"{name}_block")
+    return dealt.select(*place, block, F.struct(*held).alias(name)).groupBy(*place, f"{name}_block").agg(F.collect_list(name).alias(name))
 
 
 def _places_within(centres: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def deal(rows: DataFrame, key: str) -> DataFrame:
+def deal(rows: DataFrame, key: str | Column) -> DataFrame:
     """rows dealt evenly by key, for work that costs far more than moving them; a small file would be a single task."""
     session = rows.sparkSession
     n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
